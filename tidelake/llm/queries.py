@@ -40,3 +40,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, count=True)
