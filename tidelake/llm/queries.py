@@ -48,3 +48,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, count=True)
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
