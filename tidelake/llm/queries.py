@@ -55,3 +55,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
     return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
