@@ -62,3 +62,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
