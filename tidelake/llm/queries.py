@@ -69,3 +69,19 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal import personal_data
 
     return personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_oracle() -> str:
+    from .licenses import oracle
+
+    return oracle()
+
+
+ORACLES["op7_license_scan"] = _license_oracle()
