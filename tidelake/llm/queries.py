@@ -85,3 +85,10 @@ def _license_oracle() -> str:
 
 
 ORACLES["op7_license_scan"] = _license_oracle()
+
+
+@_query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
