@@ -29,7 +29,7 @@ WORD = r"\P{L}+"  # what separates terms
 SHORTEST = 4  # characters of a term
 DISCLOSES, REMOVES = 0.9, 0.99  # PMI / IC
 SUPPORT = 3  # different texts that hold both the term and the entity
-CELLS = 1 << 16  # bound of broadcast tables that sort rows out before a shuffle
+CELLS = 1 << 20  # bound of broadcast tables that sort rows out before a shuffle
 
 
 def _maybe(kind: str, text: Column) -> Column:
