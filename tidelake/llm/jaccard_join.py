@@ -24,6 +24,7 @@ WORDS = 5
 TREES, DEEPEST = 16, 8
 RECALL = 0.9999
 BLOCK = 192  # texts of a bucket that meet in one tile with as many others
+FILTER = 1 << 20  # rows at most of the broadcast table that sorts out texts without partner
 CELLS = 4 << 20  # cells of the incidence matrix held at once
 
 
@@ -171,7 +172,10 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = stash(shared.groupBy("print", "size").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     members = stash(rows.join(kept, "bucket"), "members")
     own = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # at most TREES of them
-    wanted = docs.join(own.select("node"), "node", "left_semi")
+    # a table of bounded size sorts out most other texts before the shuffle
+    cell = F.pmod(F.xxhash64("node"), F.lit(FILTER)).alias("cell")
+    near = docs.withColumn("cell", cell).join(F.broadcast(own.select(cell).distinct()), "cell", "left_semi").drop("cell")
+    wanted = near.join(own.select("node"), "node", "left_semi")
     known = _shingle_sets(wanted).dropDuplicates(["node"])
     known = stash(known.join(own, "node"), "shingles")
 
