@@ -58,9 +58,11 @@ def tree_keys(texts: list[str], depth: int, trees: int = TREES, words: int = WOR
 def _signatures(docs: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, some = tree_keys(batch["text"].to_list(), depth)
-            rows = [x.astype(np.int64).tolist() if s else [] for x, s in zip(keys, some, strict=True)]
-            yield pd.DataFrame({"node": batch["node"], "keys": rows})
+            for at in range(0, len(batch), 1024):
+                part = batch[at : at + 1024]
+                keys, some = tree_keys(part["text"].to_list(), depth)
+                rows = [x.astype(np.int64).tolist() if s else [] for x, s in zip(keys, some, strict=True)]
+                yield pd.DataFrame({"node": part["node"], "keys": rows})
 
     return docs.select("node", "text").mapInPandas(run, "node string, keys array<long>")
 
