@@ -57,11 +57,16 @@ class Items:
             rest = ((rest + hit) | (rest - hit)) & whole
         return n - rest.bit_count()
 
+    def members(self) -> np.ndarray:
+        """Which word is in which item."""
+        found = np.zeros((len(self.words), len(self.vocabulary)), bool)
+        for k, own in enumerate(self.words):
+            found[k, own] = True
+        return found
+
     def match(self, item: int, region: list[int]) -> float:
         """Covered share of the item if it counts as found in the region, else 0."""
-        own, mask = self.words[item], self.masks[item]
-        if sum(w in mask for w in region) < MAYBE * len(own):
-            return 0.0
+        own = self.words[item]
         share = self.common(item, region) / len(own)
         if share >= SURE:
             return share
@@ -193,6 +198,20 @@ def latent_space(numbered: DataFrame, weights: np.ndarray, rank: int = RANK) ->
     return left.astype(np.float32)
 
 
+def _enough(words: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.ndarray, members: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The candidates whose region holds enough words of the item: no subsequence can have more."""
+    out = np.zeros(len(start), bool)
+    some = np.flatnonzero(length > 0)
+    for at in range(0, len(some), 8192):
+        c = some[at : at + 8192]
+        first = np.r_[0, np.cumsum(length[c])[:-1]]
+        place = np.repeat(start[c] - first, length[c]) + np.arange(int(length[c].sum()))
+        w = words[place]
+        hit = members[np.repeat(item[c], length[c]), np.maximum(w, 0)] & (w >= 0)
+        out[c] = np.add.reduceat(hit, first, dtype=np.int64) >= least[c]
+    return out
+
+
 def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.ndarray) -> DataFrame:
     terms = (space * weights[:, None]).astype(np.float32)
     targets = np.stack([terms[w].sum(axis=0) for w in items.words])
@@ -200,6 +219,7 @@ def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.nd
     targets = np.divide(targets, lengths, out=np.zeros_like(targets), where=lengths > 1e-6)
     kind = numbered.schema["id"].dataType.simpleString()
     columns = ["id", "item", "share", "first_word"]
+    members, sizes_of = items.members(), np.array([len(w) for w in items.words])
     blind = [k for k in range(len(items.ids)) if lengths[k] <= 1e-6]  # only common words: compared without retrieval
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,17 +233,18 @@ def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.nd
                 x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-6)
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 found = [np.nonzero(x[a : a + 8192] @ targets.T >= COSINE) + (a,) for a in range(0, len(x), 8192)]
-                pairs = [(int(p) + a, int(k)) for ps, ks, a in found for p, k in zip(ps, ks, strict=True)]
-                pairs += [(p, k) for k in blind for p in range(len(owner))]
-                for p, k in pairs:
-                    doc = int(owner[p])
-                    if best.get((doc, k), (0.0, 0))[0] >= SURE:
+                p = np.concatenate([ps + a for ps, _, a in found] + [np.tile(np.arange(len(owner)), len(blind))]).astype(int)
+                k = np.concatenate([ks for _, ks, _ in found] + [np.repeat(blind, len(owner))]).astype(int)
+                doc = owner[p]
+                low = np.maximum(place[p] * HALF - sizes_of[k], 0)
+                high = np.minimum(place[p] * HALF + 2 * HALF + sizes_of[k], sizes[doc])
+                fit = _enough(words, start[doc] + low, high - low, k, members, MAYBE * sizes_of[k])
+                for d, item, a, b in zip(doc[fit].tolist(), k[fit].tolist(), low[fit].tolist(), high[fit].tolist(), strict=True):
+                    if best.get((d, item), (0.0, 0))[0] >= SURE:
                         continue
-                    n, at = len(items.words[k]), int(place[p]) * HALF
-                    low, high = max(0, at - n), min(int(sizes[doc]), at + 2 * HALF + n)
-                    share = items.match(k, words[start[doc] + low : start[doc] + high].tolist())
-                    if share > best.get((doc, k), (0.0, 0))[0]:
-                        best[doc, k] = (share, low)
+                    share = items.match(item, words[start[d] + a : start[d] + b].tolist())
+                    if share > best.get((d, item), (0.0, 0))[0]:
+                        best[d, item] = (share, a)
                 ids = part["id"].to_list()
                 rows = [(ids[d], items.ids[k], share, low) for (d, k), (share, low) in best.items()]
                 if rows:
