@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tidelake.plans.q_events
 import tidelake.plans.q_rollups
 import tidelake.plans.q_scalars
 import tidelake.plans.q_sources

@@ -59,3 +59,21 @@ def event_key(*parts: Column | str) -> Column:
 
 def append_new(found: DataFrame, log: DataFrame, key: str = "event_key") -> DataFrame:
     return found.join(log.select(key), key, "left_anti")
+
+
+def detect(states: DataFrame, long: DataFrame, objectives: DataFrame, entity: str, time: str, state: str, tie: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The event log of a time range: actual transitions and threshold crossings, each with its key.
+
+    What stood before the range counts as the state before it, so a range gives the same events as a full run.
+    """
+    moves = state_transitions(states, entity, time, state, tie).where("is_actual_transition")
+    one = moves.select(F.col(entity), F.col(time), F.lit("state_transition").alias("event_type"), F.concat("from_state", F.lit(">"), "to_state").alias("detail"), F.lit(None).cast("double").alias("metric_value"))
+    found = threshold_crossings(long, objectives, entity, time, tie)
+    two = found.select(F.col(entity), F.col(time), F.lit("threshold_crossing").alias("event_type"), F.concat("objective_id", F.lit(":"), "crossing").alias("detail"), F.col("value").alias("metric_value"))
+    both = one.unionByName(two)
+    if start:
+        both = both.where(F.col(time) >= start)
+    if end:
+        both = both.where(F.col(time) <= end)
+    stamp = F.unix_micros(F.col(time).cast("timestamp")).cast("string")
+    return both.withColumn("event_key", event_key(stamp, F.col(entity).cast("string"), "event_type", "detail"))

@@ -33,8 +33,9 @@ def poincare_distance(a: str, b: str) -> Column:
     return F.acosh(1 + 2 * gap * gap / ((1 - dot(a, a)) * (1 - dot(b, b))))
 
 
-def knn_exact(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", least: float = -1.0, block: int = 2048) -> DataFrame:
+def knn_exact(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", least: float = -1.0, block: int = 2048, score=None) -> DataFrame:
     """``query_id, rank, vec_id, similarity``: the k rows of largest cosine, another row than the query's own.
+    ``score`` may give other similarities of two matrices of vectors.
 
     Blocks of queries meet blocks of rows in a grid; each cell keeps k rows a query by one matrix product, and the
     cells' results are ranked together.
@@ -56,7 +57,8 @@ def knn_exact(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id
         columns = ["query_id", "vec_id", "similarity"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=columns)
-        found, qid, rid = unit(a["v"]) @ unit(b["v"]).T, a["id"].to_numpy(), b["id"].to_numpy()
+        qid, rid = a["id"].to_numpy(), b["id"].to_numpy()
+        found = score(np.stack(a["v"].to_list()), np.stack(b["v"].to_list())) if score else unit(a["v"]) @ unit(b["v"]).T
         found[(qid[:, None] == rid) | ~np.isfinite(found)] = -np.inf
         top = np.lexsort((np.broadcast_to(rid, found.shape), -found), axis=1)[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), "vec_id": rid[top].ravel(), "similarity": np.take_along_axis(found, top, 1).ravel()})
@@ -67,6 +69,18 @@ def knn_exact(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
+def poincare_similarity(scale: float):
+    """Minus the Poincare distance of vectors that ``scale`` brings into the unit ball."""
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.astype(float) * scale, b.astype(float) * scale
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        gap = np.maximum(na[:, None] + nb - 2 * a @ b.T, 0)
+        return -np.arccosh(1 + 2 * gap / ((1 - na)[:, None] * (1 - nb)))
+
+    return score
+
+
 def knn_ann(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", width: float = 1.0, tables: int = 8) -> DataFrame:
     """Approximate neighbours by random-projection hashing of unit vectors, ranked by exact distance."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer

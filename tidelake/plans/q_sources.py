@@ -112,7 +112,11 @@ q("l2_distance", lambda s, d: next_vectors(s, d).select("vec_id", r6(vx.l2_dista
 HALF = lambda c: F.transform(c, lambda x: x.cast("double") / 2)
 q("poincare_distance", lambda s, d: next_vectors(s, d).withColumn("a", HALF("embedding")).withColumn("b", HALF("other")).select("vec_id", F.round(vx.poincare_distance("a", "b"), 6).alias("x")),
   f"SELECT vec_id, round(acosh(1 + 2 * g * g / ((1 - na) * (1 - nb))), 6) AS x FROM (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / 2 AS g, list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) / 4 AS na, list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) / 4 AS nb {NEXT})")
-q("hyperbolic_knn", lambda s, d: knn(s, d, 10).groupBy("query_id").agg(F.max("similarity").alias("best")), f"SELECT query_id, max(similarity) AS best FROM ({KNN}) WHERE rank <= 10 GROUP BY 1")
+GAP = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+BALL = "(1 - list_inner_product({0}.embedding::DOUBLE[], {0}.embedding::DOUBLE[]) / 4)"
+FAR = f"acosh(1 + {GAP} * {GAP} / 2 / ({BALL.format('a')} * {BALL.format('b')}))"
+q("hyperbolic_knn", lambda s, d: vx.knn_exact(Q20(s, d), table(s, d, "embeddings"), 10, least=-1e9, score=vx.poincare_similarity(0.5)).select("query_id", "rank", "vec_id", F.round(-F.col("similarity"), 6).alias("distance")),
+  f"SELECT * FROM (SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {FAR}, b.vec_id) AS rank, b.vec_id AS vec_id, round({FAR}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
 q("embedding_upsert", lambda s, d: table(s, d, "embeddings").where(F.forall("embedding", lambda x: ~F.isnan(x))).groupBy("label").agg(F.max("vec_id").alias("vec_id")), "SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY 1")
 
 
