@@ -139,12 +139,16 @@ def _halves(words: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[
     return words[use], half[use], owner, np.arange(len(owner)) - first[owner]
 
 
-def _sums(vectors: np.ndarray, half: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of each half passage; halves come in order."""
-    total = np.zeros((n, vectors.shape[1]), np.float32)
+def _sums(table: np.ndarray, words: np.ndarray, half: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the words' rows of the table for each half passage; halves come in order. One step per place in a half."""
+    total = np.zeros((n, table.shape[1]), np.float32)
     if len(half):
         edge = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        total[half[edge]] = np.add.reduceat(vectors, edge, axis=0)
+        sizes = np.diff(np.r_[edge, len(half)])
+        total[half[edge]] = table[words[edge]]
+        for k in range(1, int(sizes.max())):
+            at = edge[sizes > k] + k
+            total[half[at]] += table[words[at]]
     return total
 
 
@@ -170,7 +174,7 @@ def latent_space(numbered: DataFrame, weights: np.ndarray, rank: int = RANK) ->
                 own, half, owner, _ = _halves(words, sizes, weights)
                 if not len(own):
                     continue
-                y = _passages(_sums(scaled[own], half, len(owner)), owner)  # A W
+                y = _passages(_sums(scaled, own, half, len(owner)), owner)  # A W
                 order = np.argsort(own, kind="stable")
                 own, half = own[order], half[order]
                 edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -228,7 +232,7 @@ def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.nd
                 words, sizes = _gathered(part)
                 start = np.r_[0, np.cumsum(sizes)]
                 own, half, owner, place = _halves(words, sizes, weights)
-                x = _passages(_sums(terms[own], half, len(owner)), owner)
+                x = _passages(_sums(terms, own, half, len(owner)), owner)
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-6)
                 best: dict[tuple[int, int], tuple[float, int]] = {}
