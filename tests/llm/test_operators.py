@@ -278,6 +278,22 @@ def test_decontamination(spark):
     assert without_contaminated(edge_frame(spark), bench).count() == len(EDGES)
 
 
+def test_decontamination_finds_all_verbatim_items(spark):
+    rand = random.Random(11)
+    topics = [[f"t{k}x{j}" for j in range(40)] for k in range(200)]
+    topic = lambda n: rand.choices(rand.choice(topics), k=n)
+    items = [topic(40) for _ in range(400)] + [[f"m{rand.randrange(1500)}" for _ in range(rand.randint(6, 11))] for _ in range(2000)]
+    docs = [(k, " ".join(topic(rand.randint(20, 60)) + item + topic(rand.randint(20, 60)))) for k, item in enumerate(items)]
+    base = [f"b{k}" for k in range(20)]
+    items.append(base)
+    docs.append((9000, " ".join(topic(50) + base[:5] + ["other"] * 5 + base[10:] + topic(50))))  # three quarters, with the answer
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(docs, DOC).repartition(8), bench).collect()}
+    lost = {(k, k) for k in range(2400)} | {(9000, 2400)}
+    lost -= found
+    assert not lost, len(lost)
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "u a", "x\r\n\r\nWARC/1.1"), (2, None, None), (3, "http://x", ""), (None, "http://y", "x\r\n\r\nWARC/1.1"), (4, "http://q", "x\r\n\r\nWARC/1.1"), (5, "http://z\n", "é中")]
     found = archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

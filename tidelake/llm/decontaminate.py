@@ -5,6 +5,10 @@ a distributed randomised SVD (one pass, Nystroem form: each partition adds its p
 which passages and benchmark items are compared by cosine. Candidates are checked by the longest common
 subsequence of words with the neighbourhood of the passage; where that is only partly covered, as in a paraphrase,
 the item's answer (its last words) has to be there as well.
+
+A second, exact path needs no cosine: a passage whose neighbourhood holds ``SURE`` of an item's words holds some of
+its rarest ones, and one that holds less has to hold the answer. All such passages are candidates too, so what the
+check would accept is never lost to the rank of the latent space.
 """
 
 from __future__ import annotations
@@ -202,6 +206,83 @@ def latent_space(numbered: DataFrame, weights: np.ndarray, rank: int = RANK) ->
     return left.astype(np.float32)
 
 
+class Exact:
+    """Candidates without a cosine: no passage that ``Items.match`` would accept is missing."""
+
+    PAIRS = 1 << 20  # word places looked up together; an item that alone has more is looked up by itself
+
+    def __init__(self, items: Items, frequency: np.ndarray):
+        self.sizes = np.array([len(w) for w in items.words])
+        words, owners, least, codes, named = [], [], [], [], []
+        for k, own in enumerate(items.words):
+            n = len(own)
+            need = next(c for c in range(1, n + 1) if c / n >= SURE)
+            some = max(1, need // 4)
+            # at most n - need words are missing, so of n - need + some words at least some are there: the rarest
+            rare = set(sorted(own, key=frequency.__getitem__)[: n - need + some])
+            words += rare
+            owners += [k] * len(rare)
+            least.append(some)
+            if n >= ANSWER:  # shorter items count only as a whole
+                codes.append(self._codes(np.array(own[-ANSWER:]))[0])
+                named.append(k)
+        self.words, self.owners, self.least = np.array(words), np.array(owners), np.array(least)
+        order = np.argsort(np.array(codes, np.uint64), kind="stable")
+        self.codes, self.named = np.array(codes, np.uint64)[order], np.array(named, int)[order]
+
+    @staticmethod
+    def _codes(words: np.ndarray) -> np.ndarray:
+        """A hash of each run of ``ANSWER`` words."""
+        base, total = np.uint64(0x9E3779B97F4A7C15), np.zeros(max(0, len(words) - ANSWER + 1), np.uint64)
+        for k in range(ANSWER):
+            total = total * base + (words[k : k + len(total)] + 2).astype(np.uint64)
+        return total
+
+    def _passages(self, item: np.ndarray, at: np.ndarray, run: int, doc: np.ndarray, start: np.ndarray, first: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages (and items) whose neighbourhoods hold ``least`` of the given runs of words."""
+        d, n = doc[at], self.sizes[item]
+        x = at - start[d]
+        halves = first[d + 1] - first[d]
+        low = first[d] + np.maximum(-((2 * HALF + n - run - x) // HALF), 0)
+        high = first[d] + np.minimum((x + n) // HALF, halves - 1) + 1
+        width = first[-1] + 1
+        places = np.concatenate([item * width + low, item * width + high])
+        keys, where = np.unique(places, return_inverse=True)
+        held = np.cumsum(np.bincount(where, np.repeat([1, -1], len(item)), len(keys))).astype(int)
+        good = np.flatnonzero(held >= least[keys // width])
+        length = keys[np.minimum(good + 1, len(keys) - 1)] - keys[good]
+        found = np.repeat(keys[good] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum())) if len(good) else keys[:0]
+        return found % width, found // width
+
+    def candidates(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages by number, and items; pairs may repeat."""
+        start = np.r_[0, np.cumsum(sizes)]
+        first = np.r_[0, np.cumsum(np.maximum(-(-sizes // HALF), 1))]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+
+        order = np.argsort(words, kind="stable")
+        begin, end = (np.searchsorted(words[order], self.words, side) for side in ("left", "right"))
+        times = end - begin
+        group = np.cumsum(np.bincount(self.owners, times, len(self.sizes))).astype(int) // self.PAIRS
+        for g in np.unique(group):
+            use = np.flatnonzero((group[self.owners] == g) & (times > 0))
+            t = times[use]
+            if len(use):
+                at = order[np.repeat(begin[use] - np.r_[0, np.cumsum(t)[:-1]], t) + np.arange(int(t.sum()))]
+                found.append(self._passages(np.repeat(self.owners[use], t), at, 1, doc, start, first, self.least))
+
+        codes = self._codes(words)
+        begin, end = (np.searchsorted(self.codes, codes, side) for side in ("left", "right"))
+        hit = np.flatnonzero(end > begin)
+        hit = hit[doc[hit] == doc[hit + ANSWER - 1]]
+        t = end[hit] - begin[hit]
+        if len(hit):
+            item = self.named[np.repeat(begin[hit] - np.r_[0, np.cumsum(t)[:-1]], t) + np.arange(int(t.sum()))]
+            found.append(self._passages(item, np.repeat(hit, t), ANSWER, doc, start, first, np.ones(len(self.sizes), int)))
+        return np.concatenate([p for p, _ in found]), np.concatenate([k for _, k in found])
+
+
 def _enough(words: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.ndarray, members: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The candidates whose region holds enough words of the item: no subsequence can have more."""
     out = np.zeros(len(start), bool)
@@ -216,7 +297,7 @@ def _enough(words: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.n
     return out
 
 
-def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.ndarray) -> DataFrame:
+def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.ndarray, exact: Exact) -> DataFrame:
     terms = (space * weights[:, None]).astype(np.float32)
     targets = np.stack([terms[w].sum(axis=0) for w in items.words])
     lengths = np.linalg.norm(targets, axis=1, keepdims=True)
@@ -224,7 +305,6 @@ def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.nd
     kind = numbered.schema["id"].dataType.simpleString()
     columns = ["id", "item", "share", "first_word"]
     members, sizes_of = items.members(), np.array([len(w) for w in items.words])
-    blind = [k for k in range(len(items.ids)) if lengths[k] <= 1e-6]  # only common words: compared without retrieval
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -237,8 +317,9 @@ def _search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.nd
                 x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-6)
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 found = [np.nonzero(x[a : a + 8192] @ targets.T >= COSINE) + (a,) for a in range(0, len(x), 8192)]
-                p = np.concatenate([ps + a for ps, _, a in found] + [np.tile(np.arange(len(owner)), len(blind))]).astype(int)
-                k = np.concatenate([ks for _, ks, _ in found] + [np.repeat(blind, len(owner))]).astype(int)
+                near = np.concatenate([(ps + a) * len(targets) + ks for ps, ks, a in found]).astype(int)
+                ps, ks = exact.candidates(words, sizes)
+                p, k = np.divmod(np.r_[near, np.setdiff1d(ps * len(targets) + ks, near)], len(targets))
                 doc = owner[p]
                 low = np.maximum(place[p] * HALF - sizes_of[k], 0)
                 high = np.minimum(place[p] * HALF + 2 * HALF + sizes_of[k], sizes[doc])
@@ -284,7 +365,7 @@ def contaminated(
         weights = np.maximum(weights, 0.0)
         if not weights.any():
             weights = np.ones(len(weights))
-        hits = _search(numbered, items, weights, latent_space(numbered, weights, min(RANK, len(weights))))
+        hits = _search(numbered, items, weights, latent_space(numbered, weights, min(RANK, len(weights))), Exact(items, frequency))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         kind = docs.schema[id_col].dataType.simpleString()
