@@ -255,6 +255,15 @@ def test_line_dedup(spark):
         assert found[k] == "\n".join(x for n, x in enumerate(text.split("\n")) if not x.strip() or (k, n) in kept)
 
 
+def test_line_dedup_compares_whole_lines_beyond_the_basic_plane(spark):
+    faces, tail = "😀" * 20, "abcdefghijklmnopqrst"
+    lines = ["😀😀😀😀A", "😀😀😀😀B", faces + tail, faces + tail[::-1], "\ufeff" + "𠀀" * 9 + tail * 3, "\ufeff" + "𠀀" * 9 + tail * 3 + "!", tail * 3 + "🎉", tail * 3]
+    top = classes(len(lines), lambda a, b: line_jaccard(lines[a], lines[b]) >= 0.8)
+    kept = {min(j for j in range(len(lines)) if top[j] == c) for c in set(top)}
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOC)).collect()}
+    assert len(kept) < len(lines) and found == {k: x if k in kept else "" for k, x in enumerate(lines)}
+
+
 def test_line_dedup_edges(spark):
     frame = edge_frame(spark)
     found = dedup_lines(frame, count=True)
