@@ -16,7 +16,7 @@ from tidelake.llm import catalog
 from tidelake.llm.decontaminate import contaminated, without_contaminated
 from tidelake.llm.jaccard_join import jaccard_join, one_of_each, prefix_depth
 from tidelake.llm.licenses import KNOWN, license_scan
-from tidelake.llm.line_dedup import dedup_lines
+from tidelake.llm.line_dedup import _members, dedup_lines
 from tidelake.llm.nearest import nearest
 from tidelake.llm.packing import Encoder, pack, plan
 from tidelake.llm.personal import personal_data, sanitised
@@ -264,6 +264,22 @@ def test_line_dedup_compares_whole_lines_beyond_the_basic_plane(spark):
     assert len(kept) < len(lines) and found == {k: x if k in kept else "" for k, x in enumerate(lines)}
 
 
+@pytest.mark.parametrize("size", [10, 20, 40])
+def test_line_bands_reach_the_stated_recall(spark, size):
+    """Pairs of ``size`` distinct shingles each, of similarity 0.8 or little more, meet in a band."""
+    rand, pairs = random.Random(size), 4000
+    rows = []
+    for k in range(pairs):
+        line = "".join(rand.choices("abcdefghijklmnopqrstuvwxyz", k=size + 7))
+        cut = size // 9  # so many shingles differ on each side, as the lines differ in their last characters
+        rows += [(2 * k, line), (2 * k + 1, line[: len(line) - cut] + "0" * cut)]
+    lines = spark.createDataFrame(rows, "key long, line string")
+    met = _members(lines).select("band", F.floor(F.col("key") / 2).alias("pair")).groupBy("band", "pair").count().where("count = 2")
+    likeness = (size - size // 9) / (size + size // 9)
+    missed = pairs - met.select("pair").distinct().count()
+    assert missed <= pairs * (1 - likeness**3) ** 8 + 4 * (pairs * (1 - likeness**3) ** 8) ** 0.5
+
+
 def test_line_dedup_edges(spark):
     frame = edge_frame(spark)
     found = dedup_lines(frame, count=True)
