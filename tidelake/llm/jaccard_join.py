@@ -1,8 +1,9 @@
-"""Near-duplicate texts: a self-join on the Jaccard similarity of word shingles through a MinHash LSH forest.
+"""Near-duplicate texts: a self-join on the Jaccard similarity of word shingles by MinHash banding.
 
-Each tree of the forest orders texts by a sequence of MinHash values; texts that share a prefix of it stand together
-in the tree's trie. Starting from whole sequences, the matched prefix is shortened until pairs at the least
-similarity meet in some tree with the target recall. Exact copies are one text here. Buckets with the same members
+Each band ("tree") hashes as many MinHash values as pairs at the least similarity may have to share and still meet in
+some band with the target recall; the number is the same for all texts. It takes the place of an LSH forest, whose
+prefixes are shortened text by text: links are counted exactly, so every text needs the recall of the shortest prefix
+anyway. Exact copies are one text here. Buckets with the same members
 in several trees are kept once. Large buckets are split into tiles of blocks; each tile verifies its pairs by the
 exact similarity of their shingle sets, counts links, and passes on a spanning forest of them instead of all pairs.
 """
