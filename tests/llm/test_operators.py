@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and edge rows, on small tables."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -22,7 +23,7 @@ from tidelake.llm.packing import Encoder, pack, plan
 from tidelake.llm.personal import personal_data, sanitised
 from tidelake.llm.quality import isotonic, keep_good, quality_scores
 from tidelake.llm.token_counts import PrefixTable, count_at, longest_within, token_counts, truncate
-from tidelake.llm.warc import archive_pages, payload_digest
+from tidelake.llm.warc import ARC_FIELDS, arc_records, arc_to_warc, archive_pages, payload_digest, read_warc, warc_records, write_arc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -331,6 +332,53 @@ def test_archives_round_trip(spark):
     assert archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def arc_bytes(version: int, records: list[tuple[str, bytes]], fields: str | None = None) -> bytes:
+    about = f"{version} 0 test\n{fields or ARC_FIELDS[version]}\n".encode()
+    middle = b"" if version == 1 else b"200 - - 0 file.arc "
+    found = b"filedesc://file.arc 0.0.0.0 20240101000000 text/plain " + middle + str(len(about)).encode() + b"\n" + about + b"\n"
+    for url, block in records:
+        found += url.encode() + b" 1.2.3.4 20200229235959 text/html " + middle + str(len(block)).encode() + b"\n" + block + b"\n"
+    return found
+
+
+def test_arc_files_of_both_versions_and_broken_ones():
+    block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>\n\n"
+    for version in (1, 2):
+        data = arc_bytes(version, [("http://a", block), ("dns:a", b"1.2.3.4")])
+        for packed in (gzip.compress(data), b"".join(gzip.compress(data[k : k + 40]) for k in range(0, len(data), 40))):
+            kinds = [(r["kind"], r["block"]) for r in arc_records(packed)]
+            assert kinds[1:] == [("response", block), ("resource", b"1.2.3.4")] and kinds[0][0] == "warcinfo"
+    with pytest.raises(ValueError, match="shorter"):
+        list(arc_records(gzip.compress(arc_bytes(1, [("http://a", block)])[:-9])))
+    with pytest.raises(ValueError, match="unknown ARC version"):
+        list(arc_records(gzip.compress(arc_bytes(1, [], "URL Archive-length"))))
+    with pytest.raises(ValueError, match="does not fit"):
+        list(arc_records(gzip.compress(arc_bytes(2, []) + b"http://a 1.2.3.4 5\nhello\n")))
+
+
+def test_warc_files_are_members_and_wrong_digests_are_found(spark, tmp_path):
+    rows = [(k, f"http://u/{k}", "same" if k % 2 else f"page {k}") for k in range(9)]
+    arc, warc = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), arc, "page_id", "url", "html")
+    arc_to_warc(spark, arc, warc)
+    parts = [p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*"))]
+    heads = [h for p in parts for h, _ in warc_records(p)]
+    assert sorted(h["warc-type"] for h in heads if h["warc-type"] != "warcinfo") == ["response"] * 6 + ["revisit"] * 3
+    assert all(next(iter(warc_records(p)))[0]["warc-type"] == "warcinfo" for p in parts if p)
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "x").write_bytes(gzip.compress(gzip.decompress(parts[0]).replace(b"page", b"pagE")))
+    with pytest.raises(Exception, match="differs from what is stored"):
+        read_warc(spark, f"file://{bad}").collect()
+
+
+def test_archives_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", "y" * 2_000_000)], "page_id long, url string, html string")
+    wide = frame.withColumn("record", F.lit(1)).withColumn("digest", F.lit(2)).withColumn("id", F.lit(3)).withColumn("page", F.lit(4))
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in archive_pages(wide).collect()}
+    assert found == {1: ("revisit", 2, 1), 2: ("response", None, 1), 3: ("response", None, 2_000_000)}
+
+
 def test_every_operator_is_registered():
     names = catalog.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

@@ -6,9 +6,10 @@ declared length, splits the HTTP headers from the payload and synthesises what W
 identifiers, ISO timestamps, record types and digests. A payload that occurs again is stored once; the other
 records become revisits of it.
 
-Files are written by Spark's text writer, with the separator of the format as line separator, and read as binary
-files, so they may lie in any store that Spark reaches. Records are decoded one after another from the compressed
-bytes of a file; a file is as large as the split it was made from.
+Each record is a gzip member of its own, as both formats want it. Files are written by Spark's text writer, with the
+separator of the format (also a member) as line separator, and read as binary files, so they may lie in any store
+that Spark reaches. Records are decoded one after another from the compressed bytes of a file; a file is as large as
+the split it was made from.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +36,21 @@ ARC_FIELDS = {
 }
 ID_HEADER = "X-Archive-Page-Id"
 BATCH_BYTES = 16 << 20
+LEVEL = 4  # of compression
+SEPARATOR = b"\r\n\r\n"  # of WARC records
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member without time or name."""
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return deflate.compress(data) + deflate.flush()
+
+
+def _write_members(records: DataFrame, separator: bytes, path: str) -> None:
+    """Write members (``record binary``) with the separator's member between them. The encoding concerns the separator
+    only; records are written as they are."""
+    lines = records.select(F.col("record").cast("string"))
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", member(separator).decode("latin-1")).text(path)
 
 
 def payload_digest(payload: bytes) -> str:
@@ -77,21 +94,22 @@ def write_arc(df: DataFrame, path: str, id_col: str, url_col: str, body_col: str
         middle = "" if version == 1 else f"200 - - 0 part-{part:05d}.arc "
 
         def rows() -> Iterator[tuple[int, dict]]:
-            yield 0, {"record": f"{first}{middle}{len(about)}\n{about}".encode()}
+            yield 0, {"record": member(f"{first}{middle}{len(about)}\n{about}".encode())}
             for batch in batches:
                 for page, url, body in zip(batch["id"], batch["url"], batch["body"], strict=True):
                     data = body.encode("utf-8")
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n{ID_HEADER}: {page}\r\n\r\n"
                     block = head.encode("utf-8") + data
                     place = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url) or "unknown:"
-                    yield len(block), {"record": f"{place} 0.0.0.0 {archived_at} text/html {middle}{len(block)}\n".encode() + block}
+                    line = f"{place} 0.0.0.0 {archived_at} text/html {middle}{len(block)}\n"
+                    yield len(block), {"record": member(line.encode() + block)}
 
         yield from _batched(rows(), ["record"])
 
     text = F.coalesce(F.col(body_col), F.lit("")).alias("body")
     read = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text)
     records = read.mapInPandas(run, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write_members(records, b"\n", path)
 
 
 def arc_records(data: bytes) -> Iterator[dict]:
@@ -123,12 +141,15 @@ def _iso(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-CONVERTED = "page string, url string, date string, kind string, record_id string, digest string, size long, head binary, payload binary"
+CONVERTED = "page string, url string, date string, kind string, record_id string, digest string, size long"
+STORED = f"{CONVERTED}, head binary, record binary"
 
 
-def converted(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
-    """ARC files as WARC records to be: identifiers, timestamps, types and digests synthesised."""
-    columns = [x.split()[0] for x in CONVERTED.split(", ")]
+def converted(spark: SparkSession, path: str, with_record: bool) -> DataFrame:
+    """ARC files as WARC records to be: identifiers, timestamps, types and digests synthesised; ``with_record`` also the
+    HTTP headers and the finished record, for the case that the payload is stored."""
+    schema = STORED if with_record else CONVERTED
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple[int, dict]]:
@@ -143,78 +164,81 @@ def converted(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
                         known = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['URL']} {r['Archive-date']} {page} {digest}")
                         row = {
                             "page": page, "url": r["URL"], "date": _iso(r["Archive-date"]), "kind": r["kind"], "record_id": f"<urn:uuid:{known}>",
-                            "digest": digest, "size": len(payload), "head": head if with_payload else b"", "payload": payload if with_payload else b"",
+                            "digest": digest, "size": len(payload),
                         }
-                        yield len(payload) * with_payload, row
+                        if with_record:
+                            row |= {"head": head, "record": warc_record(row, r["block"])}
+                            yield len(row["record"]), row
+                        else:
+                            yield 0, row
 
         yield from _batched(rows(), columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, CONVERTED)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def warc_record(row: dict, block: bytes, of: tuple[str, str, str] | None = None) -> bytes:
+    """The member of a record; with ``of`` (identifier, address, date) a revisit of that record."""
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if of else row['kind']}",
+        f"WARC-Target-URI: {row['url']}",
+        f"WARC-Date: {row['date']}",
+        f"WARC-Record-ID: {row['record_id']}",
+        f"WARC-Payload-Digest: sha1:{row['digest']}",
+        f"WARC-Block-Digest: sha1:{payload_digest(block)}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(block)}",
+    ]
+    if of:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {of[0]}",
+            f"WARC-Refers-To-Target-URI: {of[1]}",
+            f"WARC-Refers-To-Date: {of[2]}",
+        ]
+    return member(("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + block)
+
+
+def _made_last(rows: pd.DataFrame) -> pd.DataFrame:
+    """``again``: the member of a revisit; ``info``: the one that a file starts with; null for rows that have none."""
+    again, info = [], []
+    for r in rows.to_dict("records"):
+        of = (r["of_id"], r["of_url"], r["of_date"]) if isinstance(r["of_id"], str) else None
+        again.append(warc_record(r, bytes(r["head"]), of) if of else None)
+        info.append(_warcinfo(r["part"]) + member(SEPARATOR) if r["place"] == 0 else None)
+    return pd.DataFrame({"again": pd.Series(again, dtype=object), "info": pd.Series(info, dtype=object)})
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, id_type: str = "long", least_bytes: int = 0) -> None:
-    """Convert ARC files to gzipped WARC files.
+    """Convert ARC files to WARC files.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest id stays a response
     (rows that repeat its id too); the others become revisits. Records without an id count as smallest.
     """
-    # ids and digests of all records meet first; payloads move once, to the record that decides on them
-    found = stash(converted(spark, arc_path, with_payload=False).drop("head", "payload"), "records")
+    # ids and digests of all records meet first; finished (compressed) records move once, to what decides on them
+    found = stash(converted(spark, arc_path, with_record=False), "records")
     own = F.when(F.col("page") != "", F.col("page").try_cast(id_type))
     largest = F.max(F.struct(own.alias("page"), "record_id", "url", "date"))  # null is smallest
     grouped = found.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(largest.alias("first"), F.count("*").alias("n"))
     firsts = grouped.where("n > 1").select("digest", "size", "first")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[tuple[int, dict]]:
-            yield 0, {"record": _warcinfo()}
-            for batch in batches:
-                for r in batch.itertuples(index=False):
-                    record = _warc_record(r)
-                    yield len(record), {"record": record}
-
-        yield from _batched(rows(), ["record"])
-
-    records = converted(spark, arc_path, with_payload=True).join(firsts, ["digest", "size"], "left")
+    records = converted(spark, arc_path, with_record=True).join(firsts, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first.page"))
-    flat = records.select(
-        *[x.split()[0] for x in CONVERTED.split(", ")],
-        F.when(revisit, F.col("first.record_id")).alias("of_id"),
-        F.when(revisit, F.col("first.url")).alias("of_url"),
-        F.when(revisit, F.col("first.date")).alias("of_date"),
-    ).mapInPandas(run, "record binary")
-    flat.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    of = [F.when(revisit, F.col(f"first.{c}")).alias(f"of_{n}") for n, c in (("id", "record_id"), ("url", "url"), ("date", "date"))]
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")
+    small = F.struct("url", "date", "kind", "record_id", "digest", "head", F.spark_partition_id().alias("part"), place, *of)
+    made = F.pandas_udf(_made_last, "again binary, info binary")
+    told = records.withColumn("made", made(small))
+    stored = told.select(F.concat(F.coalesce("made.info", F.lit(b"")), F.coalesce("made.again", "record")).alias("record"))
+    _write_members(stored, SEPARATOR, warc_path)
 
 
-def _warcinfo() -> bytes:
+def _warcinfo(part: int) -> bytes:
     about = b"software: tidelake\r\nformat: WARC File Format 1.1\r\n"
-    known = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {TaskContext.get().partitionId()}")
+    known = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {part}")
     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{known}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n"
-    return head.encode() + about
-
-
-def _warc_record(r) -> bytes:
-    revisit = isinstance(r.of_id, str)
-    block = bytes(r.head) if revisit else bytes(r.head) + bytes(r.payload)
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else r.kind}",
-        f"WARC-Target-URI: {r.url}",
-        f"WARC-Date: {r.date}",
-        f"WARC-Record-ID: {r.record_id}",
-        f"WARC-Payload-Digest: sha1:{r.digest}",
-        f"WARC-Block-Digest: sha1:{payload_digest(block)}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    if revisit:
-        lines += [
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {r.of_id}",
-            f"WARC-Refers-To-Target-URI: {r.of_url}",
-            f"WARC-Refers-To-Date: {r.of_date}",
-        ]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + block
+    return member(head.encode() + about)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
