@@ -17,7 +17,7 @@ from tidelake.llm import catalog
 from tidelake.llm.decontaminate import contaminated, without_contaminated
 from tidelake.llm.jaccard_join import jaccard_join, one_of_each, prefix_depth
 from tidelake.llm.licenses import KNOWN, license_scan
-from tidelake.llm.line_dedup import _members, dedup_lines
+from tidelake.llm.line_dedup import _members, _signed, _united, dedup_lines
 from tidelake.llm.nearest import nearest
 from tidelake.llm.packing import Encoder, pack, plan
 from tidelake.llm.personal import personal_data, sanitised
@@ -36,8 +36,15 @@ def prose(seed: int, n: int) -> list[str]:
     return random.Random(seed).choices(WORDS, k=n)
 
 
+CLASHING = (
+    "__text", "key", "id", "__drops", "__id", "__TH", "__hash", "__items", "__node", "__low", "__rejected", "__gone", "__score", "drops", "node", "rows",
+    "n", "component", "score", "words", "item", "line", "kept", "digest", "lines", "spans", "place", "bands", "length", "piece", "text_", "keys", "block", "x", "y",
+)
+
+
 def edge_frame(spark):
-    return spark.createDataFrame(EDGES, DOC).withColumn("__text", F.lit("clash")).withColumn("key", F.lit(1)).withColumn("id", F.lit("x"))
+    """Edge rows with columns that have the names which operators use inside."""
+    return spark.createDataFrame(EDGES, DOC).select("*", *[F.lit("clash").alias(c) for c in CLASHING])
 
 
 def empty(spark):
@@ -275,12 +282,44 @@ def test_line_bands_reach_the_stated_recall(spark, size):
         cut = size // 9  # so many shingles differ on each side, as the lines differ in their last characters
         rows += [(2 * k, line), (2 * k + 1, line[: len(line) - cut] + "0" * cut)]
     lines = spark.createDataFrame(rows, "key long, line string")
-    met = _members(lines).select("band", F.floor(F.col("key") / 2).alias("pair")).groupBy("band", "pair").count().where("count = 2")
+    met = _members(_signed(lines.withColumn("place", F.col("key")))).select("band", F.floor(F.col("key") / 2).alias("pair")).groupBy("band", "pair").count().where("count = 2")
     likeness = (size - size // 9) / (size + size // 9)
     missed = pairs - met.select("pair").distinct().count()
     assert missed <= pairs * (1 - likeness**3) ** 8 + 4 * (pairs * (1 - likeness**3) ** 8) ** 0.5
 
 
+def test_line_dedup_of_a_large_group_of_variants(spark):
+    """Lines with random changes of one line: most are similar to some other line, many of them not to the line itself."""
+    rand, base = random.Random(5), prose(77, 40)
+    lines = {" ".join(base)}
+    while len(lines) < 1500:
+        words = list(base) if rand.random() < 0.7 else rand.choice(sorted(lines)[:40]).split(" ")
+        for _ in range(rand.randint(1, 8)):
+            words[rand.randrange(len(words))] = rand.choice(WORDS)
+        lines.add(" ".join(words))
+    lines = sorted(lines)
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    top, links = list(range(len(lines))), []
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+                top[find(a)] = find(b)
+    signed = _signed(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "key long, line string").withColumn("place", F.col("key"))).cache()
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "key long, line string").withColumn("place", F.col("key"))
+    found = {r["node"]: r["component"] for r in _united(frame, signed, 0.8).collect()}
+    same = sum(a in found and found[a] == found.get(b) for a, b in links)
+    assert len(links) > 5000 and same >= 0.95 * len(links), (same, len(links))
+    assert all(find(a) == find(b) for a, b in found.items())
+
+
 def test_line_dedup_edges(spark):
     frame = edge_frame(spark)
     found = dedup_lines(frame, count=True)
