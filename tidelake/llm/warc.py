@@ -36,7 +36,7 @@ ARC_FIELDS = {
 }
 ID_HEADER = "X-Archive-Page-Id"
 BATCH_BYTES = 16 << 20
-LEVEL = 4  # of compression
+LEVEL = 6  # of compression
 SEPARATOR = b"\r\n\r\n"  # of WARC records
 
 
