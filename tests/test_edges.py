@@ -3,12 +3,14 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as sc
-from tidelake.operators import align, alerts, dq, events, features, merge
+from tidelake.operators import align, alerts, dq, events, features, merge, parsers, routing
 from tidelake.operators.vectors import cosine_similarity, knn_exact, predict_breach
 from tidelake.session import shared_dir
+from tidelake.sources import tables
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -38,18 +40,35 @@ def test_rate_of_change_with_equal_times(spark):
 def test_crossings_at_the_threshold_and_of_ranges(spark):
     values = [1.0, 5.0, 5.0, 4.0, None, 6.0, 12.0, 7.0, 1.0]
     rows = spark.createDataFrame([(k, "a", "m", at(k), v) for k, v in enumerate(values)], "event_id long, entity string, metric string, ts timestamp, value double")
-    goals = spark.createDataFrame([("m", ">=", 5.0, None), ("m", "between", 5.0, 10.0)], "metric string, condition string, threshold double, threshold_upper double")
-    got = events.threshold_crossings(rows, goals, "entity", "ts", "event_id").orderBy("event_id", "condition").collect()
-    assert [(r["event_id"], r["crossing"]) for r in got] == [
-        (1, "rising"), (1, "entering_range"), (3, "falling"), (3, "exiting_range_low"), (6, "exiting_range_high"), (7, "entering_range"), (8, "falling"), (8, "exiting_range_low"),
+    schema = "metric string, objective_id string, condition string, threshold double, threshold_upper double"
+    goals = spark.createDataFrame([("m", "a", ">=", 5.0, None), ("m", "b", "between", 5.0, 10.0), ("m", "c", "<", 5.0, None)], schema)
+    got = events.threshold_crossings(rows, goals, "entity", "ts", "event_id").orderBy("event_id", "objective_id").collect()
+    # leaving the good side is rising, also where the value falls
+    assert [(r["event_id"], r["objective_id"], r["crossing"]) for r in got] == [
+        (1, "a", "falling"), (1, "b", "entering_range"), (1, "c", "rising"), (3, "a", "rising"), (3, "b", "exiting_range_low"), (3, "c", "falling"),
+        (6, "b", "exiting_range_high"), (7, "b", "entering_range"), (8, "a", "rising"), (8, "b", "exiting_range_low"), (8, "c", "falling"),
     ]
+    plain = events.threshold_crossings(rows, goals, "entity", "ts", "event_id", simple=True).where("objective_id = 'a'").orderBy("event_id").collect()
+    assert [(r["event_id"], r["crossing"]) for r in plain] == [(1, "rising"), (3, "falling"), (8, "falling")]
 
 
 def test_transitions_of_first_repeated_and_null_states(spark):
     rows = spark.createDataFrame([(k, 1, at(k), s) for k, s in enumerate(["on", "on", "off", None, "on"])], "event_id long, e long, ts timestamp, state string")
     got = events.state_transitions(rows, "e", "ts", "state", "event_id").orderBy("event_id").collect()
-    assert [r["is_actual_transition"] for r in got] == [False, False, True, True, False]
-    assert got[2]["duration_ms"] == 60_000 and got[0]["direction"] == "initial"
+    assert [r["is_actual_transition"] for r in got] == [True, False, True, True, True]
+    assert got[2]["duration_ms"] == 60_000 and [r["direction"] for r in got] == ["initial", "unchanged", "changed", "changed", "initial"]
+    two = events.state_transitions(rows, "e", "ts", "state", "event_id", states=("on", "off")).orderBy("event_id").collect()
+    assert [r["direction"] for r in two] == ["initial", "unknown", "deactivating", "unknown", "initial"]
+    since = events.transitions_since(rows, "e", "ts", "state", "event_id", "2024-01-01 00:02:00").collect()
+    assert [(r["event_id"], r["from_state"], r["to_state"]) for r in since] == [(2, "on", "off"), (3, "off", None)]
+
+
+def test_range_join_keeps_rows_with_nulls_once(spark):
+    left = spark.createDataFrame([(1, None, at(0)), (2, "x", at(60)), (3, None, None)], "id long, note string, t timestamp")
+    right = spark.createDataFrame([(10, at(4)), (11, at(-5)), (12, at(5.01))], "rid long, u timestamp")
+    got = align.range_join(left, right, "t", "u", 300, []).collect()
+    assert sorted((r["id"], r["rid"] or 0) for r in got) == [(1, 10), (1, 11), (2, 0), (3, 0)]
+    assert align.range_join(left, right, "t", "u", 300, [], "inner").count() == 2
 
 
 def test_asof_without_earlier_row_with_tie_and_several_issues(spark):
@@ -91,11 +110,16 @@ def test_ewma_is_the_recurrence_whatever_the_chunk(spark):
         assert all(abs(g["ewma_mean"] - m) < 1e-9 and abs(g["ewma_var"] - s) < 1e-9 for g, (m, s) in zip(got, wanted, strict=True))
 
 
-def test_cooldown_is_greedy(spark):
-    limits = spark.createDataFrame([("f", 90.0, 0.0, 70.0, 1.0)], "field string, critical double, min_critical double, warning double, min_warning double")
-    rows = spark.createDataFrame([(k, 1, at(m), "f", 95.0) for k, m in enumerate([0, 1, 4, 5, 6])], "event_id long, user_id long, ts timestamp, field string, value double")
-    got = alerts.alert_cooldown(alerts.threshold_alerts(rows, limits).select("event_id", "user_id", "ts", "field", "value", "severities", "severity"), "user_id", "ts", "event_id", 300).orderBy("event_id").collect()
-    assert [(r["event_id"], r["severity"]) for r in got] == [(0, "critical"), (1, "warning"), (3, "critical"), (4, "warning")]
+def test_cooldown_tries_the_next_rule(spark):
+    rules = [alerts.Rule("a", critical=90.0, min_critical=0.0, warning=70.0, cooldown_seconds=300), alerts.Rule("b", warning=1.0, cooldown_seconds=60)]
+    rows = [(0, 0, 95.0, 0.0), (1, 1, 95.0, 2.0), (2, 1.5, 95.0, 2.0), (3, 2, 75.0, 0.0), (4, 3, -1.0, 0.0), (5, 5, -1.0, 2.0), (6, 6, None, None)]
+    frame = spark.createDataFrame([(k, 1, at(m), a, b) for k, m, a, b in rows], "event_id long, user_id long, ts timestamp, a double, b double")
+    got = alerts.alert_cooldown(frame, rules, "user_id", "ts", "event_id").orderBy("event_id").collect()
+    # a minimum shares severity and cooldown with the maximum
+    assert [(r["event_id"], r["field"], r["severity"], r["direction"]) for r in got] == [
+        (0, "a", "critical", "above"), (1, "b", "warning", "above"), (3, "a", "warning", "above"), (5, "a", "critical", "below"),
+    ]
+    assert got[0]["message"] == "a critical is above critical threshold (95.00 >= 90.00)" and got[3]["message"].endswith("(-1.00 <= 0.00)")
 
 
 def test_neighbours_with_zero_vector_and_too_few_rows(spark):
@@ -115,5 +139,62 @@ def test_scalars(spark):
     assert tuple(row) == (None, 500, 1.0, at(26 * 60))
 
 
+def values(spark, *columns):
+    return list(spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first())
+
+
+def test_bands_and_labels(spark):
+    none = F.lit(None).cast("double")
+    assert values(spark, *[sc.aqi_pm25(F.lit(x)) for x in (0.0, 9.0, 9.1, 35.4, 55.4, 125.4, 225.4, 325.4, 325.5)]) == [0, 50, 51, 100, 150, 200, 300, 500, 500]
+    assert values(spark, *[sc.mold_risk(F.lit(x)) for x in (49.9, 50.0, 60.0, 64.9, 65.0, 79.9, 80.0)], sc.mold_risk(none)) == ["LOW", "MODERATE", "ELEVATED", "ELEVATED", "HIGH", "HIGH", "CRITICAL", "UNKNOWN"]
+    labels = [sc.health_label(a, b) for a, b in ((none, none), (F.lit(11.9), F.lit(999.0)), (F.lit(12.0), none), (F.lit(35.3), F.lit(1499.0)), (F.lit(35.4), none), (none, F.lit(1500.0)))]
+    assert values(spark, *labels) == ["Good", "Good", "Moderate", "Moderate", "Unhealthy", "Unhealthy"]
+    air = [sc.window_recommendation(F.lit(10.0), F.lit(o), F.lit(t), F.lit(h)) for o, t, h in ((7.9, 18.0, 79.0), (7.9, 17.9, 79.0), (7.9, 26.0, 80.0), (8.0, 20.0, 10.0), (12.1, 20.0, 10.0))]
+    assert values(spark, *air) == ["OPEN_WINDOWS", "NEUTRAL", "NEUTRAL", "NEUTRAL", "KEEP_CLOSED"]
+    missed = [sc.objective_violation(F.lit(5.0), F.lit("between"), F.lit(5.0), u) for u in (none, F.lit(9.0))] + [sc.objective_violation(F.lit(6.0), F.lit("between"), F.lit(5.0), none)]
+    assert values(spark, *missed) == [False, False, True]
+    assert values(spark, sc.array_parse(F.lit(" {a, b} ")), sc.array_parse(F.lit("{}")), sc.array_parse(F.lit("a{b"))) == [["a", "b"], [], ["a{b"]]
+    assert values(spark, sc.age_display(F.lit(125.4), F.lit(False)), sc.age_display(F.lit(5400.0), F.lit(True)), sc.age_display(none, F.lit(False))) == ["2m 5s ago", "1.5 hours ago", "No Data"]
+
+
+def test_rule_names_in_flags(spark):
+    row = spark.createDataFrame([("x", 1.0, at(0))], "kind string, v double, ts timestamp")
+    rules = [dq.enum_check("kind", ["a"]), dq.pattern_check("kind", "^a"), dq.cross_field("v > 2", "big"), dq.freshness_check("ts", F.lit(at(-10)), newest="5 MINUTES"), dq.freshness_check("ts", F.lit(at(-3)), newest="5 MINUTES")]
+    got = row.select(*[r.alias(f"r{k}") for k, r in enumerate(rules)]).first()
+    assert list(got) == ["enum_check:kind:invalid_value", "pattern_check:kind:pattern_mismatch", "cross_field_check:big", "freshness_check:ts:future", None]
+
+
+def test_topic_patterns():
+    assert routing.topic_regex("home/+/devices/#") == r"^home/[^/]+/devices/.*$"
+    with pytest.raises(ValueError, match="empty"):
+        routing.topic_regex("")
+
+
+def test_payload_parsers(spark):
+    rows = spark.createDataFrame([(1, '{"serialno":"a","n":1,"q":"2","t":true,"o":{"n":3}}'), (2, '{"serialno":5,"n":1.5}'), (3, "[]"), (4, None), (5, "{")], "id long, p string")
+    flat = parsers.flat_json(rows, "p", ["id"], "serialno", skip=("skipped",)).collect()
+    assert [(r["id"], r["location_id"], r["metric"], r["value"]) for r in flat] == [(1, "a", "n", 1.0)]
+    assert {(r["id"], r["metric"]) for r in parsers.flat_json(rows, "p", ["id"], "serialno", "d").collect()} == {(1, "n"), (2, "n"), (2, "serialno")}
+    path = parsers.json_path(rows, "p", ["id"], [parsers.Field("q", "quoted"), parsers.Field("o.n", "inner", transform="mps_to_kmh")], "serialno").collect()
+    assert sorted((r["metric"], r["value"]) for r in path) == [("inner", pytest.approx(10.8)), ("quoted", 2.0)]
+    assert parsers.owm_pollution(spark.createDataFrame([('{"list":[]}',)], "p string"), "p", []).count() == 0
+    assert parsers.sensor_payload(rows, "p", ["id"]).select("id").collect()[0]["id"] == 1
+
+
+def test_dimension_files(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("id,extra,ok,n\n1,x,yes,2\n2,x,F,bad\n3,x,,\n")
+    got = tables.read_dimension(spark, str(tmp_path), {"n": "int", "id": "bigint", "ok": "boolean"}).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(2, 1, True), (None, 3, None)]
+    with pytest.raises(ValueError, match="missing"):
+        tables.read_dimension(spark, str(tmp_path), {"missing": "int"})
+
+
+def test_replacing_a_table_leaves_one_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.replace_table(spark, spark.range(3), path) == {"deleted": 0, "loaded": 3}
+    assert tables.replace_table(spark, spark.range(5), path) == {"deleted": 3, "loaded": 5}
+    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

@@ -6,11 +6,6 @@ import os
 import duckdb
 import pytest
 
-import tidelake.plans.q_events
-import tidelake.plans.q_rollups
-import tidelake.plans.q_scalars
-import tidelake.plans.q_sources
-import tidelake.plans.q_windows  # noqa: F401
 from tidelake.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -33,7 +28,7 @@ def told(rows):
     return sorted(tuple(map(cell, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     found = catalog.QUERIES[name](spark, SF)
     columns = sorted(found.columns)

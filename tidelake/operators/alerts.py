@@ -2,45 +2,118 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The order in which rules are tried, as (severity, threshold column, whether the value is above it).
-RULES = (("critical", "critical", True), ("critical_low", "min_critical", False), ("warning", "warning", True), ("warning_low", "min_warning", False))
+# The bounds of a rule in the order in which they are tried, as (name, severity, whether it is a minimum).
+BOUNDS = (("critical", "critical", False), ("min_critical", "critical", True), ("warning", "warning", False), ("min_warning", "warning", True))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Bounds of a field; the first one that is reached gives the alert. Bounds that are None aren't tried."""
+
+    field: str
+    critical: float | None = None
+    min_critical: float | None = None
+    warning: float | None = None
+    min_warning: float | None = None
+    cooldown_seconds: int = 300
+
+
+def hit(rule: Rule) -> Column:
+    """The alert of one rule as a struct, or null."""
+    value, found = F.col(rule.field).cast("double"), []
+    for name, severity, minimum in BOUNDS:
+        bound = getattr(rule, name)
+        if bound is None:
+            continue
+        side, sign = ("below", "<=") if minimum else ("above", ">=")
+        text = F.format_string(f"{rule.field} {severity} is {side} {severity} threshold (%.2f {sign} {bound:.2f})", value)
+        alert = F.struct(
+            F.lit(rule.field).alias("field"), F.lit(severity).alias("severity"), value.alias("value"), F.lit(float(bound)).alias("threshold"),
+            F.lit(side).alias("direction"), F.lit(rule.cooldown_seconds).cast("long").alias("cooldown"), text.alias("message"),
+        )
+        found.append(F.when((value <= bound) if minimum else (value >= bound), alert))
+    return F.coalesce(*found)
+
+
+def rule_hits(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows with ``hits``: the alerts of all rules, in the order of the rules; rows without any are left out."""
+    return df.withColumn("hits", F.array_compact(F.array(*[hit(r) for r in rules]))).where(F.size("hits") > 0)
+
 
+def threshold_alerts(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The first rule that hits gives a row's alert: ``field, severity, value, threshold, direction, message``."""
+    own = [F.col(c) for c in df.columns if c not in {r.field for r in rules}]
+    found = rule_hits(df, rules).select(*own, F.col("hits")[0].alias("alert"))
+    return found.select(*own, *[f"alert.{c}" for c in ("field", "severity", "value", "threshold", "direction", "message")])
 
-def severities(value: Column) -> Column:
-    """All rules that hit, in their order."""
-    return F.array_compact(F.array(*[F.when((value >= F.col(c)) if above else (value <= F.col(c)), F.lit(s)) for s, c, above in RULES]))
 
+def walk(rows: pd.DataFrame, last: dict[tuple[str, str], float]) -> pd.DataFrame:
+    """Choose the alerts of one source, its rows in order: of each row the first alert whose (field, severity) isn't in
+    its cooldown. ``last`` is when each was last alerted, and is brought up to date."""
+    chosen = []
+    for at, hits in zip(rows["at"], rows["hits"], strict=True):
+        pick = None
+        for x in hits:
+            key = (x["field"], x["severity"])
+            if at - last.get(key, float("-inf")) >= x["cooldown"]:
+                last[key] = at
+                pick = x
+                break
+        chosen.append(pick)
+    keep = [k for k, x in enumerate(chosen) if x is not None]
+    out = rows.iloc[keep].drop(columns=["at", "hits"])
+    for c in ("field", "severity", "value", "threshold", "direction", "message"):
+        out[c] = [chosen[k][c] for k in keep]
+    return out
 
-def threshold_alerts(df: DataFrame, limits: DataFrame, field: str = "field") -> DataFrame:
-    """The first rule that hits gives the alert and its message."""
-    hit = df.join(limits, field).withColumn("severities", severities(F.col("value")))
-    found = hit.where(F.size("severities") > 0).withColumn("severity", F.col("severities")[0])
-    return found.withColumn("message", F.concat(F.col(field), F.lit(" is "), F.col("severity")))
 
+ALERT = "field string, severity string, value double, threshold double, direction string, message string"
 
-def alert_cooldown(alerts: DataFrame, source: str, time: str, tie: str, seconds: int) -> DataFrame:
-    """At most one alert of a (source, field, severity) in so many seconds; a suppressed rule lets the next one try.
 
-    The choice depends on the alerts before it, so each source's alerts are walked in order; sources are spread
-    over tasks.
+def alert_cooldown(df: DataFrame, rules: list[Rule], source: str, time: str, tie: str) -> DataFrame:
+    """At most one alert per row, and at most one of a (field, severity) of a source within the rule's cooldown, in
+    event time; where a rule is suppressed, the next rule is tried.
+
+    The choice depends on the alerts before it, so a source's alerts (not its readings) are walked in order; sources
+    are spread over tasks.
     """
-    schema = alerts.schema
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        last: dict = {}
-        keep, chosen = [], []
-        for n, row in enumerate(rows.sort_values([time, tie]).itertuples()):
-            now = getattr(row, time).timestamp()
-            for severity in row.severities:
-                if now - last.get((row.field, severity), float("-inf")) >= seconds:
-                    last[row.field, severity] = now
-                    keep.append(n)
-                    chosen.append(severity)
-                    break
-        return rows.sort_values([time, tie]).iloc[keep].assign(severity=chosen)[schema.names]
-
-    return alerts.groupBy(source).applyInPandas(walk, schema)
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    hits = rule_hits(df, rules).select(source, time, tie, seconds.alias("at"), "hits")
+    schema = ", ".join(f"`{c}` {hits.schema[c].dataType.simpleString()}" for c in (source, time, tie))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return walk(rows.sort_values(["at", tie]), {})
+
+    return hits.groupBy(source).applyInPandas(run, f"{schema}, {ALERT}")
+
+
+def alert_cooldown_stream(stream: DataFrame, rules: list[Rule], source: str, time: str, tie: str, keep_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """The same for a stream: what was last alerted is the state of a source, which is dropped once the watermark is
+    ``keep_seconds`` past its last alert (at least the longest cooldown). Rows of a micro-batch are walked in their order; a
+    row that comes later is judged as it comes, and one behind the watermark is left out."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    keep_seconds = max(keep_seconds, *[r.cooldown_seconds for r in rules])
+    hits = rule_hits(stream.withWatermark(time, late), rules).select(source, time, tie, seconds.alias("at"), "hits")
+    schema = ", ".join(f"`{c}` {hits.schema[c].dataType.simpleString()}" for c in (source, time, tie))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fields, severities, times = state.get if state.exists else ([], [], [])
+        last = dict(zip(zip(fields, severities, strict=True), times, strict=True))
+        yield walk(pd.concat(list(batches)).sort_values(["at", tie]), last)
+        state.update(([k[0] for k in last], [k[1] for k in last], list(last.values())))
+        state.setTimeoutTimestamp(int(max(max(last.values()) * 1000, state.getCurrentWatermarkMs())) + keep_seconds * 1000)
+
+    kept = "fields array<string>, severities array<string>, times array<double>"
+    return hits.groupBy(source).applyInPandasWithState(run, f"{schema}, {ALERT}", kept, "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 
 def _by(entity: str | None, order: str | list[str]):
     order = [order] if isinstance(order, str) else order
@@ -46,6 +50,27 @@ def trend_direction(field: str, entity: str, order: str | list[str], back: int =
     return F.when(F.col(field) > old * 1.1, "rising").when(F.col(field) < old * 0.9, "falling").otherwise("stable")
 
 
+def with_trend(df: DataFrame, field: str, entity: str, order: str | list[str], back: int = 4) -> DataFrame:
+    """``trend``, the change over so many rows, and that change per row (an hour each)."""
+    change = F.col(field) - F.lag(field, back).over(_by(entity, order))
+    return df.select("*", trend_direction(field, entity, order, back).alias("trend"), change.alias("change"), (change / back).alias("rate_per_hour"))
+
+
+def severity_sort(df: DataFrame, severity: str, order: list[str], levels: tuple[str, ...] = ("critical", "warning", "info"), spread: int = 64) -> DataFrame:
+    """``rank`` of each row, from 1: by severity, then ``order``. No task sorts everything: rows are ranked within the
+    range partitions of a sort, and the counts before each partition are added."""
+    level = F.lit(len(levels))
+    for n, name in reversed(list(enumerate(levels))):
+        level = F.when(F.col(severity) == name, n).otherwise(level)
+    dealt = df.withColumn("__level", level).repartitionByRange(spread, "__level", *order).withColumn("__part", F.spark_partition_id())
+    dealt = stash(dealt, "ranked")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # as many rows as partitions
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__before")))
+    own = F.row_number().over(W.partitionBy("__part").orderBy("__level", *order))
+    return dealt.join(starts, "__part").withColumn("rank", F.col("__before") + own).select(*df.columns, "rank")
+
+
 def carry_forward(field: str, order: str | list[str], entity: str | None = None, most: int = 6) -> Column:
     """The last value of at most so many rows before; one window instead of a chain of lags."""
     return F.last(field, ignorenulls=True).over(_by(entity, order).rowsBetween(-most, 0))
@@ -137,3 +162,58 @@ def ewma(df: DataFrame, entity: str, order: list[str], field: str, alpha: float
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ewma_mean double, ewma_var double"
     return numbered.join(starts, [entity, "__c"]).groupBy(entity, "__c").applyInPandas(replay, schema)
+
+
+# Observations before a vector is given, and the smallest deviation that a value is divided by.
+WARM_UP, FLAT = 168, 1e-10
+
+
+def embed_metrics(df: DataFrame, entity: str, order: list[str], time: str, fields: list[tuple[str, str]], alpha: float = 0.01, chunk: int = 4096) -> DataFrame:
+    """``embedding`` of each row from the entity's ``WARM_UP``-th observation on: sine and cosine of the hour, whether
+    it is a weekend, and each field's z-score by exponentially weighted statistics that include the row.
+
+    fields: (column, null strategy). A missing value becomes 0 (``zero``, ``mean``) or the z-score of the last value
+    (``last_known``; 0 without one).
+    """
+    found, scores = df, []
+    for field, strategy in fields:
+        found = ewma(found, entity, order, field, alpha, chunk).withColumnsRenamed({"ewma_mean": f"__m_{field}", "ewma_var": f"__v_{field}"})
+        used = F.col(field)
+        if strategy == "last_known":
+            used = F.last(field, ignorenulls=True).over(_by(entity, order).rowsBetween(W.unboundedPreceding, 0))
+        deviation = F.sqrt(f"__v_{field}")
+        scores.append(F.when(used.isNull() | (deviation < FLAT), 0.0).otherwise((used - F.col(f"__m_{field}")) / deviation))
+    angle = F.hour(time) * (2 * math.pi / 24)
+    vector = F.array(F.sin(angle), F.cos(angle), F.weekday(time).isin(5, 6).cast("double"), *scores)
+    seen = F.row_number().over(_by(entity, order))
+    told = found.withColumn("embedding", vector).withColumn("__seen", seen)
+    return told.where(F.col("__seen") >= WARM_UP).select(*df.columns, "embedding")
+
+
+# The columns of the feature matrix in their order, the lags and the window in rows.
+MATRIX = ("hour", "day_of_week", "is_weekend", "value", "co2", "voc_index", "temperature", "humidity", "lag_1h", "lag_3h", "lag_24h", "rolling_mean_1h", "rolling_std_1h")
+MATRIX_LAGS, MATRIX_ROWS = {"lag_1h": 60, "lag_3h": 180, "lag_24h": 1440}, 60
+
+
+def feature_matrix(df: DataFrame, entity: str, order: list[str], time: str, value: str, others: dict[str, str] | None = None) -> DataFrame:
+    """``MATRIX`` of each row, each column scaled by its mean and population deviation over the entity (0 where it
+    doesn't vary). Lags before the first row are 0; rolling statistics are NaN until the window is full, and NaN stays out of the
+    scaling. Columns that ``others`` doesn't name are 0."""
+    w = _by(entity, order)
+    mean, deviation = rolling_full_window(value, MATRIX_ROWS, entity, order)
+    hour, day, weekend = hour_dow_weekend(time)
+    raw = {"hour": hour, "day_of_week": day, "is_weekend": weekend.cast("int"), "value": F.col(value), "rolling_mean_1h": mean, "rolling_std_1h": deviation}
+    raw |= {name: F.lag(value, n, 0.0).over(w) for name, n in MATRIX_LAGS.items()}
+    raw |= {name: F.coalesce(F.col((others or {}).get(name)), F.lit(0.0)) if name in (others or {}) else F.lit(0.0) for name in ("co2", "voc_index", "temperature", "humidity")}
+    keep = [c for c in df.columns if c not in MATRIX]
+    wide = df.select(*keep, *[raw[c].cast("double").alias(c) for c in MATRIX])
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in MATRIX}
+    stats = wide.groupBy(entity).agg(*[f(known[c]).alias(f"__{n}_{c}") for c in MATRIX for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = [F.when(F.isnan(c), F.col(c)).when(F.col(f"__s_{c}") == 0, 0.0).otherwise((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).alias(c) for c in MATRIX]
+    return wide.join(stats, entity).select(*keep, *scaled)
+
+
+def slope_over_index(df: DataFrame, entity: str, order: list[str], field: str) -> DataFrame:
+    """``slope`` of a least-squares line through the values of each entity over their place (0, 1, ...)."""
+    placed = df.withColumn("__x", F.row_number().over(_by(entity, order)) - 1)
+    return placed.groupBy(entity).agg(F.regr_slope(field, "__x").alias("slope"))

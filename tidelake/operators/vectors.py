@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stash
+from .features import latest_per_key
+from .merge import replace_rows
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
@@ -33,42 +37,59 @@ def poincare_distance(a: str, b: str) -> Column:
     return F.acosh(1 + 2 * gap * gap / ((1 - dot(a, a)) * (1 - dot(b, b))))
 
 
-def knn_exact(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", least: float = -1.0, block: int = 2048, score=None) -> DataFrame:
-    """``query_id, rank, vec_id, similarity``: the k rows of largest cosine, another row than the query's own.
-    ``score`` may give other similarities of two matrices of vectors.
-
-    Blocks of queries meet blocks of rows in a grid; each cell keeps k rows a query by one matrix product, and the
-    cells' results are ranked together.
-    """
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block))
+def _unit(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_list()).astype(float)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
 
-    nq, nr = blocks(queries), blocks(rows)
-    own = F.pmod(F.xxhash64(id_col), F.lit(nq)), F.pmod(F.xxhash64(id_col), F.lit(nr))
-    left = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own[0].alias("qb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<long>")))
-    right = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own[1].alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>")))
 
-    def unit(v: pd.Series) -> np.ndarray:
-        x = np.stack(v.to_list()).astype(float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+def _best(left: DataFrame, right: DataFrame, groups: list[str], k: int, least: float, score=None) -> DataFrame:
+    """Queries (id, v) meet the rows (id, v) of their group; each group keeps k rows a query by one matrix product, and
+    the groups' results are ranked together."""
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "similarity"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=columns)
         qid, rid = a["id"].to_numpy(), b["id"].to_numpy()
-        found = score(np.stack(a["v"].to_list()), np.stack(b["v"].to_list())) if score else unit(a["v"]) @ unit(b["v"]).T
+        found = score(np.stack(a["v"].to_list()), np.stack(b["v"].to_list())) if score else _unit(a["v"]) @ _unit(b["v"]).T
         found[(qid[:, None] == rid) | ~np.isfinite(found)] = -np.inf
         top = np.lexsort((np.broadcast_to(rid, found.shape), -found), axis=1)[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), "vec_id": rid[top].ravel(), "similarity": np.take_along_axis(found, top, 1).ravel()})
         return out[out["similarity"] >= least]
 
-    pairs = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(cell, "query_id long, vec_id long, similarity double")
+    pairs = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(cell, "query_id long, vec_id long, similarity double")
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
+def _blocks(df: DataFrame, block: int) -> int:
+    return max(1, -(-df.count() // block))
+
+
+def knn_exact(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", least: float = -1.0, block: int = 2048, score=None) -> DataFrame:
+    """``query_id, rank, vec_id, similarity``: the k rows of largest cosine, another row than the query's own.
+    ``score`` may give other similarities of two matrices of vectors. Blocks of queries meet blocks of rows in a grid.
+    """
+    nq, nr = _blocks(queries, block), _blocks(rows, block)
+    own = F.pmod(F.xxhash64(id_col), F.lit(nq)), F.pmod(F.xxhash64(id_col), F.lit(nr))
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")) for n in (nr, nq)]
+    left = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own[0].alias("qb")).withColumn("rb", every[0])
+    right = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own[1].alias("rb")).withColumn("qb", every[1])
+    return _best(left, right, ["qb", "rb"], k, least, score)
+
+
+def eligible(rows: DataFrame, as_of: str | None = None, namespace: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """The rows a search may find: of a namespace and of given types, and not expired: ``ttl_seconds`` after ``created_at``
+    (null: never)."""
+    found = rows if namespace is None else rows.where(F.col("namespace") == namespace)
+    found = found if types is None else found.where(F.col("type").isin(*types))
+    if as_of is None:
+        return found
+    alive = F.unix_timestamp(F.col("created_at").cast("timestamp")) + F.col("ttl_seconds") > F.unix_timestamp(F.lit(as_of).cast("timestamp"))
+    return found.where(F.col("ttl_seconds").isNull() | alive)
+
+
 def poincare_similarity(scale: float):
     """Minus the Poincare distance of vectors that ``scale`` brings into the unit ball."""
 
@@ -81,24 +102,88 @@ def poincare_similarity(scale: float):
     return score
 
 
-def knn_ann(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", width: float = 1.0, tables: int = 8) -> DataFrame:
-    """Approximate neighbours by random-projection hashing of unit vectors, ranked by exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df: DataFrame) -> DataFrame:
-        return Normalizer(inputCol="raw", outputCol="features").transform(df.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))).select("id", "features")
-
-    data = prepared(rows)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=5).fit(data)
-    pairs = model.approxSimilarityJoin(prepared(queries), data, 1.2, "distance").where("datasetA.id <> datasetB.id")
-    w = W.partitionBy("query_id").orderBy("distance", "vec_id")
-    found = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"), "distance")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+SAMPLE = 20_000  # vectors at most that the lists of an index are fitted on
+
+
+def knn_ann(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", probes: float = 0.7, block: int = 2048) -> DataFrame:
+    """Approximate neighbours by lists of near vectors: k-means centres, fitted on at most ``SAMPLE`` vectors, cut the
+    rows into lists; a query meets the rows of the lists next to it, by the share ``probes``, and these are ranked by
+    exact cosine. Queries that find fewer than k rows are searched exactly."""
+    n = rows.count()
+    lists = max(1, min(256, int(n**0.5)))
+    share = min(1.0, SAMPLE / max(n, 1))
+    some = rows.select(F.col(vector).alias("v")).where(F.rand(7) <= share).limit(SAMPLE).toPandas()["v"]
+    if not len(some):
+        return knn_exact(queries, rows, k, id_col, vector)
+    centres = _centres(_unit(some), lists)
+    near = max(1, int(np.ceil(probes * len(centres))))
+
+    def placed(df: DataFrame, most: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                if len(batch):
+                    order = np.argsort(-(np.nan_to_num(_unit(batch["v"])) @ centres.T), axis=1, kind="stable")[:, :most]
+                    yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "lists": list(order.astype("int32"))})
+
+        read = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return read.mapInPandas(run, "id long, v array<double>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
+
+    own = stash(placed(rows, 1), "lists")
+    sizes = own.groupBy("list").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row per list
+    parts = {r["list"]: r["parts"] for r in sizes.collect()}  # a number per list
+    count = F.create_map(*[F.lit(int(x)) for pair in parts.items() for x in pair])[F.col("list")]
+    right = own.withColumn("part", F.pmod(F.xxhash64("id"), count).cast("int"))
+    left = placed(queries, near).withColumn("part", F.explode(F.sequence(F.lit(0), count - 1)))
+    found = stash(_best(left, right, ["list", "part"], k, -1.0), "near")
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, max(n - 1, 0)))
+    short = queries.join(full.select(F.col("query_id").alias(id_col)), id_col, "left_anti")
+    rest = knn_exact(short, rows, k, id_col, vector)
+    return found.join(full.select("query_id"), "query_id", "left_semi").unionByName(rest)
+
+
+def _centres(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means on a bounded sample."""
+    x = x[np.isfinite(x).all(axis=1)]
+    centres = x[np.random.default_rng(5).permutation(len(x))[:lists]].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    return centres
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], vector: str = "embedding") -> DataFrame:
+    """Vectors by key, new ones in place of old ones; vectors with a component that isn't finite are rejected."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return replace_rows(old, latest_per_key(new.where(finite), keys, order).select(*old.columns), keys)
+
+
+def neighbor_outcomes(neighbours: DataFrame, aligned: DataFrame, objectives: DataFrame, horizons: list[int], violated: Column) -> DataFrame:
+    """``query_id, vec_id, horizon, objective_id, breached``: what followed each neighbour so many steps later.
+
+    aligned: ``vec_id`` (a step each) and the metrics; ``violated`` is a condition on a metric's row and an objective.
+    """
+    ahead = neighbours.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    later = aligned.withColumnRenamed("vec_id", "__step")
+    both = ahead.join(later, F.col("vec_id") + F.col("horizon") == F.col("__step"))
+    return both.crossJoin(F.broadcast(objectives)).select("query_id", "vec_id", "horizon", "objective_id", violated.alias("breached"))
 
 
-def predict_breach(neighbours: DataFrame, least: int = 3) -> DataFrame:
-    """Per (query, objective): share of neighbours whose outcome is a breach; kept from one half on, a breach above."""
-    votes = neighbours.groupBy("query_id", "objective_id").agg(F.count("*").alias("k_neighbors"), F.count_if("breached").alias("k_supporting"))
+def predict_breach(outcomes: DataFrame, least: int = 3, keys: tuple[str, ...] = ("query_id", "objective_id")) -> DataFrame:
+    """Per query, objective (and horizon): share of neighbours whose outcome is a breach; kept from one half on, a breach
+    above; outcomes that aren't known don't count."""
+    known = outcomes.where(F.col("breached").isNotNull())
+    votes = known.groupBy(*keys).agg(F.count("*").alias("k_neighbors"), F.count_if("breached").alias("k_supporting"))
     told = votes.where(F.col("k_neighbors") >= least).withColumn("confidence", F.col("k_supporting") / F.col("k_neighbors"))
     return told.where("confidence >= 0.5").withColumn("predicted_breach", F.col("confidence") > 0.5)
+
+
+def evaluate_outcomes(predictions: DataFrame, actual: DataFrame, as_of: int, keys: tuple[str, ...] = ("objective_id",)) -> DataFrame:
+    """Predictions that are due (query and horizon up to ``as_of``) and not evaluated yet, with what happened:
+    ``actual_breach`` and ``correct``. actual: ``step``, the keys and ``breached``."""
+    due = predictions.where((F.col("query_id") + F.col("horizon") <= as_of) & F.col("actual_breach").isNull()).drop("actual_breach")
+    told = actual.select(F.col("step"), *keys, F.col("breached").alias("actual_breach"))
+    both = due.withColumn("step", F.col("query_id") + F.col("horizon")).join(told, ["step", *keys]).drop("step")
+    return both.withColumn("correct", F.col("predicted_breach") == F.col("actual_breach"))

@@ -6,18 +6,34 @@ from ..operators import dq, events as ev, registry
 from ..streaming import rollups as st
 from .base import OBS, events, obs, q, r6
 from .catalog import table
-from .q_windows import CROSS, OBJ_SCHEMA, OBJECTIVES, ORDER, TRANS, crossings, long_metrics
+from .q_windows import ALIGNED, CROSS, OBJ_SCHEMA, OBJECTIVES, ORDER, TRANS, aligned, crossings, long_metrics, packed, states
 
 
-def detected(s, d, start=None, end=None):
-    return ev.detect(events(s, d), long_metrics(s, d), F.broadcast(s.createDataFrame(OBJECTIVES, OBJ_SCHEMA)), "user_id", "ts", "event_type", "event_id", start, end).select("event_key", "user_id", "ts", F.col("event_type").alias("kind"), "detail", "metric_value")
 
 
-LOG = f"""SELECT sha256(concat_ws('|', epoch_us(ts)::VARCHAR, user_id::VARCHAR, kind, detail)) AS event_key, user_id, ts, kind, detail, metric_value FROM (SELECT user_id, ts, 'state_transition' AS kind, from_state || '>' || to_state AS detail, NULL::DOUBLE AS metric_value
-FROM ({TRANS}) WHERE is_actual_transition UNION ALL SELECT user_id, ts, 'threshold_crossing', objective_id || ':' || crossing, value FROM ({CROSS}))"""
-q("detect_events", detected, LOG)
+def detected(s, d, start=None, end=None, log=None):
+    """The log without what a log of the days divisible by 5 has already, with the context of each hour."""
+    goals = F.broadcast(s.createDataFrame(OBJECTIVES, OBJ_SCHEMA))  # the literal list
+    found = ev.detect(states(s, d), long_metrics(s, d), goals, "user_id", "ts", "event_type", "event_id", start, end, aligned(s, d), ["value_mean", "k_mean"], log)
+    return found.select("event_key", "user_id", "ts", F.col("event_type").alias("kind"), "detail", "metric_value", *packed(found))
+
+
+def logged(s, d):
+    goals = F.broadcast(s.createDataFrame(OBJECTIVES, OBJ_SCHEMA))
+    return ev.detect(states(s, d), long_metrics(s, d), goals, "user_id", "ts", "event_type", "event_id").where("day(ts) % 5 = 0")
+
+
+LOG = f"""SELECT sha256(concat_ws('|', epoch_us(ts)::VARCHAR, e.user_id::VARCHAR, kind, detail)) AS event_key, e.user_id, ts, kind, detail, metric_value, a.value_mean, a.k_mean,
+CASE WHEN a.bucket IS NULL THEN 0 ELSE 2 END AS n_keys FROM (SELECT user_id, ts, 'state_transition' AS kind, from_state || '>' || coalesce(to_state, 'null') AS detail, NULL::DOUBLE AS metric_value
+FROM ({TRANS}) WHERE is_actual_transition AND from_state IS NOT NULL UNION ALL SELECT user_id, ts, 'threshold_crossing', objective_id || ':' || crossing, value FROM ({CROSS})) e
+LEFT JOIN {ALIGNED} a ON date_trunc('hour', e.ts) = a.bucket AND e.user_id = a.user_id"""
+q("detect_events", lambda s, d: detected(s, d, log=logged(s, d)), f"SELECT * FROM ({LOG}) WHERE day(ts) % 5 > 0")
 q("detect_events_range", lambda s, d: detected(s, d, "2024-01-10 00:00:00", "2024-01-12 00:00:00"), f"SELECT * FROM ({LOG}) WHERE ts BETWEEN '2024-01-10' AND '2024-01-12'")
-q("table_functions", lambda s, d: crossings(s, d).where("ts >= '2024-01-25'").select("event_id", "objective_id", "crossing"), f"SELECT event_id, objective_id, crossing FROM ({CROSS}) WHERE ts >= '2024-01-25'")
+q(
+    "table_functions",
+    lambda s, d: ev.crossings_since(long_metrics(s, d), F.broadcast(s.createDataFrame(OBJECTIVES, OBJ_SCHEMA)), "user_id", "ts", "event_id", "2024-01-25 00:00:00", ["k"]).select("event_id", "objective_id", "crossing"),
+    f"SELECT event_id, objective_id, crossing FROM ({CROSS}) WHERE ts >= '2024-01-25' AND metric = 'k'",
+)
 q("feature_registry", lambda s, d: registry.add_features(events(s, d), [{"name": "lag", "field": "value", "lags": [2], "entity": "user_id", "order": ORDER}, {"name": "trend", "field": "value", "rows": 4, "entity": "user_id", "order": ORDER}])
   .select("event_id", "value_lag_2h", r6("value_trend").alias("value_trend")),
   "SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_lag_2h, round((last_value(value) OVER w - first_value(value) OVER w) / 4, 8) + 0 AS value_trend FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")

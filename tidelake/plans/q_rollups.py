@@ -78,8 +78,6 @@ def as_of(s, d):
 q("event_metrics", lambda s, d: events(s, d).crossJoin(F.broadcast(as_of(s, d))).groupBy("event_type").agg(
     *[F.count_if(F.col("ts") >= F.col("as_of") - F.expr(f"INTERVAL {h} HOURS")).alias(f"n_{h}h") for h in (1, 24, 168)], F.max("ts").alias("newest")),
   f"SELECT event_type, count(*) FILTER (WHERE ts >= {AS_OF} - INTERVAL 1 HOUR) AS n_1h, count(*) FILTER (WHERE ts >= {AS_OF} - INTERVAL 24 HOUR) AS n_24h, count(*) FILTER (WHERE ts >= {AS_OF} - INTERVAL 168 HOUR) AS n_168h, max(ts) AS newest FROM events GROUP BY 1")
-q("crossing_context", lambda s, d: events(s, d).groupBy("event_type").agg(r6(F.avg(F.get_json_object("props", "$.k").cast("double"))).alias("k_mean"), F.count_if(F.get_json_object("props", "$.k").cast("int") > 50).alias("k_high")),
-  "SELECT event_type, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 8) + 0 AS k_mean, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INT) > 50) AS k_high FROM events GROUP BY 1")
 
 
 def freshness(s, d):
@@ -142,8 +140,6 @@ def scale(s, d, how):
 
 q("minmax_scale", lambda s, d: scale(s, d, "minmax"), "SELECT event_id, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 8) + 0 AS z FROM events WINDOW w AS (PARTITION BY event_type)")
 q("zscore_scale", lambda s, d: scale(s, d, "z"), "SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 8) + 0 AS z FROM events WINDOW w AS (PARTITION BY event_type)")
-q("linear_slope", lambda s, d: events(s, d).groupBy("user_id").agg(r6(F.regr_slope("value", (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 86400)).alias("slope")),
-  "SELECT user_id, round(regr_slope(value, (epoch(date_trunc('second', ts)) - 1704067200) / 86400), 8) + 0 AS slope FROM events GROUP BY 1")
 q("bucket_collapse", lambda s, d: bucket_collapse(hourly(s, d).drop("user_id")).select("bucket", r6("v_mean").alias("v_mean"), "sample_count"),
   f"SELECT bucket, round(avg(v_mean), 8) + 0 AS v_mean, sum(sample_count)::BIGINT AS sample_count FROM {HOURLY} GROUP BY 1")
 q("node_count", lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")), "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")

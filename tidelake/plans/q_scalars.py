@@ -22,83 +22,34 @@ each("time_bucket", lambda: sc.time_bucket("ts", "15 minutes"), "time_bucket(INT
 each("lead_time_hours", lambda: F.bround((F.col("event_id") * 600) / 3600).cast("int"), "round_even(event_id * 600 / 3600, 0)::INT")
 each("unit_linear", lambda: r6(sc.unit_linear(V(), 1.8, 32.0)), "round(value * 1.8::DOUBLE + 32::DOUBLE, 8) + 0")
 each("unit_factor", lambda: r6(V() * 3.6), "round(value * 3.6::DOUBLE, 8) + 0")
-each("unit_named", lambda: r6(sc.unit_named(V(), "kelvin_to_celsius")), "round(value * 1.0::DOUBLE + -273.15::DOUBLE, 8) + 0")
 each("expr_transform", lambda: F.expr("CASE WHEN value > 80 THEN 'high' WHEN value > 40 THEN 'mid' ELSE 'low' END"), "CASE WHEN value > 80 THEN 'high' WHEN value > 40 THEN 'mid' ELSE 'low' END")
 each("lookup_transform", lambda: F.coalesce(F.create_map(F.lit("click"), F.lit(1), F.lit("view"), F.lit(2))[F.col("event_type")], F.lit(0)), "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END")
 each("json_extract", lambda: F.get_json_object("props", "$.k").cast("long"), "CAST(json_extract_string(props, '$.k') AS BIGINT)")
-each("path_extract", lambda: F.get_json_object(F.concat(F.lit('{"a":{"b":['), F.col("event_id"), F.lit(",7]}}")), "$.a.b[0]").cast("long"), "event_id")
 each("linear_interpolate", lambda: sc.linear_interpolate(V(), 0.0, 100.0, 10.0, 60.0), "round_even(value / 100 * 50 + 10, 0)")
-AQI = "CASE WHEN value IS NULL THEN NULL " + " ".join(f"WHEN value <= {h}::DOUBLE THEN round_even((value - {low}::DOUBLE) / ({h}::DOUBLE - {low}::DOUBLE) * {b - a} + {a}, 0)::INT" for low, h, a, b in sc.AQI_PM25) + " ELSE 500 END"
-each("aqi_pm25", lambda: sc.aqi_pm25(V()), AQI, obs, OBS)
-each("mold_risk", lambda: sc.mold_risk(V()), "CASE WHEN value IS NULL THEN NULL WHEN value < 50 THEN 'low' WHEN value < 60 THEN 'moderate' WHEN value < 70 THEN 'high' ELSE 'critical' END", obs, OBS)
-each("health_label", lambda: sc.health_label(V(), V() * 20), "CASE WHEN value > 35 OR value * 20 > 1500 THEN 'Unhealthy' WHEN value > 12 OR value * 20 > 1000 THEN 'Moderate' ELSE 'Good' END", obs, OBS)
-each("window_recommendation", lambda: sc.window_recommendation(V(), F.get_json_object("props", "$.k").cast("double")), "CASE WHEN CAST(json_extract_string(props, '$.k') AS DOUBLE) < value * 0.7::DOUBLE THEN 'OPEN_WINDOWS' WHEN CAST(json_extract_string(props, '$.k') AS DOUBLE) > value * 1.3::DOUBLE THEN 'KEEP_CLOSED' ELSE 'NEUTRAL' END")
-each("objective_violation", lambda: sc.objective_violation(V(), F.when(F.col("event_id") % 3 == 0, "<").when(F.col("event_id") % 3 == 1, ">=").otherwise("between"), F.lit(30.0), F.lit(60.0)),
-     "CASE event_id % 3 WHEN 0 THEN value >= 30 WHEN 1 THEN value < 30 ELSE NOT value BETWEEN 30 AND 60 END", obs, OBS)
 each("hour_dow_weekend", lambda: F.concat_ws("-", *[c.cast("string") for c in ft.hour_dow_weekend("ts")]), "hour(ts) || '-' || (isodow(ts) - 1) || '-' || (isodow(ts) > 5)::VARCHAR")
 each("cyclic_hour", lambda: r6(F.sin(F.hour("ts") * (2 * 3.141592653589793 / 24))), "round(sin(hour(ts) * (2 * 3.141592653589793::DOUBLE / 24)), 8) + 0")
-each("event_details_json", lambda: F.to_json(F.map_concat(F.from_json("props", "map<string,int>"), F.create_map(F.lit("id"), F.col("event_id").cast("int")))), "'{\"k\":' || json_extract_string(props, '$.k') || ',\"id\":' || event_id || '}'")
-each("age_display", lambda: sc.age_display(F.col("event_id")), "(event_id // 60) || 'm ' || (event_id % 60) || 's ago'")
-each("source_id_format", lambda: F.concat("event_type", F.lit("-"), F.initcap(F.lit("mqtt")), F.lit("-"), F.col("user_id")), "event_type || '-Mqtt-' || user_id")
-each("source_to_stream", lambda: F.regexp_replace(F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "-Mqtt").otherwise("-HttpPoll")), "-(Mqtt|HttpPoll|Http|Webhook|FileWatch)$", ""), "event_type")
-each("array_parse", lambda: F.array_join(F.split(F.regexp_replace(F.concat(F.lit("{"), "event_type", F.lit(",b}")), "[{}]", ""), ","), "|"), "event_type || '|b'")
-each("topic_route", lambda: F.when(F.concat(F.lit("home/"), "event_type", F.lit("/state")).rlike("^home/(click|view)/[^/]+$"), F.split(F.concat(F.lit("home/"), "event_type"), "/")[1]).when(F.col("event_type").rlike("^p.*$"), "rest"),
-     "CASE WHEN event_type IN ('click', 'view') THEN event_type WHEN event_type LIKE 'p%' THEN 'rest' END")
-q("sql_functions", lambda s, d: (sc.register_sql_functions(s), events(s, d).selectExpr("event_id", "mold_risk(value) AS risk", "linear_interpolate(value, 0, 100, 10, 60) AS y"))[1],
-  "SELECT event_id, CASE WHEN value < 50 THEN 'low' WHEN value < 60 THEN 'moderate' WHEN value < 70 THEN 'high' WHEN value IS NOT NULL THEN 'critical' END AS risk, round_even(value / 100 * 50 + 10, 0) AS y FROM events")
 
 # projections and filters
-q("field_mapping", lambda s, d: events(s, d).select(F.col("event_id").cast("long").alias("id"), F.get_json_object("props", "$.k").cast("double").alias("k"), r6(V() * 1.8 + 32).alias("fahrenheit")),
-  "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, round(value * 1.8::DOUBLE + 32, 8) + 0 AS fahrenheit FROM events")
-q("identity_fields", lambda s, d: events(s, d).select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), "event_id"), "SELECT event_type || ':' || user_id AS key, event_id FROM events")
 q("latest_range_filter", lambda s, d: events(s, d).where("user_id = 8 AND ts >= '2024-01-03' AND ts <= '2024-01-09'").select("event_id", "value"), "SELECT event_id, value FROM events WHERE user_id = 8 AND ts >= '2024-01-03' AND ts <= '2024-01-09'")
 q("relative_range", lambda s, d: events(s, d).join(F.broadcast(events(s, d).agg(F.max("ts").alias("as_of"))), F.expr("ts >= as_of - INTERVAL 24 HOURS")).select("event_id"), "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
-q("bronze_virtual_view", lambda s, d: obs(s, d).where("ts IS NOT NULL").select("event_id", F.when(V().between(0, 500), F.round(V(), 1)).alias("v")), f"SELECT event_id, CASE WHEN value BETWEEN 0 AND 500 THEN round(value, 1) END AS v FROM {OBS} WHERE ts IS NOT NULL")
 q("stream_filter", lambda s, d: events(s, d).where(F.col("event_type").isin("click", "view")).select("event_id"), "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
 q("domain_events", lambda s, d: events(s, d).join(F.broadcast(s.createDataFrame([("click",), ("error",)], "event_type string")), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
 q("sample_silver", lambda s, d: events(s, d).where("ts >= '2024-01-10'").orderBy("ts", "event_id").limit(100).select("event_id", "ts"), "SELECT event_id, ts FROM events WHERE ts >= '2024-01-10' ORDER BY ts, event_id LIMIT 100")
-q("row_constraints", lambda s, d: obs(s, d).select("event_id", (F.trim("event_type") != "").alias("named"), F.coalesce(F.col("event_type").isin("click", "view", "purchase"), F.lit(False)).alias("typed"), F.when(F.col("event_type") == "error", V().isNotNull()).otherwise(True).alias("complete")),
-  f"SELECT event_id, trim(event_type) <> '' AS named, event_type IN ('click', 'view', 'purchase') AS typed, CASE WHEN event_type = 'error' THEN value IS NOT NULL ELSE true END AS complete FROM {OBS}")
 q("alerts_query", lambda s, d: events(s, d).where("event_type = 'error' AND (value > 90 OR ts >= '2024-01-29')").select("event_id", "user_id"), "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND (value > 90 OR ts >= '2024-01-29')")
 
 # reshaping
-q("parse_flat_json", lambda s, d: events(s, d).select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("metric", "v")).where(F.col("v").rlike(r"^-?\d+(\.\d+)?$")).select("event_id", "metric", F.col("v").cast("double").alias("v")),
-  "SELECT event_id, key AS metric, CAST(json_extract_string(props, '$.' || key) AS DOUBLE) AS v FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
-q("parse_json_path", lambda s, d: events(s, d).select("event_id", F.inline(F.array(F.struct(F.lit("k").alias("metric"), F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999")).cast("double").alias("v")), F.struct(F.lit("v").alias("metric"), V().alias("v"))))),
-  "SELECT event_id, unnest(['k', 'v']) AS metric, unnest([CAST(json_extract_string(props, '$.k') AS DOUBLE), value]) AS v FROM events")
-PERIODS = "'{\"periods\":[{\"t\":' || event_id || '},{\"t\":' || (event_id + 1) || '}]}'"
-q("parse_array_iterator", lambda s, d: events(s, d).select("event_id", F.explode(F.from_json(F.expr(PERIODS), "periods array<struct<t:bigint>>")["periods"]).alias("p")).select("event_id", F.col("p.t").alias("t")), "SELECT event_id, event_id + unnest([0, 1]) AS t FROM events")
 
 
-def columns_to_rows(s, d):
-    arrays = events(s, d).select("event_id", F.array(V(), F.when(F.col("event_id") % 2 == 0, V() + 1)).alias("a"), F.array(V() * 2).alias("b"))
-    both = F.concat(*[_tagged(c) for c in ("a", "b")])
-    return arrays.select("event_id", F.inline(both)).where("v IS NOT NULL")
 
 
-def _tagged(name):
-    return F.transform(name, lambda v, i: F.struct(F.lit(name).alias("metric"), i.alias("n"), v.alias("v")))
 
 
-COLS = "SELECT event_id, 'a' AS metric, 0 AS n, value AS v FROM events UNION ALL SELECT event_id, 'a', 1, value + 1 FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'b', 0, value * 2 FROM events"
-q("parse_column_oriented", columns_to_rows, COLS)
-q("array_explosion_wide", lambda s, d: columns_to_rows(s, d).groupBy("event_id", "n").pivot("metric", ["a", "b"]).agg(F.first("v")), f"SELECT event_id, n, max(v) FILTER (WHERE metric = 'a') AS a, max(v) FILTER (WHERE metric = 'b') AS b FROM ({COLS}) GROUP BY 1, 2")
-WEATHER = "'{\"main\":{\"temp\":' || value || '},\"wind\":{\"speed\":' || user_id || '},\"list\":[{\"aqi\":3}]}'"
 
 
-def weather(s, d):
-    w = events(s, d).select("event_id", F.from_json(F.expr(WEATHER), "main struct<temp:double,humidity:double>, wind struct<speed:double>, list array<struct<aqi:int>>").alias("w"))
-    return w.select("event_id", F.col("w.main.temp").alias("temp"), F.col("w.main.humidity").alias("humidity"), F.col("w.wind.speed").alias("wind"), F.get("w.list", F.lit(0))["aqi"].cast("double").alias("aqi"))
 
 
-q("parse_owm_weather", lambda s, d: weather(s, d).unpivot(["event_id"], ["temp", "humidity", "wind"], "metric", "v").where("v IS NOT NULL"), "SELECT event_id, unnest(['temp', 'wind']) AS metric, unnest([value, user_id::DOUBLE]) AS v FROM events")
-q("parse_owm_pollution", lambda s, d: weather(s, d).select("event_id", "aqi"), "SELECT event_id, 3::DOUBLE AS aqi FROM events")
-q("parse_sensor_payload", lambda s, d: events(s, d).select(F.when(F.col("event_id") % 5 > 0, F.col("user_id").cast("string")).alias("serial"), F.get_json_object("props", "$.k").cast("double").alias("k"), "event_id").where("serial IS NOT NULL"),
-  "SELECT user_id::VARCHAR AS serial, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_id FROM events WHERE event_id % 5 > 0")
 q("unpivot_reading", lambda s, d: obs(s, d).withColumn("k", F.get_json_object("props", "$.k").cast("double")).unpivot(["event_id"], ["value", "k"], "metric", "v").where("v IS NOT NULL"),
   f"SELECT * FROM (SELECT event_id, unnest(['value', 'k']) AS metric, unnest([value, CAST(json_extract_string(props, '$.k') AS DOUBLE)]) AS v FROM {OBS}) WHERE v IS NOT NULL")
-q("metric_inventory", lambda s, d: obs(s, d).select("user_id", F.explode(F.array_compact(F.array(F.when(V().isNotNull(), "value"), F.lit("k")))).alias("m")).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("m")), ",").alias("metrics")),
-  f"SELECT user_id, CASE WHEN count(value) > 0 THEN 'k,value' ELSE 'k' END AS metrics FROM {OBS} GROUP BY 1")
 
 
 # data quality
@@ -107,30 +58,28 @@ def flagged(s, d):
 
 
 FLAGS = f"""SELECT event_id, list_filter([CASE WHEN value < 1 OR value > 99 THEN 'range_check:value:out_of_bounds' END, CASE WHEN value IS NULL THEN 'null_check:value:missing' END,
-CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'enum_check:event_type:invalid' END, CASE WHEN NOT value < 150 THEN 'cross_field:plausible' END], lambda x: x IS NOT NULL) AS flags FROM {OBS}"""
+CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'enum_check:event_type:invalid_value' END, CASE WHEN NOT value < 150 THEN 'cross_field_check:plausible' END], lambda x: x IS NOT NULL) AS flags FROM {OBS}"""
 q("dq_flags_array", lambda s, d: flagged(s, d).select("event_id", F.array_join("flags", ",").alias("flags")), f"SELECT event_id, array_to_string(flags, ',') AS flags FROM ({FLAGS})")
 q("clean_rows_only", lambda s, d: flagged(s, d).where(F.col("flags").isNull() | (F.size("flags") == 0)).select("event_id"), f"SELECT event_id FROM ({FLAGS}) WHERE len(flags) = 0")
-q("dq_events_log", lambda s, d: flagged(s, d).select("event_id", F.explode("flags").alias("flag")), f"SELECT event_id, unnest(flags) AS flag FROM ({FLAGS})")
-q("dq_rule_summary", lambda s, d: flagged(s, d).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n")), f"SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM ({FLAGS})) GROUP BY 1")
+q("dq_rule_summary", lambda s, d: dq.rule_summary(flagged(s, d), "observations"),
+  f"""SELECT 'observations' AS table_name, CASE WHEN flag NOT LIKE 'cross%' THEN split_part(flag, ':', 2) END AS column_name,
+  CASE WHEN flag LIKE 'cross%' THEN 'cross-field' ELSE 'column' END AS rule_scope, split_part(flag, ':', 1) AS rule_name, count(*) AS n
+  FROM (SELECT unnest(flags) AS flag FROM ({FLAGS})) GROUP BY ALL""")
 q("dq_result_score", lambda s, d: flagged(s, d).select("event_id", *[c.alias(n) for c, n in zip(dq.result("flags", 4, ("null_check",)), ("dropped", "score"), strict=True)]),
   f"SELECT event_id, list_contains(flags, 'null_check:value:missing') AS dropped, greatest(0.0::DOUBLE, 1 - len(flags) / 4) AS score FROM ({FLAGS})")
-q("sink_batch_skip_dropped", lambda s, d: flagged(s, d).where(~dq.result("flags", 4, ("null_check",))[0]).groupBy("event_type").agg(F.count("*").alias("n")), f"SELECT event_type, count(*) AS n FROM {OBS} WHERE value IS NOT NULL GROUP BY 1")
-q("dlq_sink", lambda s, d: flagged(s, d).select(F.when(F.size("flags") > 0, "dead").otherwise("ok").alias("route"), "event_id"), f"SELECT CASE WHEN len(flags) > 0 THEN 'dead' ELSE 'ok' END AS route, event_id FROM ({FLAGS})")
-q("validate_ranges", lambda s, d: obs(s, d).select("event_id", F.array_join(dq.flags(dq.range_check("value", 0, 100), dq.range_check("user_id", 0, 120)), ",").alias("errors")),
-  f"SELECT event_id, array_to_string(list_filter([CASE WHEN value < 0 OR value > 100 THEN 'range_check:value:out_of_bounds' END, CASE WHEN user_id < 0 OR user_id > 120 THEN 'range_check:user_id:out_of_bounds' END], lambda x: x IS NOT NULL), ',') AS errors FROM {OBS}")
-q("validate_schema_point", lambda s, d: obs(s, d).join(F.broadcast(s.createDataFrame([("click", 0.0, 50.0), ("view", 10.0, 90.0)], "event_type string, low double, high double")), "event_type", "left").select("event_id", F.when(F.col("low").isNull(), "unknown").when(V().isNull(), "required").when(~V().between(F.col("low"), F.col("high")), "range").alias("error")),
-  f"SELECT event_id, CASE WHEN low IS NULL THEN 'unknown' WHEN value IS NULL THEN 'required' WHEN NOT value BETWEEN low AND high THEN 'range' END AS error FROM {OBS} LEFT JOIN (VALUES ('click', 0, 50), ('view', 10, 90)) r(event_type, low, high) USING (event_type)")
 for name, column, sql in (
-    ("dq_range", lambda: dq.range_check("value", 1, 99), "CASE WHEN value < 1 OR value > 99 THEN 'range_check:value:out_of_bounds' END"),
     ("dq_range_clamp", lambda: dq.clamp("value", 1.0, 99.0), "CASE WHEN value IS NOT NULL THEN least(greatest(value, 1), 99) END"),
     ("dq_range_reject", lambda: dq.reject("value", 1.0, 99.0), "CASE WHEN value BETWEEN 1 AND 99 THEN value END"),
     ("dq_null", lambda: dq.null_check("value"), "CASE WHEN value IS NULL THEN 'null_check:value:missing' END"),
-    ("dq_enum", lambda: dq.enum_check("event_type", ["click", "view"]), "CASE WHEN event_type NOT IN ('click', 'view') THEN 'enum_check:event_type:invalid' END"),
-    ("dq_pattern", lambda: dq.pattern_check("event_type", "^[a-p]"), "CASE WHEN NOT regexp_matches(event_type, '^[a-p]') THEN 'pattern_check:event_type:mismatch' END"),
-    ("dq_freshness", lambda: dq.freshness_check("ts", F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")), "10 DAYS"), "CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'freshness_check:ts:future' WHEN ts < TIMESTAMP '2024-01-10' THEN 'freshness_check:ts:stale' END"),
+    ("dq_enum", lambda: dq.enum_check("event_type", ["click", "view"]), "CASE WHEN event_type NOT IN ('click', 'view') THEN 'enum_check:event_type:invalid_value' END"),
+    ("dq_pattern", lambda: dq.pattern_check("event_type", "^[a-p]"), "CASE WHEN NOT regexp_matches(event_type, '^[a-p]') THEN 'pattern_check:event_type:pattern_mismatch' END"),
+    ("dq_freshness", lambda: dq.freshness_check("ts", F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")), "10 DAYS", "2 DAYS"),
+     "CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'freshness_check:ts:stale' WHEN ts > TIMESTAMP '2024-01-22' THEN 'freshness_check:ts:future' END"),
+    ("dq_range", lambda: dq.range_check("value", 1, 99), "CASE WHEN value < 1 OR value > 99 THEN 'range_check:value:out_of_bounds' END"),
+    ("dq_range_flag_of_clamping", lambda: dq.range_check("value", 1, 99, clamp=True), "CASE WHEN value < 1 OR value > 99 THEN 'range_check:value:clamped' END"),
     ("dq_rate_of_change", lambda: dq.rate_of_change("value", "ts", 1.0, "user_id", "event_id"), "CASE WHEN abs(value - lag(value) OVER w) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6, 0) > 1 THEN 'rate_of_change:value:exceeded' END"),
-    ("dq_cross_field", lambda: dq.cross_field("value > user_id", "above"), "CASE WHEN NOT value > user_id THEN 'cross_field:above' END"),
-    ("dq_cross_field_strict", lambda: dq.cross_field("value > user_id", "above", True), "CASE WHEN NOT coalesce(value > user_id, false) THEN 'cross_field:above' END"),
+    ("dq_cross_field", lambda: dq.cross_field("value > user_id", "above"), "CASE WHEN NOT value > user_id THEN 'cross_field_check:above' END"),
+    ("dq_cross_field_strict", lambda: dq.cross_field("value > user_id", "above", True), "CASE WHEN NOT coalesce(value > user_id, false) THEN 'cross_field_check:above' END"),
     ("dq_monotonic", lambda: dq.monotonic("value", "user_id", ["ts", "event_id"], 5.0), "CASE WHEN value < lag(value) OVER w AND value > 5 THEN 'monotonic:value:decreased' END"),
     ("dq_conditional", lambda: dq.conditional("event_type = 'click'", dq.null_check("value")), "CASE WHEN event_type = 'click' AND value IS NULL THEN 'null_check:value:missing' END"),
 ):
@@ -168,6 +117,3 @@ def bronze_to_silver(s, d):
 
 q("bronze_to_silver", bronze_to_silver, SIDES + f""", f AS (SELECT user_id, date_trunc('day', ts) AS day, event_id, value FROM {OBS} WHERE ts > (SELECT max(ts) FROM events WHERE ts < '2024-01-15') - INTERVAL 1 DAY AND value BETWEEN 0 AND 500
 QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id DESC) = 1) SELECT user_id, day, coalesce(f.event_id, o.event_id) AS event_id, coalesce(f.value, o.value) AS value FROM o FULL JOIN f USING (user_id, day)""")
-q("run_log", lambda s, d: events(s, d).groupBy((F.col("user_id") % 5).alias("stream"), F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("rows_read"), F.count_if(F.col("event_type") == "error").alias("rows_failed"), F.min("ts").alias("started_at"), F.max("ts").alias("completed_at")),
-  "SELECT user_id % 5 AS stream, date_trunc('day', ts) AS day, count(*) AS rows_read, count(*) FILTER (WHERE event_type = 'error') AS rows_failed, min(ts) AS started_at, max(ts) AS completed_at FROM events GROUP BY 1, 2")
-q("backfill", lambda s, d: events(s, d).where("ts >= '2024-01-10' AND ts < '2024-01-13'").groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n")), "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-13' GROUP BY 1, 2")

@@ -23,7 +23,6 @@ q("scan_since", lambda s, d: events(s, d).where("ts >= '2024-01-25'").select("ev
 q("latest_timestamp", lambda s, d: events(s, d).groupBy("event_type").agg(F.max("ts").alias("ts")), "SELECT event_type, max(ts) AS ts FROM events GROUP BY 1")
 q("latest_partition", lambda s, d: tb.latest_partition(s, bronze(s, d)), "SELECT year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM (SELECT max(ts) AS ts FROM events)")
 q("bronze_storage_stats", lambda s, d: tb.storage_stats(s, bronze(s, d)).select("year", "month", "day", "rows", "files"), "SELECT year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, count(*) AS rows, 1::BIGINT AS files FROM events GROUP BY 1, 2, 3")
-q("sample_bronze", lambda s, d: events(s, d).orderBy(F.desc("ts"), "event_id").limit(10).select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY ts DESC, event_id LIMIT 10")
 
 
 def csv_copy(s, d):
@@ -33,10 +32,7 @@ def csv_copy(s, d):
 
 
 q("scan_csv", lambda s, d: tb.read_csv(s, csv_copy(s, d)).select(F.col("event_id").cast("long").alias("event_id"), tb.inferred("event_id").alias("a"), tb.inferred("event_type").alias("b")), "SELECT event_id, 'int' AS a, 'string' AS b FROM events")
-q("csv_on_error", lambda s, d: tb.read_csv(s, csv_copy(s, d), on_error="skip", schema="event_id LONG, value DOUBLE, event_type STRING, at LONG").select("event_id", "value"), "SELECT event_id, value FROM events")
 q("csv_timestamp_formats", lambda s, d: tb.read_csv(s, csv_copy(s, d)).select(F.col("event_id").cast("long").alias("event_id"), tb.csv_timestamp("at", "epoch_seconds").alias("ts")), "SELECT event_id, make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS ts FROM events")
-q("scan_csv_dimension", lambda s, d: tb.read_csv(s, csv_copy(s, d), on_error="fail", schema="event_id LONG, value DOUBLE, event_type STRING, at LONG").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-q("extract_symbols", lambda s, d: table(s, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).repartition("o_orderpriority", (F.col("o_orderkey") % 4)).sortWithinPartitions("o_orderpriority", "o_orderdate").select("o_orderpriority", "o_orderkey"), "SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 
 
 def jsonlines(s, d):
@@ -46,45 +42,24 @@ def jsonlines(s, d):
 
 
 q("sink_jsonlines", jsonlines, "SELECT event_id, user_id, 'alert' AS kind FROM events WHERE event_type = 'error'")
-q("retention", lambda s, d: tb.retained(events(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "2024-01-31 00:00:00", 7).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS")
 q("sort_layout", lambda s, d: tb.sort_layout(events(s, d), "user_id").groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 
 
-def dim_truncate(s, d):
-    path = new_path(s, "dimension")
-    table(s, d, "nation").write.parquet(path)
-    table(s, d, "customer").select("c_custkey", "c_name").write.mode("overwrite").parquet(path)
-    return s.read.parquet(path)
 
 
-q("dim_truncate_load", dim_truncate, "SELECT c_custkey, c_name FROM customer")
-q("dim_sync_log", lambda s, d: table(s, d, "customer").agg(F.count("*").alias("loaded")).crossJoin(F.broadcast(table(s, d, "nation").agg(F.count("*").alias("deleted")))).withColumn("status", F.lit("completed")), "SELECT (SELECT count(*) FROM customer) AS loaded, (SELECT count(*) FROM nation) AS deleted, 'completed' AS status")
 
 # streams
 q("stream_source", lambda s, d: st.drain(st.events_stream(s, f"{d}/events.parquet").select("event_id", "event_type"), "stream"), "SELECT event_id, event_type FROM events")
-q("sink_bronze", lambda s, d: st.drain(tb.with_date_parts(st.events_stream(s, f"{d}/events.parquet")).select("event_id", "year", "month", "day"), "sink"), "SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM events")
 q("stream_tumbling_rollup", lambda s, d: st.drain(st.tumbling(st.events_stream(s, f"{d}/events.parquet"), "1 hour", "4 hours", ["event_type"]), "tumbling").select("bucket", "event_type", "n", r6("total").alias("total")),
   "SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 8) + 0 AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 4 HOURS GROUP BY 1, 2")
 q("stream_static_enrich", lambda s, d: st.drain(st.events_stream(s, f"{d}/events.parquet").join(table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id").select("event_id", "c_name"), "enrich"), "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey")
-q("late_data", lambda s, d: events(s, d).where("ts >= '2024-01-20' AND ts < '2024-01-21'").groupBy(F.window("ts", "1 hour").start.alias("bucket")).agg(F.count("*").alias("n")), "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n FROM events WHERE ts >= '2024-01-20' AND ts < '2024-01-21' GROUP BY 1")
 q("sliding_window", lambda s, d: events(s, d).groupBy(F.window("ts", "2 hours", "1 hour").start.alias("bucket"), "event_type").agg(F.count("*").alias("n")),
   "SELECT date_trunc('hour', ts) - to_hours(k::INT) AS bucket, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
-q("subscriber_metrics", lambda s, d: events(s, d).groupBy("event_type").agg(F.count("*").alias("processed"), F.count_if(F.col("value") < 1).alias("dropped"), F.max("ts").alias("high_water")), "SELECT event_type, count(*) AS processed, count(*) FILTER (WHERE value < 1) AS dropped, max(ts) AS high_water FROM events GROUP BY 1")
-q("notify_projection", lambda s, d: events(s, d).select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("payload")), "SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS payload FROM events")
-q("stream_state_transition", lambda s, d: events(s, d).select("event_id", "ts", F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("from_state"), F.col("event_type").alias("to_state")).where("ts >= '2024-01-20' AND from_state <> to_state").drop("ts"),
-  "SELECT event_id, from_state, to_state FROM (SELECT event_id, ts, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events) WHERE ts >= '2024-01-20' AND from_state <> to_state")
 
-LIMITS = "field string, critical double, min_critical double, warning double, min_warning double"
 
 
-def alerting(s, d):
-    rows = obs(s, d).where("value IS NOT NULL").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("value").alias("field"), "value")
-    return alerts.threshold_alerts(rows, F.broadcast(s.createDataFrame([("value", 90.0, 2.0, 70.0, 5.0)], LIMITS))).select("event_id", "user_id", "ts", "field", "value", "severities", "severity", "message")
 
 
-q("threshold_alerts", lambda s, d: alerting(s, d).select("event_id", "severity", "message"),
-  f"SELECT * FROM (SELECT event_id, CASE WHEN value >= 90 THEN 'critical' WHEN value <= 2 THEN 'critical_low' WHEN value >= 70 THEN 'warning' WHEN value <= 5 THEN 'warning_low' END AS severity, 'value is ' || severity AS message FROM {OBS}) WHERE severity IS NOT NULL")
-q("alert_cooldown", lambda s, d: alerts.alert_cooldown(alerting(s, d), "user_id", "ts", "event_id", 86400).select("event_id", "severity"))
 
 # vectors
 Q20 = lambda s, d: table(s, d, "embeddings").where("vec_id % 20 = 0")
@@ -98,7 +73,6 @@ def knn(s, d, k=10, least=-1.0):
 
 q("knn_exact", knn, f"SELECT * FROM ({KNN}) WHERE rank <= 10")
 q("knn_topk", lambda s, d: knn(s, d, 5, 0.2), f"SELECT * FROM ({KNN}) WHERE rank <= 5 AND similarity >= 0.2")
-q("knn_ann", lambda s, d: vx.knn_ann(Q20(s, d), table(s, d, "embeddings"), 10).select("query_id", "rank", "vec_id"))
 
 
 def next_vectors(s, d):
@@ -117,27 +91,14 @@ BALL = "(1 - list_inner_product({0}.embedding::DOUBLE[], {0}.embedding::DOUBLE[]
 FAR = f"acosh(1 + {GAP} * {GAP} / 2 / ({BALL.format('a')} * {BALL.format('b')}))"
 q("hyperbolic_knn", lambda s, d: vx.knn_exact(Q20(s, d), table(s, d, "embeddings"), 10, least=-1e9, score=vx.poincare_similarity(0.5)).select("query_id", "rank", "vec_id", F.round(-F.col("similarity"), 6).alias("distance")),
   f"SELECT * FROM (SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {FAR}, b.vec_id) AS rank, b.vec_id AS vec_id, round({FAR}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
-q("embedding_upsert", lambda s, d: table(s, d, "embeddings").where(F.forall("embedding", lambda x: ~F.isnan(x))).groupBy("label").agg(F.max("vec_id").alias("vec_id")), "SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY 1")
 
 
-def outcomes(s, d):
-    labels = table(s, d, "embeddings").select("vec_id", (F.col("label") % 2 == 0).alias("breached"))
-    return knn(s, d, 10).join(labels, "vec_id").withColumn("objective_id", F.lit("o1"))
 
 
-q("neighbor_outcome_join", lambda s, d: outcomes(s, d).select("query_id", "vec_id", "breached"), f"SELECT query_id, k.vec_id, label % 2 = 0 AS breached FROM ({KNN}) k JOIN embeddings e ON e.vec_id = k.vec_id WHERE rank <= 10")
-VOTES = f"SELECT query_id, 'o1' AS objective_id, count(*) AS k_neighbors, count(*) FILTER (WHERE label % 2 = 0) AS k_supporting FROM ({KNN}) k JOIN embeddings e ON e.vec_id = k.vec_id WHERE rank <= 10 GROUP BY 1"
-q("predict_breach", lambda s, d: vx.predict_breach(outcomes(s, d)), f"SELECT *, k_supporting / k_neighbors AS confidence, k_supporting / k_neighbors > 0.5 AS predicted_breach FROM ({VOTES}) WHERE k_supporting / k_neighbors >= 0.5")
 
 
-def evaluated(s, d):
-    actual = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2 == 0).alias("actual"))
-    return vx.predict_breach(outcomes(s, d)).join(actual, "query_id").select("query_id", "predicted_breach", "actual", (F.col("predicted_breach") == F.col("actual")).alias("correct"))
 
 
-EVAL = f"SELECT query_id, k_supporting / k_neighbors > 0.5 AS predicted_breach, label % 2 = 0 AS actual, (k_supporting / k_neighbors > 0.5) = (label % 2 = 0) AS correct FROM ({VOTES}) JOIN embeddings ON vec_id = query_id WHERE k_supporting / k_neighbors >= 0.5"
-q("evaluate_outcomes", evaluated, EVAL)
-q("prediction_accuracy", lambda s, d: evaluated(s, d).agg(F.count("*").alias("evaluated"), F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("incorrect")), f"SELECT count(*) AS evaluated, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE NOT correct) AS incorrect FROM ({EVAL})")
 
 
 def stats(s, d):
@@ -151,7 +112,3 @@ CASE WHEN o.value IS NULL OR r.m IS NULL THEN r.v ELSE 0.99::DOUBLE * (r.v + 0.0
 q("ewma_stats", lambda s, d: stats(s, d).select("event_id", F.round(F.coalesce(F.nanvl("ewma_mean", F.lit(-1.0)), F.lit(-1.0)), 6).alias("m"), F.round("ewma_var", 6).alias("v")), EWMA + "SELECT event_id, round(coalesce(m, -1), 6) AS m, round(v, 6) AS v FROM r")
 q("ewma_zscore", lambda s, d: stats(s, d).select("event_id", F.round(F.when(F.col("value").isNull(), 0.0).when(F.sqrt("ewma_var") < 1e-10, 0.0).otherwise((F.col("value") - F.col("ewma_mean")) / F.sqrt("ewma_var")), 5).alias("z")),
   EWMA + "SELECT event_id, round(CASE WHEN value IS NULL OR sqrt(v) < 1e-10 THEN 0 ELSE (value - m) / sqrt(v) END, 5) AS z FROM r")
-q("embed_metric", lambda s, d: stats(s, d).withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("n >= 30").select("event_id", F.round(F.coalesce("value", "ewma_mean"), 6).alias("filled")),
-  EWMA + "SELECT event_id, round(coalesce(value, m), 6) AS filled FROM r WHERE n >= 30")
-q("feature_matrix", lambda s, d: events(s, d).select("event_id", F.hour("ts").alias("hour"), F.weekday("ts").alias("dow"), F.lag("value", 6, 0.0).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("lag6"), r6(F.avg("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, 0))).alias("mean6")),
-  "SELECT event_id, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS dow, lag(value, 6, 0.0::DOUBLE) OVER w AS lag6, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 8) + 0 AS mean6 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

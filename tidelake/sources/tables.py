@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 
 def with_date_parts(df: DataFrame, time: str = "ts") -> DataFrame:
     return df.withColumn("year", F.year(time)).withColumn("month", F.month(time)).withColumn("day", F.dayofmonth(time))
@@ -32,21 +34,106 @@ def storage_stats(spark: SparkSession, path: str) -> DataFrame:
     return each.groupBy("year", "month", "day").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
+def sample_newest(spark: SparkSession, path: str, n: int = 10, time: str = "ts", tie: str = "event_id", most: int = 100) -> DataFrame:
+    """The last rows of the newest partition, newest first; other partitions aren't read."""
+    newest = latest_partition(spark, path).first()
+    rows = spark.read.parquet(path).where(f"year = {newest['year']} AND month = {newest['month']} AND day = {newest['day']}")
+    return rows.orderBy(F.desc(time), tie).limit(min(n, most))
+
+
 def retained(df: DataFrame, as_of: str, days: int, time: str = "ts") -> DataFrame:
     return df.where(F.col(time) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
+def drop_expired(spark: SparkSession, path: str, as_of: str, days: int) -> list[str]:
+    """Delete the date partitions that end before ``as_of`` less so many days; their names. No row is read."""
+    oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    parts = spark.read.parquet(path).select("year", "month", "day").distinct()
+    past = parts.where(F.make_date("year", "month", "day") < F.to_date(oldest)).collect()  # a row per expired day
+    jvm = spark.sparkContext._jvm
+    dropped = []
+    for r in sorted(past):
+        name = f"year={r['year']}/month={r['month']}/day={r['day']}"
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        dropped.append(name)
+    return dropped
+
+
 def sort_layout(df: DataFrame, entity: str, time: str = "ts") -> DataFrame:
     """Rows of an entity together, newest first."""
     return df.repartition(entity).sortWithinPartitions(entity, F.desc(time))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, on_error: str = "skip", schema: str | None = None) -> DataFrame:
-    """All columns as text unless a schema is given; columns without header are col_0, col_1, and so on."""
+def extract_keys(df: DataFrame, path: str, key: str, keys: list[str], order: str) -> None:
+    """One folder per key, its rows sorted."""
+    own = df.where(F.col(key).isin(*keys))
+    own.repartition(key).sortWithinPartitions(key, order).write.partitionBy(key).parquet(path)
+
+
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> dict[str, int]:
+    """Replace a whole table: the new rows are written beside it and swapped in by renames, so a failed load leaves the
+    old table. Returns how many rows went and came."""
+    fresh, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(fresh)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = {name: jvm.org.apache.hadoop.fs.Path(name) for name in (path, fresh, old)}
+    files = where[path].getFileSystem(conf)
+    counts = {"deleted": spark.read.parquet(path).count() if files.exists(where[path]) else 0, "loaded": spark.read.parquet(fresh).count()}
+    if files.exists(where[path]):
+        files.rename(where[path], where[old])
+    files.rename(where[fresh], where[path])
+    files.delete(where[old], True)
+    return counts
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(
+    spark: SparkSession, path: str, sep: str = ",", header: bool = True, on_error: str = "skip", schema: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """All columns as text unless a schema is given; columns without header are col_0, col_1, and so on.
+
+    Whole rows are parsed whatever columns a query reads: rows that don't fit the schema end the read (``fail``), are left out (``skip``), or are kept with their text in
+    ``_corrupt_record`` (``log``), for ``quarantined``.
+    """
     mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "log": "PERMISSIVE"}[on_error]
-    reader = spark.read.option("sep", sep).option("header", header).option("mode", mode)
-    found = (reader.schema(schema).option("enforceSchema", "false") if schema else reader).csv(path)
-    return found if header or schema else found.toDF(*[f"col_{i}" for i in range(len(found.columns))])
+    reader = spark.read.option("sep", sep).option("header", header).option("mode", mode).option("columnPruning", "false")
+    if schema:
+        logged = f"{schema}, {CORRUPT} STRING" if on_error == "log" else schema
+        found = reader.schema(logged).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    else:
+        found = reader.csv(path)
+        found = found if header else found.toDF(*[f"col_{i}" for i in range(len(found.columns))])
+    return found if limit is None else found.limit(limit)
+
+
+def quarantined(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and the text of the bad ones; parsed once, into a written table, as what counts as bad would change with
+    the columns that a query reads."""
+    df = stash(df, "csv")
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
+def read_dimension(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",") -> DataFrame:
+    """Declared columns by name, as their types. A declared column that the file lacks is an error, other columns are
+    ignored, and rows with a value that its type can't hold are left out. ``boolean`` takes true, 1, yes, t, y."""
+    text = spark.read.option("sep", sep).option("header", True).csv(path)
+    missing = [c for c in columns if c not in text.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are not in {path}")
+
+    def typed(c: str, kind: str) -> Column:
+        if kind == "boolean":
+            v = F.lower(F.trim(c))
+            return F.when(v.isin("true", "1", "yes", "t", "y"), True).when(v.isin("false", "0", "no", "f", "n"), False)
+        return F.col(c).try_cast(kind)
+
+    checked = text.select(*[F.col(c).alias(f"__{c}") for c in columns], *[typed(c, kind).alias(c) for c, kind in columns.items()])
+    for c in columns:
+        checked = checked.where(F.col(f"__{c}").isNull() | F.col(c).isNotNull())
+    return checked.select(*columns)
 
 
 def inferred(c: str):

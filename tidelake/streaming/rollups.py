@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..session import new_path
 
 
+def single(path: str) -> str:
+    """A pattern that only ``path`` itself fits, so that a stream can read a single file."""
+    return path[:-1] + f"[{path[-1]}]"
+
+
 def events_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path + "*")  # a pattern, so that a single file will do
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(single(path))
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -27,6 +32,31 @@ def tumbling(stream: DataFrame, granularity: str, late: str, keys: list[str]) ->
     return grouped.select(F.col("window.start").alias("bucket"), *keys, "n", "total")
 
 
+def drain_by_day(stream: DataFrame, label: str, time: str = "ts", interval: str | None = None) -> DataFrame:
+    """Append a stream to daily folders; ``interval`` is the time between micro-batches (None: until the input ends)."""
+    spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
+    dated = stream.withColumn("year", F.year(time)).withColumn("month", F.month(time)).withColumn("day", F.dayofmonth(time))
+    writer = dated.writeStream.outputMode("append").format("parquet").partitionBy("year", "month", "day").option("checkpointLocation", new_path(spark, label + "-state"))
+    run = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start(out)
+    if interval:
+        run.processAllAvailable()
+        run.stop()
+    else:
+        run.awaitTermination()
+    return spark.read.schema(dated.schema).parquet(out)
+
+
+def repaired(rollup: DataFrame, rows: DataFrame, now: str, start_offset: str, end_offset: str, granularity: str, keys: list[str], time: str = "ts") -> DataFrame:
+    """A rollup after a refresh at ``now``: buckets within [now - start_offset, now - end_offset) are made anew from all
+    rows that have come, also late ones; older buckets stay as they are, late rows of theirs are left out."""
+    low, high = (F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {x}") for x in (start_offset, end_offset))
+    timed = rows.withColumn(time, F.col(time).cast("timestamp"))
+    fresh = timed.groupBy(F.window(time, granularity), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    inside = fresh.where((F.col("window.start") >= low) & (F.col("window.end") <= high)).select(F.col("window.start").alias("bucket"), *keys, "n", "total")
+    closed = (F.col("bucket") >= low) & (F.col("bucket") + F.expr(f"INTERVAL {granularity}") <= high)
+    return rollup.where(~closed).unionByName(inside)
+
+
 def changed_rows(stream: DataFrame, label: str, merge) -> str:
     """Apply ``merge(batch, batch_id)`` to each micro-batch; the checkpoint makes a rerun a no-op."""
     run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", new_path(stream.sparkSession, label)).trigger(availableNow=True).start()
