@@ -3,8 +3,8 @@
 The lengths make a histogram of at most ``capacity`` kinds, whatever the number of documents. On it, the
 configuration linear program (how often to use each way of filling a sequence) is solved by multiplicative
 weights: a kind's price falls as it gets covered, and the best configuration at the current prices is found by
-dynamic programming over the capacity (knapsack). The result is rounded down; what is left is placed best fit,
-longest first. The plan is a table of runs whose size depends on the capacity only; Spark ranks the pieces of
+dynamic programming over the capacity (knapsack). The result is rounded down, what is left rounded up by the same
+prices, and a last small share is placed best fit. The plan is a table of runs whose size depends on the capacity only; Spark ranks the pieces of
 each length and finds each piece's place in it.
 """
 
@@ -29,6 +29,8 @@ from ..session import stash
 from .chunks import ChunkCache
 
 ROUNDS = 192  # of multiplicative weights
+TAIL = 0.002  # share of the content that is left to best fit
+PULL = 0.3  # tokens at most that a sequence of longer and less covered pieces may be less full, about
 ROWS_PER_SALT = 20_000  # pieces of one length that a task ranks together, about
 
 
@@ -143,8 +145,39 @@ def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     return chosen
 
 
+def bounded_configuration(lengths: np.ndarray, room: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The dearest content of one sequence that takes no more of a length than there is: bounded knapsack."""
+    parts: list[tuple[int, int]] = []  # (length by number, how many of it at once): 1, 2, 4, ... and the rest
+    for k, n in enumerate(np.minimum(room, capacity // lengths).tolist()):
+        size = 1
+        while n > 0:
+            parts.append((k, min(size, n)))
+            n -= size
+            size *= 2
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(parts), capacity + 1), bool)
+    for n, (k, times) in enumerate(parts):
+        size = int(lengths[k]) * times
+        with_it = best[: capacity + 1 - size] + prices[k] * times
+        taken[n, size:] = with_it > best[size:]
+        np.maximum(best[size:], with_it, out=best[size:])
+    counts, at = np.zeros(len(lengths), np.int64), int(best.argmax())
+    for n in range(len(parts) - 1, -1, -1):
+        if taken[n, at]:
+            k, times = parts[n]
+            counts[k] += times
+            at -= int(lengths[k]) * times
+    return counts
+
+
 def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Groups of sequences with equal content, as ({length: how many}, sequences), covering the histogram exactly."""
+    """Groups of sequences with equal content, as ({length: how many}, sequences), covering the histogram exactly.
+
+    The fractional solution is rounded down. What it leaves is rounded up: the same prices, by how far each length is
+    covered, choose configurations that fit what is left, each with the longest piece there is; each uses up a length at
+    least, so there are at most as many as lengths.
+    Best fit places the rest, a share of less than ``TAIL``.
+    """
     left = {k: n for k, n in histogram.items() if n > 0}
     groups: list[tuple[dict[int, int], int]] = []
     if n := left.pop(capacity, 0):
@@ -152,15 +185,33 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list
     if left:
         lengths = np.array(sorted(left), np.int64)
         demand = np.array([left[int(k)] for k in lengths], np.int64)
-        room, carry = demand.copy(), 0.0
+        room, carry, total = demand.copy(), 0.0, int((lengths * demand).sum())
+
+        def place(counts: np.ndarray, times: int) -> None:
+            nonlocal room
+            used = counts > 0
+            room = room - counts * times
+            groups.append(({int(k): int(c) for k, c in zip(lengths[used], counts[used], strict=True)}, times))
+
         for counts, amount in solve_configurations(lengths, demand, capacity, rounds):
             used = counts > 0
-            carry += amount
+            carry += amount  # what isn't used yet of the fractions goes on to the next round
             times = int(min(carry, (room[used] // counts[used]).min()))
-            carry = min(carry - times, amount)
+            carry -= times
             if times:
-                room -= counts * times
-                groups.append(({int(k): int(c) for k, c in zip(lengths[used], counts[used], strict=True)}, times))
+                place(counts, times)
+        while (rest := int((lengths * room).sum())) > TAIL * total:
+            first = int(np.flatnonzero(room)[-1])  # the longest piece is the hardest to place later
+            counts = np.zeros(len(lengths), np.int64)
+            counts[first] = 1
+            space = capacity - int(lengths[first])
+            some = np.flatnonzero((room > counts) & (lengths <= space))
+            behind = (room / demand - rest / total)[some]  # lengths that are covered less than others are dearer
+            # the fullest content first, and of those the one with the longest and least covered pieces
+            prices = lengths[some] + PULL * (lengths[some] / capacity) ** 2 * np.exp(behind)
+            counts[some] += bounded_configuration(lengths[some], (room - counts)[some], prices, space)
+            used = counts > 0
+            place(counts, int((room[used] // counts[used]).min()))
         groups += best_fit({int(k): int(n) for k, n in zip(lengths, room, strict=True) if n}, capacity)
     return groups
 
