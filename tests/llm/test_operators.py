@@ -2,26 +2,29 @@
 
 import gzip
 import hashlib
+import itertools
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelake.llm import catalog
+from tidelake.llm import catalog, packing
 from tidelake.llm.decontaminate import contaminated, without_contaminated
 from tidelake.llm.jaccard_join import jaccard_join, one_of_each, prefix_depth
 from tidelake.llm.licenses import KNOWN, license_scan
 from tidelake.llm.line_dedup import _members, _signed, _united, dedup_lines
 from tidelake.llm.nearest import nearest
-from tidelake.llm.packing import Encoder, pack, plan
+from tidelake.llm.packing import Encoder, best_fit, pack, plan
 from tidelake.llm.personal import personal_data, sanitised
-from tidelake.llm.quality import isotonic, keep_good, quality_scores
+from tidelake.llm.quality import STATISTICS, FourierMap, isotonic, keep_good, normal_equations, quality_scores, summed
 from tidelake.llm.token_counts import PrefixTable, count_at, longest_within, token_counts, truncate
 from tidelake.llm.warc import ARC_FIELDS, arc_records, arc_to_warc, archive_pages, payload_digest, read_warc, warc_records, write_arc
 
@@ -121,6 +124,31 @@ def test_plan_covers_the_histogram():
     assert found == wanted
 
 
+@pytest.mark.parametrize("pieces", [150, 1000, 8000])
+def test_the_program_places_nearly_all_pieces_at_every_size(monkeypatch, pieces):
+    rand, left = random.Random(pieces), []
+    histogram = Counter(min(2047, int(rand.lognormvariate(5.5, 1.2)) + 1) for _ in range(pieces))
+    monkeypatch.setattr(packing, "best_fit", lambda rest, capacity: left.append(sum(rest.values())) or best_fit(rest, capacity))
+    groups = plan(dict(histogram), 2048, rounds=64)
+    placed = Counter()
+    for content, times in groups:
+        assert sum(k * n for k, n in content.items()) <= 2048
+        placed.update({k: n * times for k, n in content.items()})
+    bound = sum(k * n for k, n in histogram.items()) / 2048
+    assert placed == histogram and left[0] <= 0.05 * pieces and sum(t for _, t in groups) <= bound * 1.01 + 2
+
+
+def test_bounded_knapsack_is_exact():
+    rand = random.Random(8)
+    for _ in range(30):
+        lengths = np.array(sorted(rand.sample(range(1, 30), 6)))
+        room, prices = np.array([rand.randint(1, 3) for _ in lengths]), np.array([rand.random() for _ in lengths])
+        found = packing.bounded_configuration(lengths, room, prices, 40)
+        choices = itertools.product(*[range(n + 1) for n in room])
+        best = max(sum(p * c for p, c in zip(prices, x)) for x in choices if sum(c * k for c, k in zip(x, lengths)) <= 40)
+        assert (found <= room).all() and found @ lengths <= 40 and found @ prices == pytest.approx(best)
+
+
 def test_quality(spark):
     good, bad = lambda k: " ".join(prose(k, 60)) + ".", lambda k: "!!! ".join(prose(k, 60)).upper()
     docs = spark.createDataFrame([(k, bad(k) if k % 4 == 0 else good(k)) for k in range(400)] + [(1000, ""), (1001, None), (None, good(7))], DOC)
@@ -418,6 +446,53 @@ def test_archives_with_clashing_columns(spark):
     assert found == {1: ("revisit", 2, 1), 2: ("response", None, 1), 3: ("response", None, 2_000_000)}
 
 
+def test_filters_with_clashing_columns_and_null_ids(spark):
+    """All that return the input's columns: names that operators use inside don't matter, and rows without an id can go."""
+    frame, labels = edge_frame(spark), spark.createDataFrame([(k, 0) for k in range(1, 40)], "doc_id long, quality int")
+    for kept in (dedup_lines(frame), one_of_each(frame), keep_good(frame, labels), without_contaminated(frame, frame.select(F.lit(1).alias("item_id"), "text").where("false")), sanitised(frame)):
+        assert kept.columns == frame.columns and kept.count() <= len(EDGES)
+    assert without_contaminated(frame, frame.select(F.lit(1).alias("item_id"), "text").where("false")).count() == len(EDGES)
+    text = " ".join(prose(900, 30))
+    docs = spark.createDataFrame([(None, "a b c " + text), (None, "x y z"), (1, text), (2, "nothing here")], DOC)
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert [r["doc_id"] for r in without_contaminated(docs, bench).collect()] == [2]
+    bad = spark.createDataFrame([(k, "!!! ".join(prose(k, 40)).upper()) for k in range(40)] + [(None, "!!! ".join(prose(77, 40)).upper())], DOC)
+    assert keep_good(bad, labels).where("doc_id IS NULL").count() == 0
+    assert sanitised(spark.createDataFrame([(None, "mail a@b.cd now"), (1, None), (1, None), (2, "")], DOC)).where("doc_id IS NULL").first()["text"] == "mail [email] now"
+    assert sanitised(empty(spark)).count() == 0
+
+
+def test_sums_in_two_steps(spark):
+    def parts(batches):
+        for batch in batches:
+            yield pd.DataFrame({"k": [0, 1], "row": [np.ones(3).tobytes(), np.full(3, float(len(batch))).tobytes()]}).astype({"k": "int32"})
+
+    rows = spark.range(0, 300, 1, 150).mapInPandas(parts, "k int, row binary")
+    found = {r["k"]: np.frombuffer(bytes(r["row"])).tolist() for r in summed(rows, "row").collect()}
+    assert found == {0: [150.0] * 3, 1: [300.0] * 3}
+
+
+def test_normal_equations_and_isotonic_fit(spark):
+    draw = np.random.default_rng(3)
+    x, y = draw.normal(size=(500, len(STATISTICS))), draw.integers(0, 2, 500)
+    fourier = FourierMap(x.mean(axis=0), x.std(axis=0), features=20)
+    gram, target = normal_equations(spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], "x array<double>, y int").repartition(7), fourier)
+    z = fourier(x)
+    assert np.allclose(gram, z.T @ z) and np.allclose(target, z.T @ y)
+    means, weights = draw.random(7), draw.integers(1, 5, 7).astype(float)
+    fit = isotonic(np.arange(7), means, weights)
+    grid = np.linspace(0, 1, 21)
+    cost = lambda v: (weights * (v - means) ** 2).sum()
+    best = {g: 0.0 for g in grid}  # the least cost of the places so far whose last value is at most g
+    for m, w in zip(means, weights):
+        run, found = math.inf, {}
+        for g in grid:
+            run = min(run, best[g] + w * (g - m) ** 2)
+            found[g] = run
+        best = found
+    assert (np.diff(fit) >= -1e-12).all() and cost(fit) <= min(best.values()) + 1e-9
+
+
 def test_every_operator_is_registered():
     names = catalog.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
+from .names import unused
+from .quality import summed
 from .shingles import word_hashes
 
 ITEMS = 2000  # benchmark items searched together; more are searched in further blocks
@@ -30,7 +32,7 @@ COSINE = 0.25
 SURE, MAYBE = 0.8, 0.6  # share of an item's words in the longest common subsequence
 ANSWER = 5  # words
 COMMON = 0.1  # words in more than this share of the documents carry no weight
-ROWS = 256  # terms whose sums travel in one row
+ROWS = 64  # terms whose sums travel in one row
 
 
 class Items:
@@ -191,11 +193,8 @@ def latent_space(numbered: DataFrame, weights: np.ndarray, rank: int = RANK) ->
         rows = [(k, total[k * ROWS : (k + 1) * ROWS].tobytes()) for k in range(-(-size // ROWS))]
         yield pd.DataFrame([r for r in rows if np.frombuffer(r[1]).any()], columns=["k", "part"])
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": rows["k"][:1], "part": [sum(np.frombuffer(x) for x in rows["part"]).tobytes()]})
-
     z = np.zeros((size, rank))
-    for r in numbered.mapInPandas(run, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary").collect():
+    for r in summed(numbered.mapInPandas(run, "k int, part binary"), "part").collect():
         z[r["k"] * ROWS : (r["k"] + 1) * ROWS] = np.frombuffer(bytes(r["part"])).reshape(-1, rank)
     core = test.T.astype(float) @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -374,7 +373,8 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows in which no benchmark item was found, with their columns. Rows that share an id stand or fall
-    together; rows without an id stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows in which no benchmark item was found, with their columns. Rows that share an id (or have none) stand or
+    fall together."""
+    (name,) = unused(docs, "gone")
+    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import stash
 from .graph import components
+from .names import unused
 from .shingles import mix, sets, shingle_hashes
 
 WORDS = 5
@@ -221,12 +222,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     united, _ = similar_texts(df, id_col, text_col, least)
     node = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    texts = df.groupBy(node.alias("node")).agg(F.min(id_col).alias("low"), F.count("*").alias("rows"))
+    texts = df.select(F.col(id_col), node.alias("__n")).groupBy(F.col("__n").alias("node")).agg(F.min(id_col).alias("low"))
     classed = texts.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = classed.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("first"))
-    keep = first.select(F.col("first.node").alias("__node"), F.col("first.low").alias("__low"))
+    node_name, low_name = unused(df, "node", "low")
+    keep = first.select(F.col("first.node").alias(node_name), F.col("first.low").alias(low_name))
     keep = stash(keep, "kept")
-    same = (node == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__low"))
+    same = (node == F.col(node_name)) & F.col(id_col).eqNullSafe(F.col(low_name))
     left = df.join(keep, same, "left_semi")
-    repeated = df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return left if repeated else left.withColumn("__node", node).dropDuplicates([id_col, "__node"]).drop("__node")
+    once = df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return left if once else left.withColumn(node_name, node).dropDuplicates([id_col, node_name]).drop(node_name)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stash
+from .names import unused
 
 # The kinds in their order. The patterns match what the plain ones match (leftmost, no overlap); a
 # look-behind and possessive quantifiers keep them linear on long runs, and free of deep recursion.
@@ -194,11 +195,12 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     terms ``[term]``, and from the removal threshold on nothing. Of overlapping spans the first, then longest,
     takes effect, and what sticks out of it goes with it. A null text stays null."""
     found = spans(df, id_col, text_col)
+    items, other_id, other_th = unused(df, "items", "id", "hash")
     mark = F.when((F.col("kind") == TERM) & (F.col("ratio") >= REMOVES), "").otherwise(F.concat(F.lit("["), F.col("kind"), F.lit("]")))
     item = F.struct("start", (-F.col("end")).alias("minus"), mark.alias("mark"))
-    grouped = found.groupBy("__id", "__th").agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    grouped = found.groupBy(F.col("__id").alias(other_id), F.col("__th").alias(other_th)).agg(F.sort_array(F.collect_list(item)).alias(items))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    both = df.join(grouped, [key == F.col("__th"), F.col(id_col).eqNullSafe(F.col("__id"))], "left")
+    both = df.join(grouped, [key == F.col(other_th), F.col(id_col).eqNullSafe(F.col(other_id))], "left")
 
     def step(done: Column, x: Column) -> Column:
         gap = F.substring(F.col(text_col), done["at"] + 1, x["start"] - done["at"])
@@ -209,7 +211,7 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cast = F.transform("__items", lambda x: F.struct(x["start"].cast("int").alias("start"), x["minus"].cast("int").alias("minus"), x["mark"].alias("mark")))
+    cast = F.transform(items, lambda x: F.struct(x["start"].cast("int").alias("start"), x["minus"].cast("int").alias("minus"), x["mark"].alias("mark")))
     rest = lambda d: F.concat(d["out"], F.substring(F.col(text_col), d["at"] + 1, F.length(text_col)))
-    text = F.when(F.col("__items").isNull(), F.col(text_col)).otherwise(F.aggregate(cast, start, step, rest))
+    text = F.when(F.col(items).isNull(), F.col(text_col)).otherwise(F.aggregate(cast, start, step, rest))
     return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
+from .names import unused
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "longest_word", "letters", "upper", "digits", "spaces", "marks",
@@ -103,8 +104,31 @@ class FourierMap:
         return np.hstack([waves, np.ones((len(x), 1))])
 
 
+FANIN = 64  # rows that a task adds up, about
+
+
+def summed(parts: DataFrame, column: str) -> DataFrame:
+    """``k`` and the sum of the float64 arrays (binary ``column``) of each k. The rows of a k first meet in groups of
+    about ``FANIN`` source partitions; each step adds batch by batch and holds one array."""
+    schema = f"k int, {column} binary"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, row in zip(batch["k"], batch[column], strict=True):
+                own = np.frombuffer(row)
+                total[k] = total[k] + own if k in total else own.copy()
+        if total:
+            yield pd.DataFrame({"k": list(total), column: [x.tobytes() for x in total.values()]}).astype({"k": "int32"})
+
+    source = F.floor(F.spark_partition_id() / FANIN)
+    some = parts.withColumn("source", source).repartition("k", "source").select("k", column).mapInPandas(add, schema)
+    return some.repartition("k").mapInPandas(add, schema)
+
+
 def normal_equations(labelled: DataFrame, fourier: FourierMap) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over rows (x, y): each partition sends one row per feature, a task adds up each of them."""
+    """Z'Z and Z'y over rows (x, y): each partition sends one row per feature; rows are added up in two steps, so that no
+    task holds as many rows as there are partitions."""
     size = len(fourier.phase) + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,13 +139,9 @@ def normal_equations(labelled: DataFrame, fourier: FourierMap) -> tuple[np.ndarr
                 total += z.T @ np.column_stack([z, batch["y"].to_numpy(float)])
         yield pd.DataFrame({"k": range(size), "row": [x.tobytes() for x in total]})
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(x) for x in rows["row"]), np.zeros(size + 1))
-        return pd.DataFrame({"k": rows["k"][:1], "row": [total.tobytes()]})
-
     parts = labelled.select("x", "y").mapInPandas(partial, "k int, row binary")
     found = np.zeros((size, size + 1))
-    for r in parts.groupBy("k").applyInPandas(add, "k int, row binary").collect():
+    for r in summed(parts, "row").collect():
         found[r["k"]] = np.frombuffer(bytes(r["row"]))
     return found[:, :size], found[:, size]
 
@@ -185,8 +205,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows whose text scores at least ``least``, with their columns. Rows that share an id stand or fall
-    together, by their best score; rows without an id stay."""
-    scores = quality_scores(df, labels, id_col, text_col).groupBy(id_col).agg(F.max("score").alias("__score"))
-    out = scores.where(F.col("__score") < least).select(F.col(id_col).alias("__rejected"))
-    return df.join(out, F.col(id_col) == F.col("__rejected"), "left_anti")
+    """The rows whose text scores at least ``least``, with their columns. Rows that share an id (or have none) stand or
+    fall together, by their best score."""
+    rejected, score = unused(df, "rejected", "score")
+    scores = quality_scores(df, labels, id_col, text_col).groupBy(id_col).agg(F.max("score").alias(score))
+    out = scores.where(F.col(score) < least).select(F.col(id_col).alias(rejected))
+    return df.join(out, F.col(id_col).eqNullSafe(F.col(rejected)), "left_anti")
