@@ -27,7 +27,7 @@ PATTERNS = {
 }
 TERM = "term"
 WORD = r"\P{L}+"  # what separates terms
-SHORTEST = 4  # characters of a term
+SHORTEST = 4  # letters of a term in lower case; shorter ones are terms if they have a capital, or letters without case
 DISCLOSES, REMOVES = 0.9, 0.99  # PMI / IC
 SUPPORT = 3  # different texts that hold both the term and the entity
 CELLS = 1 << 20  # bound of broadcast tables that sort rows out before a shuffle
@@ -100,7 +100,7 @@ def _terms(text: Column) -> Column:
     """Distinct terms of a text without what the base patterns match."""
     for kind in KINDS:
         text = F.when(_maybe(kind, text), F.regexp_replace(text, PATTERNS[kind], " ")).otherwise(text)
-    return F.array_distinct(F.filter(F.split(text, WORD), lambda w: F.length(w) >= SHORTEST))
+    return F.array_distinct(F.filter(F.split(text, WORD), lambda w: (F.length(w) >= SHORTEST) | w.rlike(r"[^\p{Ll}]")))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -113,17 +113,20 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     known = held.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count_distinct("__th").alias("texts")).where(F.col("texts") >= SUPPORT)
     wide = held.join(known.select("entity", "n_entity"), "entity")
 
+    # PMI / IC >= r means P(e | t) >= P(e) ** (1 - r), so a term that discloses e is in at most n_e / P(e) ** (1 - r) documents;
+    # only terms below the largest of these bounds meet the entities of their documents
+    most = known.agg(F.max(F.col("n_entity") * F.pow(total / F.col("n_entity"), F.lit(1 - DISCLOSES))))
+    counts = docs.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    rare = counts.where(F.col("n_term") >= SUPPORT).join(F.broadcast(most.toDF("most")), F.col("n_term") <= F.col("most")).select("term", "n_term")
+
     cells = wide.select(F.pmod("__th", F.lit(CELLS)).alias("cell")).distinct()  # at most CELLS rows
     near = docs.withColumn("cell", F.pmod("__th", F.lit(CELLS))).join(F.broadcast(cells), "cell", "left_semi")
-    words = near.select("__id", "__th", F.explode(_terms(F.col("__text"))).alias("term")).distinct()
+    words = near.select("__id", "__th", F.explode(_terms(F.col("__text"))).alias("term")).distinct().join(rare, "term")
     both = wide.alias("w").join(words.alias("d"), [F.col("w.__th") == F.col("d.__th"), F.col("w.__id").eqNullSafe(F.col("d.__id"))])
-    joint = both.groupBy("entity", "term", "n_entity").agg(F.sum("rows").alias("n_both"), F.count_distinct("w.__th").alias("texts"))
-    joint = stash(joint.where(F.col("texts") >= SUPPORT), "joint")
-
-    counts = docs.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    joint = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("rows").alias("n_both"), F.count_distinct("w.__th").alias("texts"))
     content = -F.log2(F.col("n_entity") / total)
     shared = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
-    told = joint.join(counts, "term").withColumn("ratio", F.when(content > 0, shared / content).otherwise(F.lit(0.0)))
+    told = joint.where(F.col("texts") >= SUPPORT).withColumn("ratio", F.when(content > 0, shared / content).otherwise(F.lit(0.0)))
     return told.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= DISCLOSES)
 
 
