@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,7 +24,7 @@ from tidelake.llm.licenses import KNOWN, license_scan
 from tidelake.llm.line_dedup import _members, _signed, _united, dedup_lines
 from tidelake.llm.nearest import nearest
 from tidelake.llm.packing import Encoder, best_fit, pack, plan
-from tidelake.llm.personal import personal_data, sanitised
+from tidelake.llm.personal import _keyed, base_spans, disclosing_terms, personal_data, sanitised
 from tidelake.llm.quality import STATISTICS, FourierMap, isotonic, keep_good, normal_equations, quality_scores, summed
 from tidelake.llm.token_counts import PrefixTable, count_at, longest_within, token_counts, truncate
 from tidelake.llm.warc import ARC_FIELDS, arc_records, arc_to_warc, archive_pages, payload_digest, read_warc, warc_records, write_arc
@@ -248,6 +249,32 @@ def test_disclosing_terms(spark):
     assert "Zorgblat" not in clean[0] and "[email]" in clean[0] and clean[21] == rows[6][1]
 
 
+def test_disclosing_terms_are_those_of_brute_force(spark):
+    """Names that go with an address in most of its documents, short ones too, among documents with common words."""
+    rand, rows = random.Random(21), []
+    for k in range(600):
+        words = prose(k, 30)
+        if k % 3 == 0:
+            person = k // 3 % 20
+            words += [f"p{person}@x.com", ("Li", "Kim", "Eva", "Zorgblat")[person] if person < 4 else f"Name{chr(97 + person)}"]
+        if k % 50 == 1:
+            words.append("Kim")
+        rand.shuffle(words)
+        rows.append((k, " ".join(words)))
+    letters = [set(w for w in re.split(r"[^A-Za-z]+", re.sub(PLAIN["email"], " ", t)) if w) for _, t in rows]
+    entities = [set(m[0] for m in re.finditer(PLAIN["email"], t)) for _, t in rows]
+    n, wanted = len(rows), set()
+    for e in set().union(*entities):
+        has = [k for k in range(n) if e in entities[k]]
+        for t in set().union(*[letters[k] for k in has]):
+            both, of_t = sum(t in letters[k] for k in has), sum(t in x for x in letters)
+            if both >= 3 and math.log2(both * n / (of_t * len(has))) / -math.log2(len(has) / n) >= 0.9:
+                wanted.add(t)
+    docs = _keyed(spark.createDataFrame(rows, DOC), "doc_id", "text")
+    found = {r["term"] for r in disclosing_terms(docs, base_spans(docs)).collect()}
+    assert found == wanted and {"Li", "Eva", "Zorgblat"} <= found and len(found) >= 19
+
+
 def test_licenses(spark):
     mit = next(t for k, t in KNOWN if k == "MIT")
     rows = [(1, mit.upper().replace("<year>", "2020")), (2, "Prose.\nReleased under the  MIT LICENSE!\nLicensed under CC BY-NC 4.0"), (3, mit + " and more"), (4, None), (4, None)]
@@ -256,6 +283,23 @@ def test_licenses(spark):
     assert license_scan(empty(spark)).count() == 0 and license_scan(edge_frame(spark)).count() == len(EDGES)
 
 
+def test_wrapped_and_respelled_licences(spark):
+    """Each known whole text, wrapped at 60 or 79 columns, with bullets, a copyright line and other spellings."""
+    rows, wanted = [], {}
+    whole = [(k, t) for k, t in KNOWN if len(t) > 200]
+    for n, (name, text) in enumerate(whole):
+        lines = [x for p in text.split("\n\n") for x in [*textwrap.wrap(p, (60, 79)[n % 2]), ""]]
+        holder = ("Copyright (c) 2019 A. Holder", "copyright 2001-2020 Some Org.", "(C) 2020 X", "© Y")[n % 4]
+        body = "\n".join(["# " + x if n % 3 == 0 else x for x in (holder, *lines)])
+        rows.append((n, body.replace("license", "licence").replace('"', "''") if n % 2 else body))
+        wanted[n] = name
+    found = {r["doc_id"]: r["license"] for r in license_scan(spark.createDataFrame(rows, DOC)).collect()}
+    assert found == wanted
+    more = spark.createDataFrame([("X-1.0", "My own licence: do as you like."), ("X-2.0", None)], "license string, text string")
+    mine = license_scan(spark.createDataFrame([(1, "My own license\nDo as you like")], DOC), more=more).first()
+    assert mine["license"] == "X-1.0"
+
+
 def test_nearest_is_exact(spark):
     rand = np.random.default_rng(5)
     v = rand.normal(size=(400, 16)).astype(np.float32)
