@@ -48,3 +48,10 @@ def bucket_collapse(df: DataFrame, bucket: str = "bucket") -> DataFrame:
     columns = [c for c, t in df.dtypes if c != bucket and t in ("double", "float", "int", "bigint")]
     suffix = {c: "sample_count" if c.endswith("sample_count") else c.rsplit("_", 1)[-1] for c in columns}
     return df.groupBy(bucket).agg(*[COLLAPSE.get(suffix[c], F.avg)(c).alias(c) for c in columns])
+
+
+def corrected_stats(df: DataFrame, time: str, granularity: str, keys: list[str], corrected: str, raw: str) -> DataFrame:
+    """``mean, high, low`` by bucket and keys of the corrected value, or the raw one where it is missing."""
+    value = F.coalesce(corrected, raw)
+    stats = [F.avg(value).alias("mean"), F.max(value).alias("high"), F.min(value).alias("low")]
+    return df.groupBy(F.window(time, granularity).start.alias("bucket"), *keys).agg(*stats)

@@ -105,7 +105,7 @@ def poincare_similarity(scale: float):
 SAMPLE = 20_000  # vectors at most that the lists of an index are fitted on
 
 
-def knn_ann(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", probes: float = 0.7, block: int = 2048) -> DataFrame:
+def knn_ann(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", probes: float = 0.8, block: int = 2048) -> DataFrame:
     """Approximate neighbours by lists of near vectors: k-means centres, fitted on at most ``SAMPLE`` vectors, cut the
     rows into lists; a query meets the rows of the lists next to it, by the share ``probes``, and these are ranked by
     exact cosine. Queries that find fewer than k rows are searched exactly."""

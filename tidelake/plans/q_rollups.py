@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.rollup import bucket_collapse, metric, rollup
+from ..operators.rollup import bucket_collapse, corrected_stats, metric, rollup
 from .base import HOURLY, OBS, events, hourly, obs, q, r6
 from .catalog import table
 
@@ -34,11 +34,33 @@ q("events_hourly", lambda s, d: events(s, d).groupBy(F.window("ts", "1 hour").st
   "count(DISTINCT user_id) AS entities, count(DISTINCT event_type) AS streams FROM events GROUP BY 1")
 q("events_hourly_by_entity", lambda s, d: events(s, d).groupBy(F.window("ts", "1 hour").start.alias("bucket"), "user_id", "event_type").agg(F.count("*").alias("n")),
   "SELECT date_trunc('hour', ts) AS bucket, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def with_raw(s, d):
+    """Observations with the value as it was measured beside the corrected one."""
+    return obs(s, d).withColumn("raw", F.when(F.col("event_id") % 11 == 0, F.col("value") / 10).otherwise(F.col("value")))
+
+
+RAW = "(SELECT *, CASE WHEN event_id % 11 = 0 THEN value / 10 ELSE value END AS raw, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS fixed FROM " + OBS + ")"
 for name, unit in (("silver_hourly", "hour"), ("silver_daily", "day")):
-    q(name, lambda s, d, unit=unit: obs(s, d).join(events(s, d).select("event_id", F.col("value").alias("raw")), "event_id")
-      .groupBy(F.window("ts", f"1 {unit}").start.alias("bucket"), "event_type").agg(r6(F.avg(F.coalesce("value", "raw"))).alias("mean"), r6(F.max(F.coalesce("value", "raw"))).alias("high"), r6(F.min(F.coalesce("value", "raw"))).alias("low")),
-      f"SELECT date_trunc('{unit}', ts) AS bucket, event_type, round(avg(coalesce(o.value, e.value)), 8) + 0 AS mean, round(max(coalesce(o.value, e.value)), 8) + 0 AS high, round(min(coalesce(o.value, e.value)), 8) + 0 AS low "
-      f"FROM {OBS} o JOIN (SELECT event_id, value FROM events) e USING (event_id) GROUP BY 1, 2")
+    q(
+        name,
+        lambda s, d, unit=unit: corrected_stats(with_raw(s, d).withColumn("fixed", F.when(F.col("event_id") % 5 > 0, F.col("value"))), "ts", f"1 {unit}", ["event_type"], "fixed", "raw").select(
+            "bucket", "event_type", *[r6(c).alias(c) for c in ("mean", "high", "low")]
+        ),
+        f"""SELECT date_trunc('{unit}', ts) AS bucket, event_type, round(avg(coalesce(fixed, raw)), 8) + 0 AS mean, round(max(coalesce(fixed, raw)), 8) + 0 AS high,
+        round(min(coalesce(fixed, raw)), 8) + 0 AS low FROM {RAW} GROUP BY 1, 2""",
+    )
+for name, source, time, key, fixed, raw in (
+    ("silver_hourly_orders", "orders", "o_orderdate", "o_orderstatus", "CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END", "o_totalprice / 2"),
+    ("silver_hourly_lineitem", "lineitem", "l_shipdate", "l_returnflag", "CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice END", "l_extendedprice / 2"),
+):
+    q(
+        name,
+        lambda s, d, source=source, time=time, key=key, fixed=fixed, raw=raw: corrected_stats(
+            table(s, d, source).select(F.col(time).cast("timestamp").alias("ts"), key, F.expr(fixed).cast("double").alias("fixed"), F.expr(raw).cast("double").alias("raw")), "ts", "1 hour", [key], "fixed", "raw"
+        ).select(F.unix_seconds("bucket").alias("bucket"), key, *[F.round(c, 6).alias(c) for c in ("mean", "high", "low")]),
+        f"""SELECT epoch(date_trunc('hour', {time}::TIMESTAMP))::BIGINT AS bucket, {key}, round(avg(coalesce({fixed}, {raw}))::DOUBLE, 6) AS mean, round(max(coalesce({fixed}, {raw}))::DOUBLE, 6) AS high,
+        round(min(coalesce({fixed}, {raw}))::DOUBLE, 6) AS low FROM {source} GROUP BY 1, 2""",
+    )
 
 
 def bars(df, unit, time="o_orderdate", price="o_totalprice", symbol="o_orderpriority", tie="o_orderkey"):

@@ -98,11 +98,14 @@ def read_csv(
     Whole rows are parsed whatever columns a query reads: rows that don't fit the schema end the read (``fail``), are left out (``skip``), or are kept with their text in
     ``_corrupt_record`` (``log``), for ``quarantined``.
     """
-    mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "log": "PERMISSIVE"}[on_error]
-    reader = spark.read.option("sep", sep).option("header", header).option("mode", mode).option("columnPruning", "false")
+    mode = {"fail": "FAILFAST", "skip": "PERMISSIVE", "log": "PERMISSIVE"}[on_error]
+    reader = spark.read.option("sep", sep).option("header", header).option("mode", mode)
     if schema:
-        logged = f"{schema}, {CORRUPT} STRING" if on_error == "log" else schema
+        logged = schema if on_error == "fail" else f"{schema}, {CORRUPT} STRING"
         found = reader.schema(logged).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+        # what counts as bad changes with the columns that a query reads, so whole rows are parsed into a table first
+        found = found if on_error == "fail" else stash(found, "csv")
+        found = found.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if on_error == "skip" else found
     else:
         found = reader.csv(path)
         found = found if header else found.toDF(*[f"col_{i}" for i in range(len(found.columns))])
@@ -110,9 +113,7 @@ def read_csv(
 
 
 def quarantined(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the text of the bad ones; parsed once, into a written table, as what counts as bad would change with
-    the columns that a query reads."""
-    df = stash(df, "csv")
+    """Good rows, and the text of the bad ones."""
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
