@@ -37,6 +37,7 @@ ARC_FIELDS = {
 ID_HEADER = "X-Archive-Page-Id"
 BATCH_BYTES = 16 << 20
 LEVEL = 6  # of compression
+FEW = 200_000  # repeated payloads at most that are broadcast; with more of them, records are shuffled to them
 SEPARATOR = b"\r\n\r\n"  # of WARC records
 
 
@@ -216,12 +217,14 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, id_type: str
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest id stays a response
     (rows that repeat its id too); the others become revisits. Records without an id count as smallest.
     """
-    # ids and digests of all records meet first; finished (compressed) records move once, to what decides on them
+    # ids and digests of all records meet first; finished (compressed) records move once at most, to what decides on them
     found = stash(converted(spark, arc_path, with_record=False), "records")
     own = F.when(F.col("page") != "", F.col("page").try_cast(id_type))
     largest = F.max(F.struct(own.alias("page"), "record_id", "url", "date"))  # null is smallest
     grouped = found.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(largest.alias("first"), F.count("*").alias("n"))
-    firsts = grouped.where("n > 1").select("digest", "size", "first")
+    firsts = stash(grouped.where("n > 1").select("digest", "size", "first"), "firsts")
+    if firsts.count() <= FEW:
+        firsts = F.broadcast(firsts)
 
     records = converted(spark, arc_path, with_record=True).join(firsts, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first.page"))
