@@ -224,7 +224,7 @@ q(
 # ---- mappings
 MAPPING = {
     "timestamp": {"source_field": "micros", "target_field": "observation_time", "transform": "microseconds_to_timestamp"},
-    "identity_fields": [{"source": "event_id", "target": "key"}, {"source": "payload.serialno", "target": "ndp_id"}],
+    "identity_fields": [{"source": "event_id", "target": "key"}, {"source": "payload.serialno", "target": "device_id"}],
     "field_mappings": [
         {
             "source_path": "payload.main.temp",
@@ -260,7 +260,7 @@ q(
 q(
     "identity_fields",
     lambda s, d: payloads(s, d).transform(lambda df: df.select(*mapping.identity_fields(df, [*MAPPING["identity_fields"], {"source": "payload.periods[1].t", "target": "next"}]))),
-    "SELECT event_id::VARCHAR AS key, CASE WHEN event_id % 9 > 0 THEN 'dev-' || user_id END AS ndp_id, (event_id + 1)::VARCHAR AS next FROM events",
+    "SELECT event_id::VARCHAR AS key, CASE WHEN event_id % 9 > 0 THEN 'dev-' || user_id END AS device_id, (event_id + 1)::VARCHAR AS next FROM events",
 )
 q(
     "bronze_virtual_view",
