@@ -1,4 +1,4 @@
-"""Queries of this subpackage: ``op1_`` to ``op10_`` and the pipeline."""
+"""Queries of this subpackage: ``op1_`` to ``op13_`` and the pipeline."""
 
 from __future__ import annotations
 

@@ -101,6 +101,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import decoded_bytes, encode_texts
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = encode_texts(_table(spark, sf_dir, "documents"), ranks, pattern)
+    told = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", "n_tokens", told.alias("ids_sha256"), F.sha2(decoded_bytes(F.col("ids"), ranks, pattern), 256).alias("decoded_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
