@@ -16,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONG = 1 << 16  # characters of a part, about; shorter texts aren't cut
+GROUP = 1 << 20  # bytes of text of which a task holds the ids at a time, about
 SAFE = regex.compile(r"(?<=\P{White_Space})(?=[ \t\n\r])")
 BLANK = regex.compile(r"\p{White_Space}{%d,}" % LONG)
 
@@ -76,17 +78,43 @@ def _coder(ranks_path: str, pattern: str) -> ByteBpe:
     return _coders[key]
 
 
-def encoded_ids(text: Column, ranks_path: str, pattern: str) -> Column:
-    """Ids of whole texts as ``array<int>``; a null text counts as empty and has no ids. The rank file has to be at the same
-    path on all executors."""
+def encode_texts(
+    df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False
+) -> DataFrame:
+    """``id_col, n_tokens long, ids array<int>`` for each row, and with ``with_bytes`` what the ids decode to (``bytes binary``).
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Null texts count as empty: no tokens. Repeated rows stay repeated; a null id stays null; other columns aren't read,
+    so their names can't clash. Texts of any length are read whole; an empty table gives no rows. The rank file has to be at
+    the same path on all executors. Rows go on in small groups, so a task holds few texts and ids at a time.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_path, pattern)
         for batch in batches:
-            yield pd.Series([coder.encode(x) for x in batch], dtype=object)
-
-    return encode(F.coalesce(text, F.lit("")))
+            for part in small(batch, batch.column(2).to_numpy()):
+                ids = [coder.encode(x) for x in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                told = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                columns = {"id": part.column(0), "n_tokens": pa.array(np.diff(ends).astype(np.int64)), "ids": told}
+                if with_bytes:
+                    columns["bytes"] = pa.array([coder.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    read = df.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n"))
+    found = read.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>" + ", bytes binary" * with_bytes)
+    return found.withColumnRenamed("id", id_col)
+
+
+def small(batch: pa.RecordBatch, sizes: np.ndarray, most: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes; a larger row is alone with what comes before it."""
+    at = total = 0
+    for k, size in enumerate(sizes.tolist()):
+        total += size
+        if total >= most or k == len(sizes) - 1:
+            yield batch.slice(at, k + 1 - at)
+            at, total = k + 1, 0
 
 
 def decoded_bytes(ids: Column, ranks_path: str, pattern: str) -> Column:
@@ -100,13 +128,3 @@ def decoded_bytes(ids: Column, ranks_path: str, pattern: str) -> Column:
             yield pd.Series([coder.decode(x) for x in batch], dtype=object)
 
     return decode(ids)
-
-
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens long, ids array<int>`` for each row.
-
-    Null texts count as empty: no tokens. Repeated rows stay repeated; a null id stays null; other columns aren't read,
-    so their names can't clash. Texts of any length are read whole; an empty table gives no rows.
-    """
-    ids = encoded_ids(F.col(text_col), ranks_path, pattern)
-    return df.select(F.col(id_col), ids.alias("ids")).select(id_col, F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -103,12 +103,19 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @_query
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .byte_bpe import decoded_bytes, encode_texts
+    from .byte_bpe import encode_texts
 
-    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    found = encode_texts(_table(spark, sf_dir, "documents"), ranks, pattern)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_bytes=True)
     told = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return found.select("doc_id", "n_tokens", told.alias("ids_sha256"), F.sha2(decoded_bytes(F.col("ids"), ranks, pattern), 256).alias("decoded_sha256"))
+    return found.select("doc_id", "n_tokens", told.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
