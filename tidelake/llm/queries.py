@@ -118,6 +118,20 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import folded, manifest, siblings_digest
+
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars")) if k == 3 else f for k, f in enumerate(fields)]
+    found = manifest(docs, "doc_id", "lang", fields, changed)
+    found = found.withColumn("folded_root", folded(F.col("changed_leaf"), F.col("path"))).withColumn("proof_sha256", siblings_digest(F.col("path")))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
