@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import codes_sql, manifest_sql
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -118,6 +120,9 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op12_vector_codes"] = codes_sql()
+
+
 @_query
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import folded, manifest, siblings_digest
@@ -132,6 +137,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
 
 
+ORACLES["op11_merkle_manifest"] = manifest_sql()
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

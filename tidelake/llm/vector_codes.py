@@ -71,7 +71,7 @@ def _matrix(column: pa.Array, dim: int, scale: int) -> np.ndarray:
     whole = np.floor(flat * scale)
     if whole.size and np.abs(whole).max() >= (most := 2.0 ** ((61 - max(dim - 1, 1).bit_length()) // 2)):
         raise ValueError(f"a component times {scale} reaches {most:.0f}: squared distances of {dim} components would not fit 64 bits")
-    return whole.astype(np.int64).reshape(-1, dim)
+    return whole.astype(np.int64).reshape(len(column), dim)
 
 
 def _cuts(dim: int, parts: int) -> list[tuple[int, int]]:
@@ -108,7 +108,7 @@ def first_codebooks(kept: DataFrame, id_col: str, vector: str, parts: int, entri
         return None
     dim = first[0]
     rows = kept.where(F.size(vector) == dim).orderBy(*order).limit(entries).select(vector).toArrow()
-    whole = _matrix(rows.column(0).combine_chunks(), dim, scale) if dim else np.zeros((rows.num_rows, 0), np.int64)
+    whole = _matrix(rows.column(0).combine_chunks(), dim, scale)
     return Codebooks([np.ascontiguousarray(whole[:, a:b]) for a, b in _cuts(dim, parts)], dim, scale)
 
 
