@@ -300,6 +300,16 @@ def test_wrapped_and_respelled_licences(spark):
     assert mine["license"] == "X-1.0"
 
 
+def test_clauses_and_repeated_names_of_licences(spark):
+    text = "Terms\n(a) Give a copy;\n(c) You must retain, in the Source form of any Derivative Works,\nall notices; and\n(d) more."
+    more = spark.createDataFrame([("T-1.0", text), ("MIT-alias", next(t for k, t in KNOWN if k == "MIT"))], "license string, text string")
+    ways = [textwrap.fill(text, w) for w in (20, 34, 60)] + [text, "(c) 2001 H\n" + text, "Copyright (c) H\n" + text, "(c) Copyright H\n" + text]
+    rows = [*enumerate(ways), (90, next(t for k, t in KNOWN if k == "MIT"))]
+    found = {r["doc_id"]: r["license"] for r in license_scan(spark.createDataFrame(rows, DOC), more=more).collect()}
+    assert found == {k: "T-1.0" for k in range(7)} | {90: "MIT,MIT-alias"}
+    assert license_scan(spark.createDataFrame(rows, DOC), more=more).count() == 8
+
+
 def test_nearest_is_exact(spark):
     rand = np.random.default_rng(5)
     v = rand.normal(size=(400, 16)).astype(np.float32)

@@ -146,8 +146,9 @@ KNOWN = (
     *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
 )
 
-# A line that starts with a copyright mark and names a year or holder; text about copyright holders isn't one.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)|copyright[ \t]*:?[ \t]*(?:by |<|\[|[0-9]{4}))[^\n]*$"
+# A line that starts with a copyright mark and names a year or holder. Text about copyright holders isn't one, nor is a clause that
+# is numbered (c): those letters need the word, a year or a placeholder beside them.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*\(c\)|(?:copyright[ \t]*)?©|\(c\)[ \t]*(?:copyright|<|\[|[0-9]{4})|copyright[ \t]*:?[ \t]*(?:by |<|\[|[0-9]{4}))[^\n]*$"
 BETWEEN_WORDS = r"[^\p{L}\p{N}\n]+"
 
 
@@ -169,10 +170,10 @@ def digest(words: Column) -> Column:
 
 
 def known_digests(spark, more: DataFrame | None = None) -> DataFrame:
-    """``digest, license`` of KNOWN and of a table of further texts (``license, text``)."""
+    """``digest, names`` of KNOWN and of a table of further texts (``license, text``): each digest once, with all its licences."""
     rows = spark.createDataFrame(list(KNOWN), "license string, text string")
     rows = rows if more is None else rows.unionByName(more.select("license", "text").where("text IS NOT NULL"))
-    return rows.select(digest(whole(canonical_lines(F.col("text")))).alias("digest"), "license").distinct()
+    return rows.groupBy(digest(whole(canonical_lines(F.col("text")))).alias("digest")).agg(F.sort_array(F.collect_set("license")).alias("names"))
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
@@ -180,7 +181,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``license``: that of the whole text, or null. ``n_notices``: lines that are a known text by themselves;
     ``notices``: their licences, sorted, each once, joined by commas. A null text counts as empty and matches nothing.
-    Rows that repeat id and text get the same result each; null ids stay; an empty table gives no rows.
+    A text known under several names has them all, joined by commas. Rows that repeat id and text get the same result each; null ids stay; an empty table gives no rows.
     """
     known = known_digests(df.sparkSession, more)
     known = F.broadcast(known) if more is None else known  # the list above is bounded, a table needn't be
@@ -188,14 +189,14 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), canonical_lines(text).alias("lines"))
     cut = lines.select("id", "th", F.posexplode(F.split("lines", "\n")).alias("n", "line")).select("id", "th", "n", F.trim("line").alias("line"))
     hits = cut.where("line <> ''").select("id", "th", "n", digest(F.col("line")).alias("digest")).join(known, "digest").distinct()
-    notices = hits.groupBy("id", "th").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
+    notices = hits.groupBy("id", "th").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))), ",").alias("notices"))
     texts = lines.select("id", "th", digest(whole(F.col("lines"))).alias("digest")).join(known, "digest", "left")
     same = [F.col("t.th") == F.col("s.th"), F.col("t.id").eqNullSafe(F.col("s.id"))]
     both = texts.alias("t").join(notices.alias("s"), same, "left")
     return both.select(
         F.col("t.id").alias(id_col),
         F.col("t.digest").alias("text_digest"),
-        F.col("t.license").alias("license"),
+        F.array_join("t.names", ",").alias("license"),
         F.coalesce("n_notices", F.lit(0)).alias("n_notices"),
         F.coalesce("notices", F.lit("")).alias("notices"),
     )
@@ -215,7 +216,7 @@ def oracle(table: str = "documents") -> str:
 
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
     return f"""
-WITH known AS (SELECT DISTINCT {all_of(lines('text'))} AS digest, license FROM (VALUES {values}) v(license, text)),
+WITH known AS (SELECT {all_of(lines('text'))} AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license FROM (VALUES {values}) v(license, text) GROUP BY 1),
 docs AS (SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM {table}),
 cut AS (SELECT doc_id, trim(unnest(string_split(lines, chr(10)))) AS line FROM docs),
 hits AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
