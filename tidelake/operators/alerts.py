@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 from dataclasses import dataclass
 
 import pandas as pd
@@ -38,13 +38,15 @@ def hit(rule: Rule) -> Column:
             F.lit(rule.field).alias("field"), F.lit(severity).alias("severity"), value.alias("value"), F.lit(float(bound)).alias("threshold"),
             F.lit(side).alias("direction"), F.lit(rule.cooldown_seconds).cast("long").alias("cooldown"), text.alias("message"),
         )
-        found.append(F.when((value <= bound) if minimum else (value >= bound), alert))
+        reached = (value <= bound) if minimum else (value >= bound) & ~F.isnan(value)  # NaN is larger than all numbers
+        found.append(F.when(reached, alert))
     return F.coalesce(*found)
 
 
-def rule_hits(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rows with ``hits``: the alerts of all rules, in the order of the rules; rows without any are left out."""
-    return df.withColumn("hits", F.array_compact(F.array(*[hit(r) for r in rules]))).where(F.size("hits") > 0)
+def rule_hits(df: DataFrame, rules: list[Rule], also: Column | None = None) -> DataFrame:
+    """Rows with ``hits``: the alerts of all rules, in the order of the rules; rows without any are left out unless ``also`` holds."""
+    some = F.size("hits") > 0
+    return df.withColumn("hits", F.array_compact(F.array(*[hit(r) for r in rules]))).where(some if also is None else some | also)
 
 
 def threshold_alerts(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -94,26 +96,25 @@ def alert_cooldown(df: DataFrame, rules: list[Rule], source: str, time: str, tie
     return hits.groupBy(source).applyInPandas(run, f"{schema}, {ALERT}")
 
 
+def _read_hits(text: str) -> list[dict]:
+    """Alerts from JSON, where numbers that aren't finite are text."""
+    return [x | {"value": float(x["value"]), "threshold": float(x["threshold"])} for x in json.loads(text)]
+
+
 def alert_cooldown_stream(stream: DataFrame, rules: list[Rule], source: str, time: str, tie: str, keep_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
-    """The same for a stream: what was last alerted is the state of a source, which is dropped once the watermark is
-    ``keep_seconds`` past its last alert (at least the longest cooldown). Rows of a micro-batch are walked in their order; a
-    row that comes later is judged as it comes, and one behind the watermark is left out."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    """The same for a stream: alerts wait until the watermark has passed them and are walked in event-time order. What was last
+    alerted is the state of a source, which is dropped once the watermark is ``keep_seconds`` past its last alert (at least the
+    longest cooldown). Rows without a source are no readings but heartbeats, which move the watermark."""
+    from ..streaming.stateful import in_order
 
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     keep_seconds = max(keep_seconds, *[r.cooldown_seconds for r in rules])
-    hits = rule_hits(stream.withWatermark(time, late), rules).select(source, time, tie, seconds.alias("at"), "hits")
+    hits = rule_hits(stream, rules, F.col(source).isNull()).select(source, time, tie, seconds.alias("at"), F.to_json("hits").alias("hits"))
     schema = ", ".join(f"`{c}` {hits.schema[c].dataType.simpleString()}" for c in (source, time, tie))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fields, severities, times = state.get if state.exists else ([], [], [])
-        last = dict(zip(zip(fields, severities, strict=True), times, strict=True))
-        yield walk(pd.concat(list(batches)).sort_values(["at", tie]), last)
-        state.update(([k[0] for k in last], [k[1] for k in last], list(last.values())))
-        state.setTimeoutTimestamp(int(max(max(last.values()) * 1000, state.getCurrentWatermarkMs())) + keep_seconds * 1000)
-
-    kept = "fields array<string>, severities array<string>, times array<double>"
-    return hits.groupBy(source).applyInPandasWithState(run, f"{schema}, {ALERT}", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        last = {tuple(k): at for k, at in json.loads(kept[0])} if kept else {}
+        chosen = walk(rows.assign(hits=rows["hits"].map(_read_hits)), last)
+        return chosen, (json.dumps(list(last.items())),)
+
+    return in_order(hits, [source], [time, tie], late, step, "last string", f"{schema}, {ALERT}", keep_seconds * 1000)

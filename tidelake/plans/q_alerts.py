@@ -48,15 +48,17 @@ SELECT event_id, field, severity FROM r WHERE field IS NOT NULL"""
 q("alert_cooldown", lambda s, d: alerts.alert_cooldown(readings(obs(s, d)), RULES, "user_id", "ts", "event_id").select("event_id", "field", "severity"), COOLED)
 
 
-def stream_obs(s, d):
-    e = st.events_stream(s, f"{d}/events.parquet")
-    value = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 11 == 0, F.col("value") * 10).otherwise(F.col("value"))
-    return e.withColumn("value", value)
+# Streams come in four turns that are shuffled over the whole time, so rows have to wait for the watermark.
+LATE = "60 days"
+
+
+def turned(df, time="ts"):
+    return st.turns(df, 4, "event_id", time)
 
 
 q(
     "alert_cooldown_stream",
-    lambda s, d: st.drain(alerts.alert_cooldown_stream(readings(stream_obs(s, d)), RULES, "user_id", "ts", "event_id"), "cooldown").select("event_id", "field", "severity"),
+    lambda s, d: st.drain_turns(turned(readings(obs(s, d))), lambda x: alerts.alert_cooldown_stream(x, RULES, "user_id", "ts", "event_id", late=LATE), "cooldown").select("event_id", "field", "severity"),
     COOLED,
 )
 
@@ -70,18 +72,31 @@ SEEN = """SELECT event_id FROM events s WHERE event_type = 'click' OR event_type
 AND p.ts <= s.ts AND epoch(s.ts) - epoch(p.ts) < 3600))"""
 q(
     "stream_dedup_sources",
-    lambda s, d: st.drain(stateful.dedup_sources(split_sources(st.events_stream(s, f"{d}/events.parquet")), "user_id", "ts", "event_id", "primary", 3600, F.col("value") > 90), "sources").select("event_id"),
+    lambda s, d: st.drain_turns(
+        turned(split_sources(events(s, d))), lambda x: stateful.dedup_sources(x, ["user_id"], "ts", "event_id", "primary", 3600, F.col("value") > 90, LATE), "sources"
+    ).select("event_id"),
     SEEN,
 )
+q(
+    "stream_dedup_sources_composite",
+    lambda s, d: st.drain_turns(
+        turned(split_sources(events(s, d)).withColumn("metric", F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3))),
+        lambda x: stateful.dedup_sources(x, ["user_id", "metric"], "ts", "event_id", "primary", 7200, F.col("value") > 90, LATE),
+        "sources",
+    ).select("event_id"),
+    SEEN.replace("p.user_id = s.user_id", "p.user_id = s.user_id AND p.event_id % 3 = s.event_id % 3").replace("3600", "7200"),
+)
 TRANSITIONS = """SELECT event_id, from_state, to_state FROM (SELECT event_id, ts, lag(s) OVER w AS from_state, s AS to_state FROM (SELECT *, nullif(event_type, 'signup') AS s FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE from_state IS NOT NULL AND from_state IS DISTINCT FROM to_state"""
 q(
     "stream_state_transition",
-    lambda s, d: st.drain(stateful.state_transitions(
-        st.events_stream(s, f"{d}/events.parquet").withColumn("event_type", F.expr("nullif(event_type, 'signup')")).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_type", "event_id"), "states"
+    lambda s, d: st.drain_turns(
+        turned(events(s, d).withColumn("event_type", F.expr("nullif(event_type, 'signup')")).withColumn("ts", F.col("ts").cast("timestamp"))),
+        lambda x: stateful.state_transitions(x, ["user_id"], "ts", "event_type", "event_id", LATE),
+        "states",
     ).select("event_id", "from_state", "to_state"),
     TRANSITIONS,
-)
+)
 q(
     "state_transitions_since",
     lambda s, d: ev.transitions_since(states(s, d), "user_id", "ts", "event_type", "event_id", "2024-01-20 00:00:00").select("event_id", "from_state", "to_state"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
+from .stateful import rocks
 
 
 def single(path: str) -> str:
@@ -25,6 +28,27 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def turns(df: DataFrame, n: int, by: str, time: str, end: str = "2200-01-01") -> list[DataFrame]:
+    """A table in ``n`` turns without regard to time, and a heartbeat: one row with nothing but a late time, so that the
+    watermark passes all others."""
+    dealt = [df.where(F.pmod(F.xxhash64(by), F.lit(n)) == k) for k in range(n)]
+    beat = df.sparkSession.range(1).select(*[(F.lit(end).cast(f.dataType) if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema])
+    return [*dealt, beat]
+
+
+def drain_turns(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What a stream writes whose input comes in turns; it is stopped after each and started again from its checkpoint."""
+    spark = parts[0].sparkSession
+    source, out, state = (new_path(spark, f"{label}-{x}") for x in ("source", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(parts[0].schema).parquet(source))
+        with rocks(spark):
+            run = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+            run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def tumbling(stream: DataFrame, granularity: str, late: str, keys: list[str]) -> DataFrame:
     """Closed buckets only; rows later than the watermark are left out."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -1,73 +1,175 @@
-"""Stateful stream operators: state per key, in event-time order within each micro-batch.
+"""Stateful stream operators that see the rows of each key in event-time order, whatever order they come in.
 
-Rows that come in a later micro-batch than newer rows of their key are judged as they come; rows behind the watermark
-are left out. State is dropped once the watermark is far enough past the last row of its key.
+A row waits in the key's state until the watermark has passed it; an event-time timer then releases all rows that are due, sorted,
+to the operator's step, which carries a small state of its own from release to release. Rows behind the watermark were left out before
+they reached the state. So a stream gives what its batch twin gives on the rows that weren't too late, however they are cut
+into micro-batches. The step's state is kept for a given time after the key's last row; after a longer silence a key starts anew.
+
+State is kept in RocksDB, so it may be larger than an executor's memory. A stream that ends, or a source that falls silent, needs a row with
+a later time (a heartbeat with a null key) to move the watermark past what still waits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEEP_MS = 7 * 86_400_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Sorted rows and the state so far (None at first) give output rows and the new state.
+Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def _millis(times: pd.Series) -> pd.Series:
+    """Milliseconds of event times, rounded up: a row is due once the watermark has reached its time."""
+    return -(-times.astype("datetime64[us]").astype("int64") // 1000)
+
+
+class InOrder(StatefulProcessor):
+    """Holds rows until they are due and gives them to ``step`` in the order of ``order`` (time first)."""
+
+    def __init__(self, step: Step, kept: str, columns: list[str], order: list[str], ascending: list[bool], keep_ms: int):
+        self.step, self.kept_schema, self.columns, self.order, self.ascending, self.keep_ms = step, kept, columns, order, ascending, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "first long, rows binary")
+        self.kept = handle.getValueState("kept", self.kept_schema)
+        self.clock = handle.getValueState("clock", "timer long, released long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, released = self.clock.get() if self.clock.exists() else (None, None)
+        for batch in rows:
+            batch.columns = self.columns  # names that start with an underscore come as numbers
+            first = int(_millis(batch[self.order[0]]).min())
+            self.waiting.appendValue((first, _packed(batch)))
+            timer = self._set(timer, first)
+        self.clock.update((timer, released))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        _, released = self.clock.get()
+        ready, rest = [], []
+        for first, data in self.waiting.get():
+            if first > now:
+                rest.append((first, data))
+                continue
+            rows = _unpacked(data)
+            due = _millis(rows[self.order[0]])
+            ready.append(rows[due <= now])
+            if (later := due > now).any():
+                rest.append((int(due[later].min()), _packed(rows[later])))
+        if ready:
+            rows = pd.concat(ready, ignore_index=True).sort_values(self.order, ascending=self.ascending, kind="stable", ignore_index=True)
+            state = self.kept.get() if self.kept.exists() else None
+            for part, fresh in self._spells(rows, released):
+                out, state = self.step(part, None if fresh else state)
+                if len(out):
+                    yield out
+            released = int(_millis(rows[self.order[0]]).iloc[-1])
+            self.kept.update(state)
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if not rest and (released is None or now > released + self.keep_ms):
+            self.kept.clear()
+            self.clock.clear()
+        else:
+            due = min([x for x, _ in rest], default=released + self.keep_ms + 1)
+            self.clock.update((self._set(None, due), released))
+
+    def _spells(self, rows: pd.DataFrame, released: int | None) -> Iterator[tuple[pd.DataFrame, bool]]:
+        """The rows cut where a key was silent for longer than its state is kept, and whether the state before is gone."""
+        at = _millis(rows[self.order[0]])
+        silent = at.diff() > self.keep_ms
+        silent.iloc[0] = released is not None and at.iloc[0] - released > self.keep_ms
+        for _, part in rows.groupby(silent.cumsum(), sort=True):
+            yield part, bool(silent[part.index[0]])
+
+    def _set(self, timer: int | None, at: int) -> int:
+        """One timer a key: the earliest time at which something is due."""
+        if timer is not None and timer <= at:
+            return timer
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+        return at
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, keys: list[str], order: list[str], late: str, step: Step, kept: str, schema: str, keep_ms: int = KEEP_MS, ascending: list[bool] | None = None) -> DataFrame:
+    """``step`` over the rows of each key (one or several columns) in order; ``late`` is how far behind the newest row a row may
+    come. Rows without a time take no part."""
+    timed = stream.where(F.col(order[0]).isNotNull()).withWatermark(order[0], late)
+    processor = InOrder(step, kept, timed.columns, order, ascending or [True] * len(order), keep_ms)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def dedup_sources(stream: DataFrame, keys: list[str], time: str, tie: str, primary: str, seconds: int, always: Column, late: str = "1 hour") -> DataFrame:
+    """All points of the primary source, and those of the secondary one that don't follow a primary point of their
+    keys within the window; points for which ``always`` holds pass anyway. Of points at the same time the primary ones count first."""
+    marked = stream.withColumn("__always", F.coalesce(always, F.lit(False)))
+    columns = stream.columns
 
+    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        at = rows[time].astype("datetime64[us]").astype("int64") / 1e6
+        mine = rows[primary].astype(bool)
+        last = at.where(mine).ffill().fillna(kept[0] if kept else float("-inf"))
+        keep = mine | rows["__always"].astype(bool) | (at - last >= seconds)
+        return rows.loc[keep, columns], (float(last.iloc[-1]),)
 
-def dedup_sources(stream: DataFrame, key: str, time: str, tie: str, primary: str, seconds: int, always: Column, late: str = "1 hour") -> DataFrame:
-    """All points of the primary source, and those of the secondary one that don't follow a primary point of their
-    key within the window; points for which ``always`` holds pass anyway.
+    return in_order(marked, keys, [time, primary, tie], late, step, "last double", _schema(stream), 2000 * seconds, [True, False, True])
 
-    The state of a key is the time of its last primary point; it is dropped twice the window after its last row.
-    """
-    marked = stream.withWatermark(time, late).withColumn("always", F.coalesce(always, F.lit(False)))
-    columns = stream.columns
 
-    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else float("-inf")
-        rows = _ordered(batches, [time, tie])
-        at = rows[time].astype("int64") / (1e9 if rows[time].dtype == "datetime64[ns]" else 1e6)
-        # of points at the same time the primary ones count first
-        before = at.where(rows[primary]).groupby(at).transform("max").cummax().ffill().fillna(last).clip(lower=last)
-        keep = rows[primary] | rows["always"] | (at - before >= seconds)
-        state.update((float(before.iloc[-1]),))
-        state.setTimeoutTimestamp(int(max(float(at.iloc[-1]) * 1000, state.getCurrentWatermarkMs())) + 2000 * seconds)
-        yield rows.loc[keep, columns]
-
-    return marked.groupBy(key).applyInPandasWithState(run, _schema(stream), "last double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def state_transitions(stream: DataFrame, entity: str, time: str, state: str, tie: str, late: str = "1 hour") -> DataFrame:
-    """Changes of state of each entity, with the state before; the last state of an entity is kept between batches, so
-    no change is lost at the cut between them."""
+def state_transitions(stream: DataFrame, keys: list[str], time: str, state: str, tie: str, late: str = "1 hour") -> DataFrame:
+    """Changes of state of each entity, with the state before."""
     columns = [c for c in stream.columns if c != state]
 
-    def run(_: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        if kept.hasTimedOut:
-            kept.remove()
-            return
-        rows = _ordered(batches, [time, tie])
+    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
         values = rows[state].where(rows[state].notna(), None).tolist()
-        before = [kept.get[0] if kept.exists else None, *values[:-1]]
-        kept.update((values[-1],))
-        newest = rows[time].iloc[-1].timestamp() * 1000
-        kept.setTimeoutTimestamp(int(max(newest, kept.getCurrentWatermarkMs())) + KEEP_MS)
+        before = [kept[0] if kept else None, *values[:-1]]
         changed = [a is not None and a != b for a, b in zip(before, values, strict=True)]
-        out = rows[columns].assign(from_state=before, to_state=values)
-        yield out[changed]
+        return rows[columns].assign(from_state=before, to_state=values)[changed], (values[-1],)
 
-    schema = _schema(stream.select(*columns)) + ", from_state string, to_state string"
-    return stream.withWatermark(time, late).groupBy(entity).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(stream, keys, [time, tie], late, step, "last string", _schema(stream.select(*columns)) + ", from_state string, to_state string")
