@@ -49,7 +49,7 @@ def freshness_check(field: str, reference: Column, oldest: str | None = None, ne
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def rate_of_change(field: str, time: str, most: float, entity: str, tie: str) -> Column:
+def rate_of_change(field: str, time: str, most: float, entity: str | list[str], tie: str) -> Column:
     """Change per minute to the row before; equal times never flag."""
     w = W.partitionBy(entity).orderBy(time, tie)
     minutes = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 60e6
@@ -62,7 +62,7 @@ def cross_field(condition: str, name: str, strict: bool = False) -> Column:
     return flag(~F.coalesce(holds, F.lit(False)) if strict else ~holds, f"cross_field_check:{name}")
 
 
-def monotonic(field: str, entity: str, order: list[str], reset: float | None = None) -> Column:
+def monotonic(field: str, entity: str | list[str], order: list[str], reset: float | None = None) -> Column:
     before = F.lag(field).over(W.partitionBy(entity).orderBy(*order))
     bad = F.col(field) < before
     return flag(bad if reset is None else bad & (F.col(field) > reset), f"monotonic:{field}:decreased")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import unit_linear, unit_named
-from . import dq
+from . import dq, merge
+from .features import latest_per_key
 
 # Type names of a mapping and the types they stand for.
 TYPES = {
@@ -24,8 +27,8 @@ def source(df: DataFrame, path: str) -> Column:
 
 
 def transformed(value: Column, config: dict | str | None) -> Column:
-    """The value after a configured transform: a named conversion, a linear or factor formula, an expression over
-    ``value``, or a lookup table."""
+    """The value after a configured transform: a named conversion, a linear or factor formula, a lookup table, a JSON path, or a
+    time. Expressions and computed fields refer to columns and are compiled by ``field_mapping``."""
     if not config:
         return value
     if isinstance(config, str):
@@ -39,6 +42,8 @@ def transformed(value: Column, config: dict | str | None) -> Column:
     if kind == "lookup":
         table = F.create_map(*[F.lit(x) for pair in config["values"].items() for x in pair])
         return F.coalesce(table[value], F.lit(config.get("default")))
+    if kind == "timestamp":
+        return _timed(value, config["format"])
     raise ValueError(f"unknown transform {kind!r}")
 
 
@@ -61,33 +66,108 @@ def identity_fields(df: DataFrame, config: list[dict]) -> list[Column]:
     return [source(df, c["source"]).cast("string").alias(c["target"]) for c in config]
 
 
-def field_mapping(df: DataFrame, config: dict) -> DataFrame:
-    """The table that a mapping describes, in one projection: the time, the identity fields, each mapped field as its
-    type, and ``dq_flags``. Rows without a value for a field that isn't nullable are left out.
+def _names(expression: str) -> set[str]:
+    """The words of an expression, without text in quotes."""
+    return set(re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", "", expression)))
+
+
+def _kind(field: dict) -> str | None:
+    transform = field.get("transform")
+    return transform["type"] if isinstance(transform, dict) else None
+
+
+def _source_of(df: DataFrame, field: dict) -> Column:
+    """Where a field's value is read: its path, or for a JSON path that path in the column that its source begins with."""
+    if _kind(field) == "json_extract":
+        return F.get_json_object(F.col(field["source_path"].partition(".")[0]), field["transform"]["path"])
+    return source(df, field["source_path"])
+
 
-    config: ``timestamp`` (source_field, target_field, transform), ``identity_fields`` (source, target) and
-    ``field_mappings`` (source_path, target_column, type, nullable, transform, dq_rules).
+def _in_order(fields: list[dict]) -> list[dict]:
+    """Computed fields so that each comes after those that its expression names; a circle is an error."""
+    left, done = {f["target_column"]: f for f in fields}, []
+    while left:
+        free = [f for n, f in left.items() if not (_names(f["transform"]["expression"]) & left.keys()) - {n} and n not in _names(f["transform"]["expression"])]
+        if not free:
+            raise ValueError(f"computed fields {sorted(left)} depend on each other")
+        for f in free:
+            done.append(left.pop(f["target_column"]))
+    return done
+
+
+def field_mapping(df: DataFrame, config: dict, ingested: Column | None = None) -> DataFrame:
+    """The table that a mapping describes: the time, the identity fields, each mapped field as its type, and the flags.
+
+    config: ``timestamp`` (source_field, target_field, transform), ``identity_fields`` (source, target), ``field_mappings``
+    (source_path, target_column, type, nullable, transform, dq_rules), ``dq_rules`` over the whole row (each with its ``field``) and
+    ``dq_output`` (enabled, target_column). Fields are read first, then ``expression`` transforms over ``value``, then ``computed``
+    fields in the order of what they name. Rules judge the values before any action; then each rule's action applies: ``flag``
+    and ``warn`` keep the value, ``clamp`` moves it to the bound (null stays null), ``reject`` makes it null, ``drop`` leaves the row out.
+    Rows without a value for a field that isn't nullable are left out. ``ingested`` is the time that freshness refers to.
     """
-    time = config["timestamp"]
-    own = [transformed(source(df, time["source_field"]), time.get("transform")).alias(time["target_field"]), *identity_fields(df, config.get("identity_fields", []))]
-    rules: list[Column] = []
-    needed: list[str] = []
-    for f in config["field_mappings"]:
-        name = f["target_column"]
-        own.append(_typed(transformed(source(df, f["source_path"]), f.get("transform")), TYPES[f["type"]]).alias(name))
+    time, fields = config["timestamp"], config["field_mappings"]
+    read = [transformed(source(df, time["source_field"]), time.get("transform")).alias(time["target_field"]), *identity_fields(df, config.get("identity_fields", []))]
+    later: dict[str, str] = {}
+    for n, f in enumerate(fields):
+        name, kind = f["target_column"], _kind(f)
+        if kind == "computed":
+            continue
+        if kind == "expression":
+            later[name] = f"`__in{n}`"
+            read.append(_source_of(df, f).alias(f"__in{n}"))
+        else:
+            transform = None if kind == "json_extract" else f.get("transform")
+            read.append(_typed(transformed(_source_of(df, f), transform), TYPES[f["type"]]).alias(name))
+    found = df.select(*read, *([ingested.alias("ingestion_time")] if ingested is not None else []))
+    for f in fields:
+        if f["target_column"] in later:
+            name = later[f["target_column"]]  # in place of the word, but not of text in quotes
+            expression = re.sub(r"'[^']*'|\bvalue\b", lambda m, name=name: name if m[0] == "value" else m[0], f["transform"]["expression"])
+            found = found.withColumn(f["target_column"], _typed(F.expr(expression), TYPES[f["type"]]))
+    for f in _in_order([f for f in fields if _kind(f) == "computed"]):
+        found = found.withColumn(f["target_column"], _typed(F.expr(f["transform"]["expression"]), TYPES[f["type"]]))
+    for f in fields:
         if not f.get("nullable", True):
-            needed.append(name)
-        rules += [rule_column(name, r) for r in f.get("dq_rules", [])]
-    mapped = df.select(*own)
-    for name in needed:
-        mapped = mapped.where(F.col(name).isNotNull())
-    flags = dq.flags(*rules) if rules else F.array().cast("array<string>")
-    return mapped.withColumn("dq_flags", flags)
-
-
-def rule_column(field: str, rule: dict) -> Column:
-    """The flag of a configured rule on a field."""
-    name = rule["rule"]
+            found = found.where(F.col(f["target_column"]).isNotNull())
+    rules = [{"field": f["target_column"]} | r for f in fields for r in f.get("dq_rules", [])] + config.get("dq_rules", [])
+    output = config.get("dq_output", {})
+    flags = output.get("target_column", "dq_flags")
+    order = [c["target"] for c in config.get("identity_fields", [])], time["target_field"]
+    told = [rule_column(r, *order) for r in rules]
+    found = found.withColumn(flags, dq.flags(*told) if told else F.array().cast("array<string>"))
+    for r in rules:
+        if r.get("action") == "drop":
+            prefix = f"cross_field_check:{r['name']}" if r["rule"] == "cross_field_check" else f"{r['rule']}:{r['field']}:"
+            found = found.where(~_has(flags, prefix))
+    kept = [time["target_field"], *order[0], *[f["target_column"] for f in fields]]
+    changed = {n: acted(F.col(n), [r for r in rules if r.get("field") == n]).alias(n) for n in kept}
+    return found.select(*changed.values(), *([flags] if output.get("enabled", True) else []))
+
+
+def _has(flags: str, prefix: str) -> Column:
+    return F.exists(flags, lambda x: x.startswith(prefix))
+
+
+def acted(value: Column, rules: list[dict]) -> Column:
+    """The value after the actions of its rules, in order."""
+    for r in rules:
+        low, high = r.get("min", float("-inf")), r.get("max", float("inf"))
+        if r["rule"] == "range_check" and r.get("action") == "clamp":
+            value = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+        elif r["rule"] == "range_check" and r.get("action") == "reject":
+            value = F.when(value.between(low, high), value)
+        elif r["rule"] == "enum_check" and r.get("action") == "reject":
+            fold = not r.get("case_sensitive", True)
+            allowed = [x.upper() for x in r["allowed_values"]] if fold else r["allowed_values"]
+            value = F.when((F.upper(value) if fold else value).isin(allowed), value)
+        elif r["rule"] == "pattern_check" and r.get("action") == "reject":
+            value = F.when(value.rlike(r["pattern"]), value)
+    return value
+
+
+def rule_column(rule: dict, entity: list[str] | None = None, time: str | None = None) -> Column:
+    """The flag of a configured rule; ``entity`` and ``time`` order the rows for rules that look back."""
+    name, field = rule["rule"], rule.get("field")
     if name == "range_check":
         return dq.range_check(field, rule.get("min", float("-inf")), rule.get("max", float("inf")), rule.get("action") == "clamp")
     if name == "null_check":
@@ -96,9 +176,37 @@ def rule_column(field: str, rule: dict) -> Column:
         return dq.enum_check(field, rule["allowed_values"], not rule.get("case_sensitive", True))
     if name == "pattern_check":
         return dq.pattern_check(field, rule["pattern"])
+    if name == "cross_field_check":
+        return dq.cross_field(rule["expression"], rule["name"])
+    if name == "freshness_check":
+        return dq.freshness_check(field, F.col(rule.get("reference", "ingestion_time")), rule.get("max_age"), rule.get("max_future"))
+    if name == "rate_of_change":
+        return dq.rate_of_change(field, time, rule["max_change_per_minute"], entity, time)
+    if name == "monotonic":
+        return dq.monotonic(field, entity, [time], rule.get("reset"))
     raise ValueError(f"unknown rule {name!r}")
 
 
+def load(df: DataFrame, target: DataFrame, config: dict, ingested: Column | None = None) -> DataFrame:
+    """The target after a run of a mapping: rows newer than its newest time less the lag (``incremental``), mapped and judged,
+    the newest of each key, merged by the strategy (``deduplication``: upsert, skip or replace). Running it again changes nothing."""
+    mapped = field_mapping(df, config, ingested)
+    incremental, dedup = config.get("incremental", {}), config.get("deduplication", {})
+    if incremental.get("enabled"):
+        column = incremental["watermark_column"]
+        lag = F.expr(f"INTERVAL {incremental.get('lag_interval', '0 seconds')}")
+        newest = target.agg((F.max(column) - lag).alias("__mark"))  # a row
+        mapped = mapped.join(F.broadcast(newest), F.col("__mark").isNull() | (F.col(column) > F.col("__mark"))).drop("__mark")
+    if not dedup.get("enabled"):
+        return target.unionByName(mapped)
+    keys = dedup["key_columns"]
+    order = [config["timestamp"]["target_field"], *[c for c in mapped.columns if c not in keys and dict(mapped.dtypes)[c] != "array<string>"]]
+    newest_rows = latest_per_key(mapped, keys, order)
+    if dedup["strategy"] == "upsert":
+        return merge.upsert(target, newest_rows, keys, order)
+    return {"skip": merge.skip_existing, "replace": merge.replace_rows}[dedup["strategy"]](target, newest_rows, keys)
+
+
 def virtual_view(df: DataFrame, ranges: dict[str, tuple[float, float, int]], time: str, keep: list[str]) -> DataFrame:
     """Rows with a time; each column rounded to its places where it is within its range, else null."""
     columns = [F.when(F.col(c).between(low, high), F.round(c, places)).alias(c) for c, (low, high, places) in ranges.items()]
@@ -126,11 +234,14 @@ def validate_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] = RANG
 def validate_points(df: DataFrame, schema: list[dict], metric: str = "metric", value: str = "value", strict: bool = False) -> DataFrame:
     """``error`` of each point, or null: ``type_mismatch``, ``out_of_range`` or (strict) ``unknown_field``.
 
-    schema: ``name``, ``type`` (float, int, string, bool, json) and an optional ``range`` of two bounds.
+    schema: ``name``, ``type`` (float, int, string, bool, json) and an optional ``range`` of two bounds. A number is told without
+    a point if it is whole, so whole doubles pass as integers.
     """
-    found = F.lit(None).cast("string")
+    found, number = F.lit(None).cast("string"), F.col(value).try_cast("double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 2.0**63)
+    text = F.when(whole, number.try_cast("bigint").cast("string")).otherwise(F.col(value).cast("string"))
     for f in schema:
-        found = F.when(F.col(metric) == f["name"], value_error(F.col(value).cast("string"), f)).otherwise(found)
+        found = F.when(F.col(metric) == f["name"], value_error(text, f)).otherwise(found)
     known = F.col(metric).isin(*[f["name"] for f in schema])
     return df.withColumn("error", F.when(~known, F.lit("unknown_field")).otherwise(found) if strict else found)
 

@@ -257,6 +257,75 @@ q(
     CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS kind,
     CASE WHEN value - 273.15::DOUBLE < -270 OR value - 273.15::DOUBLE > 60 THEN 'range_check:temperature_c:out_of_bounds' ELSE '' END AS dq_flags FROM events WHERE event_id % 10 > 0""",
 )
+# A mapping with all kinds of transforms, rules and actions, in the shape of a configuration file.
+FULL = {
+    "timestamp": {"source_field": "micros", "target_field": "observation_time", "transform": "microseconds_to_timestamp"},
+    "identity_fields": [{"source": "user_id", "target": "ndp_id"}, {"source": "payload.clouds.all", "target": "latitude"}],
+    "field_mappings": [
+        {"source_path": "x", "target_column": "gap", "type": "double_precision", "transform": {"type": "computed", "expression": "feels_like_c - temperature_c + doubled"}},
+        {"source_path": "payload.main.temp", "target_column": "temperature_c", "type": "double_precision",
+         "transform": {"type": "unit_conversion", "from": "kelvin", "to": "celsius", "formula": {"type": "linear", "scale": 1.0, "offset": -273.15}},
+         "dq_rules": [{"rule": "range_check", "min": -260.0, "max": -200.0, "action": "flag"}]},
+        {"source_path": "payload.main.feels_like", "target_column": "feels_like_c", "type": "double_precision",
+         "dq_rules": [{"rule": "range_check", "min": 10.0, "max": 400.0, "action": "reject"}]},
+        {"source_path": "payload.main.humidity", "target_column": "humidity_pct", "type": "double_precision",
+         "dq_rules": [{"rule": "range_check", "min": 20.0, "max": 80.0, "action": "clamp", "clamp_to_bounds": True}]},
+        {"source_path": "payload.wind.speed", "target_column": "doubled", "type": "double_precision", "transform": {"type": "expression", "expression": "CAST(value AS DOUBLE) * 2 + length('value')"}},
+        {"source_path": "payload.periods[0].t", "target_column": "period", "type": "bigint", "transform": {"type": "json_extract", "path": "$.periods[1].t"}},
+        {"source_path": "event_type", "target_column": "kind", "type": "text", "dq_rules": [{"rule": "enum_check", "allowed_values": ["CLICK", "VIEW", "ERROR"], "case_sensitive": False, "action": "reject"}, {"rule": "pattern_check", "pattern": "^(view|click|purchase|signup)$", "action": "drop"}]},
+    ],
+    "dq_rules": [
+        {"rule": "null_check", "field": "observation_time", "action": "reject"},
+        {"rule": "cross_field_check", "name": "warm_and_dry", "expression": "temperature_c < -230 OR humidity_pct <= 50", "action": "flag"},
+        {"rule": "freshness_check", "field": "observation_time", "max_age": "10 days", "max_future": "15 minutes", "reference": "ingestion_time", "action": "flag"},
+    ],
+    "dq_output": {"enabled": True, "target_column": "quality"},
+    "deduplication": {"enabled": True, "key_columns": ["ndp_id", "day"], "strategy": "upsert"},
+    "incremental": {"enabled": True, "watermark_column": "observation_time", "lag_interval": "1 day"},
+}
+NOW = "2024-01-20 00:00:00"
+
+
+def micros(s, d):
+    return payloads(s, d).withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+FULL_SQL = f"""SELECT event_id, ts, user_id, event_type, value, {K} AS k, list_filter([
+CASE WHEN value - 273.15::DOUBLE < -260 OR value - 273.15::DOUBLE > -200 THEN 'range_check:temperature_c:out_of_bounds' END, CASE WHEN value < 10 OR value > 400 THEN 'range_check:feels_like_c:out_of_bounds' END,
+CASE WHEN event_id % 10 > 0 AND ({K} < 20 OR {K} > 80) THEN 'range_check:humidity_pct:clamped' END, CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN 'enum_check:kind:invalid_value' END,
+CASE WHEN NOT (value - 273.15::DOUBLE < -230 OR CASE WHEN event_id % 10 > 0 THEN {K} END <= 50) THEN 'cross_field_check:warm_and_dry' END,
+CASE WHEN ts < TIMESTAMP '{NOW}' - INTERVAL 10 DAYS THEN 'freshness_check:observation_time:stale' WHEN ts > TIMESTAMP '{NOW}' + INTERVAL 15 MINUTES THEN 'freshness_check:observation_time:future' END],
+lambda x: x IS NOT NULL) AS flags FROM events WHERE event_type <> 'error'"""
+q(
+    "field_mapping_actions",
+    lambda s, d: mapping.field_mapping(micros(s, d), FULL, F.lit(NOW).cast("timestamp")).select(
+        F.col("ndp_id").cast("long").alias("user_id"), F.unix_micros("observation_time").alias("us"), "latitude", *[r6(c).alias(c) for c in ("gap", "temperature_c", "feels_like_c", "humidity_pct", "doubled")], "period", "kind", F.array_join("quality", ",").alias("quality")
+    ),
+    f"""SELECT user_id, epoch_us(ts) AS us, '75' AS latitude, round(value - (value - 273.15::DOUBLE) + k * 2 + 5, 8) + 0 AS gap, round(value - 273.15::DOUBLE, 8) + 0 AS temperature_c,
+    CASE WHEN value BETWEEN 10 AND 400 THEN round(value, 8) + 0 END AS feels_like_c, CASE WHEN event_id % 10 > 0 THEN least(greatest(k, 20), 80) END + 0.0::DOUBLE AS humidity_pct, k * 2 + 5 + 0.0::DOUBLE AS doubled, event_id + 1 AS period,
+    CASE WHEN event_type IN ('click', 'view') THEN event_type END AS kind, array_to_string(flags, ',') AS quality FROM ({FULL_SQL})""",
+)
+
+
+def loaded(s, d):
+    """A table with the rows up to a day; two runs of the same load."""
+    config = FULL | {"field_mappings": [*FULL["field_mappings"], {"source_path": "ts", "target_column": "day", "type": "date"}, {"source_path": "event_id", "target_column": "seen", "type": "bigint"}]}
+    rows, now = micros(s, d), F.lit(NOW).cast("timestamp")
+    empty = mapping.field_mapping(rows.where("false"), config, now)
+    old = mapping.load(rows.where("ts < '2024-01-16' AND event_id % 3 > 0"), empty, config, now)
+    new = mapping.load(rows, old, config, now)
+    return mapping.load(rows, new, config, now).select(F.col("ndp_id").cast("long").alias("user_id"), F.col("day").cast("timestamp_ntz").alias("day"), "seen", r6("feels_like_c").alias("feels_like_c"))
+
+
+LOADED = f"SELECT user_id, date_trunc('day', ts) AS day, event_id, ts, CASE WHEN value BETWEEN 10 AND 400 THEN round(value, 8) + 0 END AS feels_like_c FROM ({FULL_SQL})"
+NEWEST = "QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) = 1"
+q(
+    "configured_load",
+    loaded,
+    f"""WITH r AS ({LOADED}), o AS (SELECT * FROM r WHERE ts < '2024-01-16' AND event_id % 3 > 0 {NEWEST}),
+    n AS (SELECT * FROM r WHERE ts > (SELECT max(ts) FROM o) - INTERVAL 1 DAY {NEWEST})
+    SELECT user_id, day, coalesce(n.event_id, o.event_id) AS seen, coalesce(n.feels_like_c, o.feels_like_c) AS feels_like_c FROM o FULL JOIN n USING (user_id, day)""",
+)
 q(
     "identity_fields",
     lambda s, d: payloads(s, d).transform(lambda df: df.select(*mapping.identity_fields(df, [*MAPPING["identity_fields"], {"source": "payload.periods[1].t", "target": "next"}]))),
@@ -295,9 +364,11 @@ SCHEMA = [
 ]
 q(
     "validate_schema_point",
-    lambda s, d: mapping.validate_points(obs(s, d), SCHEMA, "event_type", "value", strict=True).select("event_id", "error"),
+    lambda s, d: mapping.validate_points(obs(s, d).withColumn("value", F.when(F.col("event_id") % 2 == 0, F.floor("value").cast("double")).otherwise(F.col("value"))), SCHEMA, "event_type", "value", strict=True).select("event_id", "error"),
     f"""SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN value IS NULL THEN 'type_mismatch' WHEN value > 50 THEN 'out_of_range' END
-    WHEN 'view' THEN 'type_mismatch' WHEN 'purchase' THEN NULL WHEN 'signup' THEN 'type_mismatch' ELSE 'unknown_field' END AS error FROM {OBS}""",
+    WHEN 'view' THEN CASE WHEN value IS NULL OR value <> floor(value) THEN 'type_mismatch' WHEN value < 10 OR value > 90 THEN 'out_of_range' END
+    WHEN 'purchase' THEN NULL WHEN 'signup' THEN 'type_mismatch' ELSE 'unknown_field' END AS error
+    FROM (SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN floor(value) ELSE value END AS value FROM {OBS})""",
 )
 
 # ---- routes and dead letters
