@@ -118,17 +118,18 @@ def array_parse(text: Column) -> Column:
 
 
 def event_details(kind: Column, transition: Column, crossing: Column, stored: Column) -> Column:
-    """Details of an event as JSON: those of its type, updated by stored ones; other types have the stored ones only.
+    """Details of an event as JSON: those of its type, updated by stored ones; other types have the stored ones only. Numbers,
+    booleans, nulls, lists and objects stay what they are.
 
     ``transition`` and ``crossing`` are structs; ``stored`` is JSON text of an object or null.
     """
 
     def pairs(x: Column) -> Column:
-        return F.from_json(x, "map<string,string>")
+        return F.coalesce(F.try_parse_json(x).try_cast("map<string,variant>"), F.try_parse_json(F.lit("{}")).try_cast("map<string,variant>"))
 
     def merged(own: Column) -> Column:
-        known = F.map_filter(pairs(F.to_json(own, {"ignoreNullFields": "false"})), lambda k, _: ~F.coalesce(F.map_contains_key(pairs(stored), k), F.lit(False)))
-        return F.to_json(F.map_concat(known, F.coalesce(pairs(stored), F.from_json(F.lit("{}"), "map<string,string>"))), {"ignoreNullFields": "false"})
+        known = F.map_filter(pairs(F.to_json(own, {"ignoreNullFields": "false"})), lambda k, _: ~F.map_contains_key(pairs(stored), k))
+        return F.to_json(F.to_variant_object(F.map_concat(known, pairs(stored))))
 
     return F.when(kind == "state_transition", merged(transition)).when(kind == "threshold_crossing", merged(crossing)).otherwise(stored)
 

@@ -6,6 +6,8 @@ A payload that isn't an object, and one without the location it needs, gives no
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +29,6 @@ class Field:
     offset: float = 0.0
 
 
-def _object(payload: Column) -> Column:
-    return F.try_parse_json(payload).try_cast("map<string,variant>")
-
-
 def _kind(x: Column) -> Column:
     return F.schema_of_variant(x)
 
@@ -40,9 +38,27 @@ def at_path(payload: Column, path: str) -> Column:
     return F.get_json_object(payload, f"$.{path}")
 
 
-def location(payload: Column, field: str, default: str | None) -> Column:
-    """The location in the payload where it is text, else the default (or null)."""
-    found = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "variant")
+def _shape(paths: dict[str, str]) -> str:
+    """The struct type that has each dotted path as its type."""
+    below: dict[str, dict[str, str]] = {}
+    for path, kind in paths.items():
+        head, _, rest = path.partition(".")
+        below.setdefault(head, {})[rest] = kind
+    return "struct<" + ",".join(f"`{head}`:{rest[''] if '' in rest else _shape(rest)}" for head, rest in below.items()) + ">"
+
+
+def _at(read: str, path: str) -> Column:
+    return F.col(".".join([read, *[f"`{x}`" for x in path.split(".")]]))
+
+
+def _exploded(df: DataFrame, keep: list[str], points: Column, first: str) -> DataFrame:
+    """A row for each point, of which ``first`` isn't null. The outer form infers no filter below, which would parse payloads twice."""
+    return df.select(*keep, F.inline_outer(points)).where(F.col(first).isNotNull())
+
+
+def location(read: Column, field: str, default: str | None) -> Column:
+    """The location in a parsed object where it is text, else the default (or null)."""
+    found = read[field]
     return F.coalesce(F.when(_kind(found) == "STRING", found.try_cast("string")), F.lit(default))
 
 
@@ -51,16 +67,20 @@ def _point(metric: Column, unit: str | None, value: Column) -> Column:
 
 
 def _points(df: DataFrame, payload: str, keep: list[str], field: str, default: str | None, points: Column) -> DataFrame:
-    placed = df.withColumn("__location", location(F.col(payload), field, default)).where("__location IS NOT NULL")
+    found = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "variant")
+    own = F.coalesce(F.when(_kind(found) == "STRING", found.try_cast("string")), F.lit(default))
+    placed = df.withColumn("__location", own).where("__location IS NOT NULL")
     return placed.select(*keep, F.col("__location").alias("location_id"), F.inline(points))
 
 
 def flat_json(df: DataFrame, payload: str, keep: list[str], location_field: str, default: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """A point for each top-level key whose value is a JSON number; numbers in quotes are text and give none."""
-    entries = F.map_entries(_object(F.col(payload)))
-    numbers = F.filter(entries, lambda e: _kind(e["value"]).rlike(NUMERIC) & ~e["key"].isin(*skip) if skip else _kind(e["value"]).rlike(NUMERIC))
-    points = F.transform(numbers, lambda e: _point(e["key"], None, e["value"].try_cast("double")))
-    return _points(df, payload, keep, location_field, default, points)
+    read = df.select(*keep, F.from_json(payload, "map<string,variant>").alias("__read"))
+    placed = read.withColumn("location_id", location(F.col("__read"), location_field, default))
+    some = F.explode_outer(F.when(F.col("location_id").isNotNull(), F.col("__read"))).alias("metric", "__value")
+    each = placed.select(*keep, "location_id", some).where(_kind(F.col("__value")).rlike(NUMERIC))
+    each = each.where(~F.col("metric").isin(*skip)) if skip else each
+    return each.select(*keep, "location_id", "metric", F.lit(None).cast("string").alias("unit"), F.col("__value").try_cast("double").alias("value"))
 
 
 def json_path(df: DataFrame, payload: str, keep: list[str], fields: list[Field], location_field: str, default: str | None = None) -> DataFrame:
@@ -87,19 +107,20 @@ def column_oriented(df: DataFrame, payload: str, keep: list[str], base: str, fie
     number or a valid time, and metrics that are missing, give no rows. Linear conversions are applied per field.
     """
 
+    read = df.select(*keep, F.from_json(payload, _shape({f"{base}.{f.path}.values": "array<struct<validTime:string,value:double>>" for f in fields})).alias("__read"))
+
     def entries(f: Field) -> Column:
-        items = F.from_json(at_path(F.col(payload), f"{base}.{f.path}.values"), "array<struct<validTime:string,value:double>>")
         rows = F.transform(
-            items,
+            _at("__read", f"{base}.{f.path}.values"),
             lambda x: F.struct(
                 F.lit(f.metric).alias("metric"),
                 F.try_to_timestamp(F.element_at(F.split(x["validTime"], "/"), 1)).alias("valid_time"),
                 unit_linear(x["value"], f.scale, f.offset).alias("value"),
             ),
         )
-        return F.coalesce(F.filter(rows, lambda r: r["value"].isNotNull() & r["valid_time"].isNotNull()), F.array().cast("array<struct<metric:string,valid_time:timestamp,value:double>>"))
+        return F.coalesce(rows, F.array().cast("array<struct<metric:string,valid_time:timestamp,value:double>>"))
 
-    return df.select(*keep, F.inline(F.concat(*[entries(f) for f in fields])))
+    return _exploded(read, keep, F.concat(*[entries(f) for f in fields]), "metric").where("value IS NOT NULL AND valid_time IS NOT NULL")
 
 
 def interval_end(text: Column) -> Column:
@@ -128,30 +149,21 @@ WEATHER = (
 POLLUTANTS = ("co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3")
 
 
-def _all_there(payload: Column, paths: list[str]) -> Column:
-    found = F.lit(True)
-    for p in paths:
-        found = found & at_path(payload, p).try_cast("double").isNotNull()
-    return found
-
-
 def owm_weather(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Points of a weather response; a response without one of the required fields is an error and gives none."""
-    whole = df.where(_all_there(F.col(payload), [p for p, _, _, needed in WEATHER if needed]))
-
-    def point(path: str, metric: str, unit: str) -> Column:
-        value = at_path(F.col(payload), path).try_cast("double")
-        return F.when(value.isNotNull(), _point(F.lit(metric), unit, value))
-
-    return whole.select(*keep, F.inline(F.array_compact(F.array(*[point(p, m, u) for p, m, u, _ in WEATHER]))))
+    read = df.select(*keep, F.from_json(payload, _shape({p: "double" for p, *_ in WEATHER})).alias("__read"))
+    whole = reduce(and_, [_at("__read", p).isNotNull() for p, _, _, needed in WEATHER if needed])
+    points = [F.when(_at("__read", p).isNotNull(), _point(F.lit(m), u, _at("__read", p))) for p, m, u, _ in WEATHER]
+    return _exploded(read, keep, F.when(whole, F.array_compact(F.array(*points))), "metric")
 
 
 def owm_pollution(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Points of the first item of a pollution response; an empty list is an error and gives none."""
-    places = [("list[0].main.aqi", "aqi", "1-5_scale"), *[(f"list[0].components.{c}", c, "ug/m3") for c in POLLUTANTS]]
-    whole = df.where(_all_there(F.col(payload), [p for p, _, _ in places]))
-    points = [_point(F.lit(m), u, at_path(F.col(payload), p).try_cast("double")) for p, m, u in places]
-    return whole.select(*keep, F.inline(F.array(*points)))
+    places = [("main.aqi", "aqi", "1-5_scale"), *[(f"components.{c}", c, "ug/m3") for c in POLLUTANTS]]
+    items = F.from_json(payload, f"struct<list:array<{_shape({p: 'double' for p, *_ in places})}>>")
+    read = df.select(*keep, F.get(items["list"], F.lit(0)).alias("__read"))
+    whole = reduce(and_, [_at("__read", p).isNotNull() for p, *_ in places])
+    return _exploded(read, keep, F.when(whole, F.array(*[_point(F.lit(m), u, _at("__read", p)) for p, m, u in places])), "metric")
 
 
 # The fields of a sensor payload with their types.

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from . import features
+from . import features, parsers
 
 #: name -> (df, config) -> df
 FEATURES: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
@@ -15,12 +14,25 @@ FEATURES: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "rolling": lambda df, c: features.rolling_features(df, c["field"], c["rows"], c["entity"], c["order"], c.get("stats", ("mean", "std", "min", "max"))),
     "trend": lambda df, c: df.withColumn(f"{c['field']}_trend", features.trend_simple(c["field"], c["rows"], c["entity"], c["order"])),
 }
-#: name -> payload -> array of (metric, value)
-PARSERS: dict[str, Callable[[Column], Column]] = {
-    "flat_json": lambda p: F.transform(F.map_entries(F.from_json(p, "map<string,string>")), lambda e: F.struct(e["key"].alias("metric"), e["value"].try_cast("double").alias("value"))),
+#: name -> (df, payload column, columns to keep, config) -> points
+PARSERS: dict[str, Callable[[DataFrame, str, list[str], dict], DataFrame]] = {
+    "flat_json": lambda df, p, keep, c: parsers.flat_json(df, p, keep, c["location_field"], c.get("default"), tuple(c.get("skip", ()))),
+    "json_path": lambda df, p, keep, c: parsers.json_path(df, p, keep, [parsers.Field(**f) for f in c["fields"]], c["location_field"], c.get("default")),
+    "array_iterator": lambda df, p, keep, c: parsers.array_iterator(df, p, keep, c["path"], c["element"]),
+    "column_oriented": lambda df, p, keep, c: parsers.column_oriented(df, p, keep, c["base"], [parsers.Field(**f) for f in c["fields"]]),
+    "owm_weather": lambda df, p, keep, c: parsers.owm_weather(df, p, keep),
+    "owm_pollution": lambda df, p, keep, c: parsers.owm_pollution(df, p, keep),
+    "sensor": lambda df, p, keep, c: parsers.sensor_payload(df, p, keep),
 }
 
 
+def register_parser(name: str, function: Callable[[DataFrame, str, list[str], dict], DataFrame]) -> None:
+    """Make a parser known by name; a name that is taken is an error."""
+    if name in PARSERS:
+        raise ValueError(f"a parser {name!r} is there already")
+    PARSERS[name] = function
+
+
 def add_features(df: DataFrame, configs: list[dict]) -> DataFrame:
     """Apply generators in order; an unknown name is an error."""
     for config in configs:
@@ -30,8 +42,8 @@ def add_features(df: DataFrame, configs: list[dict]) -> DataFrame:
     return df
 
 
-def parse(df: DataFrame, name: str, payload: str, keep: list[str]) -> DataFrame:
+def parse(df: DataFrame, name: str, payload: str, keep: list[str], config: dict | None = None) -> DataFrame:
     """Points of a payload by a named parser; an unknown name is an error."""
     if name not in PARSERS:
         raise ValueError(f"no parser {name!r}")
-    return df.select(*keep, F.inline(PARSERS[name](F.col(payload))))
+    return PARSERS[name](df, payload, keep, config or {})

@@ -6,6 +6,7 @@ from ..operators import dq, events as ev, registry
 from ..streaming import rollups as st
 from .base import OBS, events, obs, q, r6
 from .catalog import table
+from .q_rules import payloads
 from .q_windows import ALIGNED, CROSS, OBJ_SCHEMA, OBJECTIVES, ORDER, TRANS, aligned, crossings, long_metrics, packed, states
 
 
@@ -37,7 +38,19 @@ q(
 q("feature_registry", lambda s, d: registry.add_features(events(s, d), [{"name": "lag", "field": "value", "lags": [2], "entity": "user_id", "order": ORDER}, {"name": "trend", "field": "value", "rows": 4, "entity": "user_id", "order": ORDER}])
   .select("event_id", "value_lag_2h", r6("value_trend").alias("value_trend")),
   "SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_lag_2h, round((last_value(value) OVER w - first_value(value) OVER w) / 4, 8) + 0 AS value_trend FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
-q("custom_parser", lambda s, d: registry.parse(events(s, d), "flat_json", "props", ["event_id"]), "SELECT event_id, 'k' AS metric, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")
+
+
+def parsed(s, d):
+    """Two parsers by name over the same payloads: numbers at the top, and a column-oriented one."""
+    rows = payloads(s, d)
+    flat = registry.parse(rows, "flat_json", "payload", ["event_id"], {"location_field": "serialno", "skip": ["bootCount"]})
+    fields = [{"path": "windSpeed", "metric": "wind", "scale": 2.0}]
+    columns = registry.parse(rows, "column_oriented", "payload", ["event_id"], {"base": "properties", "fields": fields})
+    return flat.select("event_id", "metric", r6("value").alias("value")).unionByName(columns.select("event_id", "metric", r6("value").alias("value")))
+
+
+q("custom_parser", parsed, """SELECT event_id, 'pm02' AS metric, round(value, 8) + 0 AS value FROM events WHERE event_id % 9 > 0 AND event_id % 8 > 0
+UNION ALL SELECT event_id, 'wind', 2 * CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events""")
 q("recent_signals", lambda s, d: events(s, d).join(F.broadcast(events(s, d).agg(F.max("ts").alias("as_of"))), F.expr("ts >= as_of - INTERVAL 24 HOURS")).join(table(s, d, "customer"), F.col("user_id") == F.col("c_custkey"), "left").select("event_id", "c_name", "c_mktsegment"),
   "SELECT event_id, c_name, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 q("rate_of_change_dq", lambda s, d: obs(s, d).withColumn("flag", dq.rate_of_change("value", "ts", 0.5, "user_id", "event_id")).groupBy("user_id").agg(F.count("flag").alias("n")),

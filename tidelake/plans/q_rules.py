@@ -96,20 +96,23 @@ def details(s, d):
         F.lit("value").alias("metric"), F.lit(30).alias("threshold"), F.lit("rising").alias("direction"), F.col("event_id").alias("value"),
         F.lit(None).cast("long").alias("previous_value"), F.lit("o1").alias("objective_id"),
     )
-    stored = F.when(F.col("event_id") % 2 == 0, F.lit('{"to_state":"stored","metric":"kept"}'))
+    stored = F.when(F.col("event_id") % 2 == 0, F.lit('{"to_state":"stored","metric":"kept","more":{"x":[1,2]},"ok":true}'))
     return events(s, d).select("event_id", sc.event_details(kind, moved, crossed, stored).alias("details"))
 
 
 def told(s, d):
     found = details(s, d)
     names = ("from_state", "to_state", "metric", "value", "previous_value", "objective_id")
-    return found.select("event_id", *[F.get_json_object("details", f"$.{c}").alias(c) for c in names], F.size(F.json_object_keys("details")).cast("long").alias("n_keys"))
+    return found.select("event_id", *[F.get_json_object("details", f"$.{c}").alias(c) for c in names], F.size(F.json_object_keys("details")).cast("long").alias("n_keys"), F.schema_of_variant(F.try_parse_json("details")).alias("types"))
 
 
 q("event_details_json", told, """SELECT event_id, CASE WHEN kind = 0 THEN 'on' END AS from_state, CASE WHEN even THEN 'stored' WHEN kind = 0 THEN event_type END AS to_state,
 CASE WHEN even THEN 'kept' WHEN kind = 1 THEN 'value' END AS metric, CASE WHEN kind = 1 THEN event_id::VARCHAR END AS value, NULL::VARCHAR AS previous_value,
-CASE WHEN kind = 1 THEN 'o1' END AS objective_id, CASE WHEN kind = 0 THEN CASE WHEN even THEN 4 ELSE 3 END WHEN kind = 1 THEN CASE WHEN even THEN 7 ELSE 6 END
-WHEN even THEN 2 END AS n_keys FROM (SELECT event_id, event_type, event_id % 3 AS kind, event_id % 2 = 0 AS even FROM events)""")
+CASE WHEN kind = 1 THEN 'o1' END AS objective_id, CASE WHEN kind = 0 THEN CASE WHEN even THEN 6 ELSE 3 END WHEN kind = 1 THEN CASE WHEN even THEN 9 ELSE 6 END
+WHEN even THEN 4 END AS n_keys, CASE WHEN kind < 2 OR even THEN 'OBJECT<' || array_to_string(list_sort(list_concat(
+CASE WHEN even THEN ['metric: STRING', 'more: OBJECT<x: ARRAY<BIGINT>>', 'ok: BOOLEAN', 'to_state: STRING'] ELSE [] END,
+CASE kind WHEN 0 THEN ['duration_in_previous_ms: BIGINT', 'from_state: STRING'] WHEN 1 THEN ['direction: STRING', 'objective_id: STRING', 'previous_value: VOID', 'threshold: BIGINT', 'value: BIGINT'] ELSE [] END,
+CASE WHEN even THEN [] WHEN kind = 0 THEN ['to_state: STRING'] WHEN kind = 1 THEN ['metric: STRING'] ELSE [] END)), ', ') || '>' END AS types FROM (SELECT event_id, event_type, event_id % 3 AS kind, event_id % 2 = 0 AS even FROM events)""")
 
 
 def sql_functions(s, d):
