@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import dq, events as ev, registry
-from ..streaming import rollups as st
 from .base import OBS, events, obs, q, r6
 from .catalog import table
 from .q_rules import payloads
@@ -55,4 +54,3 @@ q("recent_signals", lambda s, d: events(s, d).join(F.broadcast(events(s, d).agg(
   "SELECT event_id, c_name, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 q("rate_of_change_dq", lambda s, d: obs(s, d).withColumn("flag", dq.rate_of_change("value", "ts", 0.5, "user_id", "event_id")).groupBy("user_id").agg(F.count("flag").alias("n")),
   f"SELECT user_id, count(*) FILTER (WHERE rate > 0.5) AS n FROM (SELECT user_id, abs(value - lag(value) OVER w) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6, 0) AS rate FROM {OBS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY 1")
-q("catch_up_replay", lambda s, d: st.drain(st.events_stream(s, f"{d}/events.parquet").where("ts >= '2024-01-20'").select("event_id", "user_id"), "replay"), "SELECT event_id, user_id FROM events WHERE ts >= '2024-01-20'")

@@ -86,3 +86,38 @@ def changed_rows(stream: DataFrame, label: str, merge) -> str:
     run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", new_path(stream.sparkSession, label)).trigger(availableNow=True).start()
     run.awaitTermination()
     return label
+
+
+def sketched(stream: DataFrame, granularity: str, late: str, keys: list[str], time: str = "ts", value: str = "value", k: int = 200) -> DataFrame:
+    """Buckets with count, sum, smallest and largest value, and a quantile sketch (KLL of size ``k``) that can be merged over buckets.
+    In update mode a late row within ``late`` gives its bucket again."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    x = F.col(value).cast("double")
+    found = timed.groupBy(F.window(time, granularity), *keys).agg(
+        F.count("*").alias("n"), F.sum(x).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch")
+    )
+    return found.select(F.col("window.start").alias("bucket"), *keys, "n", "total", "low", "high", "sketch")
+
+
+def merged(rollup: DataFrame, granularity: str, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Coarser buckets of a sketched rollup, from its rows alone, with quantiles by name. The rank of a quantile is off by at most
+    about 1.7 % of the rows with sketches of size 200, whatever the number of buckets merged."""
+    found = rollup.groupBy(F.window("bucket", granularity).start.alias("bucket"), *keys).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    return found.select("*", *[F.kll_sketch_get_quantile_double("sketch", F.lit(rank)).alias(name) for name, rank in quantiles.items()])
+
+
+def drain_updates(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], keys: list[str], label: str) -> DataFrame:
+    """The newest row of each key of a stream in update mode whose input comes in turns. Each micro-batch overwrites a folder of its own
+    number, so one that is run again after a failure changes nothing."""
+    spark = parts[0].sparkSession
+    source, out, state = (new_path(spark, f"{label}-{x}") for x in ("source", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(parts[0].schema).parquet(source))
+        put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    newest = spark.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*keys, "row.*")
