@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import window_recommendation
+from .ordering import in_ranges, last_known
 
 
 def align(streams: list[DataFrame], how: str = "full_outer", bucket: str = "bucket") -> DataFrame:
@@ -16,13 +17,26 @@ def align(streams: list[DataFrame], how: str = "full_outer", bucket: str = "buck
     return reduce(lambda a, b: a.join(b, bucket, how), streams)
 
 
-def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: list[str], columns: list[str], tie: str) -> DataFrame:
-    """Each left row with the columns of the newest right row at or before it; one shuffle, one pass, all left rows stay."""
-    own = left.select("*", F.struct(*left.columns).alias("__l")).select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), "__l", F.lit(None).alias("__r"), F.lit(None).cast("long").alias("__tie"))
+def _both(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: list[str], columns: list[str], tie: str) -> DataFrame:
+    """Rows of both sides under one time: at equal times those of the right side come first."""
+    own = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"))
     other = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*columns).alias("__r"), F.col(tie).cast("long").alias("__tie"))
-    both = own.drop("__r").unionByName(other, allowMissingColumns=True)
+    return own.unionByName(other, allowMissingColumns=True)
+
+
+def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: list[str], columns: list[str], tie: str) -> DataFrame:
+    """Each left row with the columns of the newest right row at or before it; one shuffle, one pass, all left rows stay. A task takes
+    all rows of a key; ``asof_spread`` is for keys too large for that."""
     w = W.partitionBy(*keys).orderBy("__t", "__side", "__tie").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    found = _both(left, right, left_time, right_time, keys, columns, tie).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    return found.select("__l.*", *[F.col(f"__last.{c}").alias(c) for c in columns])
+
+
+def asof_spread(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: list[str], columns: list[str], tie: str) -> DataFrame:
+    """The same by ranges of key and time, so that one large key is spread over tasks; the newest right row of the ranges before is
+    carried into each range."""
+    rows = in_ranges(_both(left, right, left_time, right_time, keys, columns, tie), keys, ["__t", "__side", "__tie"], "asof")
+    found = last_known(rows, keys, "__part", "__own", "__r", "__last").where("__side = 1")
     return found.select("__l.*", *[F.col(f"__last.{c}").alias(c) for c in columns])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stash
+from .ordering import last_known, numbered, with_rows_before
 
 
 def _by(entity: str | None, order: str | list[str]):
@@ -99,14 +100,16 @@ def hour_dow_weekend(ts: str) -> tuple[Column, Column, Column]:
 def ewma(df: DataFrame, entity: str, order: list[str], field: str, alpha: float = 0.01, chunk: int = 4096) -> DataFrame:
     """Exponentially weighted mean and variance including each row, as a scan of affine maps.
 
-    Rows are cut into chunks of each entity; a chunk's effect on (mean) and (variance) is an affine map, so chunks
+    Rows are numbered by ranges (or have their number ``__n`` already) and cut into chunks of each entity, so no task takes a whole
+    entity; a chunk's effect on (mean) and (variance) is an affine map, so chunks
     are summarised in parallel, chained over their few summaries, and replayed from the state they start with.
     Non-finite and null values leave the state as it is.
     """
     import numpy as np
     import pandas as pd
 
-    numbered = df.withColumn("__n", F.row_number().over(_by(entity, order)) - 1).withColumn("__c", F.floor(F.col("__n") / chunk))
+    placed = df if "__n" in df.columns else numbered(df, [entity], order)
+    placed = placed.withColumn("__c", F.floor(F.col("__n") / chunk))
     kind = df.schema[entity].dataType.simpleString()
 
     def steps(values: np.ndarray, mean: float | None, var: float) -> tuple[list, list]:
@@ -136,7 +139,7 @@ def ewma(df: DataFrame, entity: str, order: list[str], field: str, alpha: float
         rest = steps(finite, None, 0.0) if len(finite) else ([np.nan], [0.0])
         return pd.DataFrame({entity: rows[entity][:1], "__c": rows["__c"][:1], "a": a, "b": b, "v": v, "p": p, "q": q, "r": r, "first": first, "m0": rest[0][-1], "v0": rest[1][-1]})
 
-    maps = numbered.select(entity, "__c", "__n", field).groupBy(entity, "__c").applyInPandas(summary, f"{entity} {kind}, __c long, a double, b double, v double, p double, q double, r double, first double, m0 double, v0 double")
+    maps = placed.select(entity, "__c", "__n", field).groupBy(entity, "__c").applyInPandas(summary, f"{entity} {kind}, __c long, a double, b double, v double, p double, q double, r double, first double, m0 double, v0 double")
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         mean, var, out = None, 0.0, []
@@ -161,7 +164,7 @@ def ewma(df: DataFrame, entity: str, order: list[str], field: str, alpha: float
         return rows[columns].assign(ewma_mean=means, ewma_var=variances)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ewma_mean double, ewma_var double"
-    return numbered.join(starts, [entity, "__c"]).groupBy(entity, "__c").applyInPandas(replay, schema)
+    return placed.join(starts, [entity, "__c"]).groupBy(entity, "__c").applyInPandas(replay, schema)
 
 
 # Observations before a vector is given, and the smallest deviation that a value is divided by.
@@ -175,38 +178,41 @@ def embed_metrics(df: DataFrame, entity: str, order: list[str], time: str, field
     fields: (column, null strategy). A missing value becomes 0 (``zero``, ``mean``) or the z-score of the last value
     (``last_known``; 0 without one).
     """
-    found, scores = df, []
+    found, scores = stash(numbered(df, [entity], order), "numbered"), []
     for field, strategy in fields:
-        found = ewma(found, entity, order, field, alpha, chunk).withColumnsRenamed({"ewma_mean": f"__m_{field}", "ewma_var": f"__v_{field}"})
-        used = F.col(field)
         if strategy == "last_known":
-            used = F.last(field, ignorenulls=True).over(_by(entity, order).rowsBetween(W.unboundedPreceding, 0))
+            found = last_known(found.withColumn("__chunk", F.floor(F.col("__n") / chunk)), [entity], "__chunk", "__n", field, f"__k_{field}").drop("__chunk")
+    for field, strategy in fields:
+        found = ewma(found, entity, order, field, alpha, chunk).withColumnsRenamed({"ewma_mean": f"__m_{field}", "ewma_var": f"__v_{field}"})
+        used = F.col(f"__k_{field}" if strategy == "last_known" else field)
         deviation = F.sqrt(f"__v_{field}")
         scores.append(F.when(used.isNull() | (deviation < FLAT), 0.0).otherwise((used - F.col(f"__m_{field}")) / deviation))
     angle = F.hour(time) * (2 * math.pi / 24)
     vector = F.array(F.sin(angle), F.cos(angle), F.weekday(time).isin(5, 6).cast("double"), *scores)
-    seen = F.row_number().over(_by(entity, order))
-    told = found.withColumn("embedding", vector).withColumn("__seen", seen)
-    return told.where(F.col("__seen") >= WARM_UP).select(*df.columns, "embedding")
+    return found.withColumn("embedding", vector).where(F.col("__n") + 1 >= WARM_UP).select(*df.columns, "embedding")
 
 
 # The columns of the feature matrix in their order, the lags and the window in rows.
 MATRIX = ("hour", "day_of_week", "is_weekend", "value", "co2", "voc_index", "temperature", "humidity", "lag_1h", "lag_3h", "lag_24h", "rolling_mean_1h", "rolling_std_1h")
+MATRIX_CHUNK = 16_384  # rows of an entity that a task takes
 MATRIX_LAGS, MATRIX_ROWS = {"lag_1h": 60, "lag_3h": 180, "lag_24h": 1440}, 60
 
 
 def feature_matrix(df: DataFrame, entity: str, order: list[str], time: str, value: str, others: dict[str, str] | None = None) -> DataFrame:
     """``MATRIX`` of each row, each column scaled by its mean and population deviation over the entity (0 where it
     doesn't vary). Lags before the first row are 0; rolling statistics are NaN until the window is full, and NaN stays out of the
-    scaling. Columns that ``others`` doesn't name are 0."""
-    w = _by(entity, order)
-    mean, deviation = rolling_full_window(value, MATRIX_ROWS, entity, order)
+    scaling. Columns that ``others`` doesn't name are 0. Windows run over chunks of an entity with the rows before them."""
+    rows = with_rows_before(numbered(df, [entity], order), "__n", MATRIX_CHUNK, max(MATRIX_LAGS.values()))
+    w = W.partitionBy(entity, "__chunk").orderBy("__n")
+    full = w.rowsBetween(1 - MATRIX_ROWS, 0)
+    whole = F.count("*").over(full) == MATRIX_ROWS
+    mean, deviation = (F.when(whole, f(F.col(value)).over(full)).otherwise(F.lit(float("nan"))) for f in (F.avg, F.stddev_pop))
     hour, day, weekend = hour_dow_weekend(time)
     raw = {"hour": hour, "day_of_week": day, "is_weekend": weekend.cast("int"), "value": F.col(value), "rolling_mean_1h": mean, "rolling_std_1h": deviation}
     raw |= {name: F.lag(value, n, 0.0).over(w) for name, n in MATRIX_LAGS.items()}
     raw |= {name: F.coalesce(F.col((others or {}).get(name)), F.lit(0.0)) if name in (others or {}) else F.lit(0.0) for name in ("co2", "voc_index", "temperature", "humidity")}
     keep = [c for c in df.columns if c not in MATRIX]
-    wide = df.select(*keep, *[raw[c].cast("double").alias(c) for c in MATRIX])
+    wide = rows.select(*keep, "__ahead", *[raw[c].cast("double").alias(c) for c in MATRIX]).where(~F.col("__ahead")).drop("__ahead")
     known = {c: F.when(~F.isnan(c), F.col(c)) for c in MATRIX}
     stats = wide.groupBy(entity).agg(*[f(known[c]).alias(f"__{n}_{c}") for c in MATRIX for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     scaled = [F.when(F.isnan(c), F.col(c)).when(F.col(f"__s_{c}") == 0, 0.0).otherwise((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).alias(c) for c in MATRIX]
@@ -215,5 +221,5 @@ def feature_matrix(df: DataFrame, entity: str, order: list[str], time: str, valu
 
 def slope_over_index(df: DataFrame, entity: str, order: list[str], field: str) -> DataFrame:
     """``slope`` of a least-squares line through the values of each entity over their place (0, 1, ...)."""
-    placed = df.withColumn("__x", F.row_number().over(_by(entity, order)) - 1)
+    placed = numbered(df, [entity], order, "__x")
     return placed.groupBy(entity).agg(F.regr_slope(field, "__x").alias("slope"))

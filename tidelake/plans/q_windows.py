@@ -217,15 +217,19 @@ q("align_left", lambda s, d: align.align(list(streams(s, d)[1:3]), "left"), STRE
 q("align_inner", lambda s, d: align.align(list(streams(s, d)[1:3]), "inner"), STREAMS + "SELECT * FROM o JOIN l USING (bucket)")
 
 
-def forecast_asof(s, d):
+def forecast_asof(s, d, join=align.asof):
     e = events(s, d)
     left = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("issued_at"), F.col("event_id").alias("click_id"), "value")
-    return align.asof(left, right, "ts", "issued_at", ["user_id"], ["issued_at", "click_id", "value"], "click_id")
+    return join(left, right, "ts", "issued_at", ["user_id"], ["issued_at", "click_id", "value"], "click_id")
+
+
+ASOF = """SELECT v.event_id, v.user_id, v.ts, c.ts AS issued_at, c.event_id AS click_id, c.value FROM (SELECT * FROM events WHERE event_type = 'view') v
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts"""
+q("forecast_asof", forecast_asof, ASOF)
+q("forecast_asof_spread", lambda s, d: forecast_asof(s, d, align.asof_spread), ASOF)
 
 
-q("forecast_asof", forecast_asof, """SELECT v.event_id, v.user_id, v.ts, c.ts AS issued_at, c.event_id AS click_id, c.value FROM (SELECT * FROM events WHERE event_type = 'view') v
-ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts""")
 def near_pairs(s, d):
     """Views with the clicks within five minutes; views without a value stay, each once."""
     views = obs(s, d).where("event_type = 'view'").select("event_id", "ts", "value")
