@@ -55,3 +55,15 @@ def corrected_stats(df: DataFrame, time: str, granularity: str, keys: list[str],
     value = F.coalesce(corrected, raw)
     stats = [F.avg(value).alias("mean"), F.max(value).alias("high"), F.min(value).alias("low")]
     return df.groupBy(F.window(time, granularity).start.alias("bucket"), *keys).agg(*stats)
+
+
+def aggregate(
+    df: DataFrame, entity: str, ids: list | None, start: str | None, end: str | None, grain: str, metrics: dict[str, tuple[str, str]], time: str = "ts", tie: str = "event_id"
+) -> DataFrame:
+    """``bucket``, the entity and one column a metric (name: field and statistic) for some entities (None: all) within [start, end)
+    (None: open), at any grain."""
+    rows = df if ids is None else df.where(F.col(entity).isin(*ids))
+    rows = rows if start is None else rows.where(F.col(time) >= start)
+    rows = rows if end is None else rows.where(F.col(time) < end)
+    told = [metric(statistic, field, time, tie).alias(name) for name, (field, statistic) in metrics.items()]
+    return rows.groupBy(F.window(time, grain).start.alias("bucket"), entity).agg(*told)

@@ -5,11 +5,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import runs
+from ..operators import bars, profiles, runs
 from ..session import new_path
-from ..sources import lake
+from ..sources import lake, tables as tb
 from ..streaming import rollups as st
 from .base import OBS, events, obs, q, r6
+from .catalog import table
 from .q_alerts import LATE
 from .q_sources import bronze
 
@@ -106,3 +107,93 @@ q("sink_upsert_dates", merged_dates, """WITH r AS (SELECT user_id, date_trunc('d
 QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_id DESC) = 1), n AS (SELECT * FROM r WHERE event_id % 2 = 1 AND day >= '2024-01-20'
 QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_id DESC) = 1)
 SELECT user_id, day, coalesce(n.event_id, o.event_id) AS event_id, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (user_id, day)""")
+
+
+# ---- bars of rows that are bars already, by symbol and venue
+def ticks(s, d):
+    k = F.get_json_object("props", "$.k").cast("double")
+    return events(s, d).select("event_id", F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("symbol"), (F.col("user_id") % 3).alias("exchange"), F.col("value").alias("open"), (F.col("value") + k).alias("high"), (F.col("value") - 1).alias("low"), k.alias("close"), F.col("event_id").alias("volume"), (F.col("event_id") % 7).alias("trades_count"), (F.col("value") / 100).alias("spread_pct"))
+
+
+for name, grain, volatile in (("ohlcv_1min", "1 minute", False), ("ohlcv_5min", "5 minutes", False), ("ohlcv_1hour_volatility", "1 hour", True)):
+    extra = ["price_volatility"] * volatile
+    q(
+        name,
+        lambda s, d, grain=grain, extra=extra: bars.ohlcv(ticks(s, d), grain, ["symbol", "exchange"], "time", "event_id", bool(extra)).select(
+            F.col("bucket").cast("timestamp_ntz").alias("bucket"), "symbol", "exchange", "open", "high", "low", "close", "volume", "trades_count", *[r6(c).alias(c) for c in ("avg_spread_pct", *extra)]
+        ),
+        f"""SELECT time_bucket(INTERVAL {grain}, ts) AS bucket, event_type AS symbol, user_id % 3 AS exchange, arg_min(value, (ts, event_id)) AS open, max(value + k) AS high, min(value - 1) AS low, arg_max(k, (ts, event_id)) AS close,
+        sum(event_id)::BIGINT AS volume, sum(event_id % 7)::BIGINT AS trades_count, round(avg(value / 100), 8) + 0 AS avg_spread_pct{", round(stddev_samp(k), 8) + 0 AS price_volatility" if extra else ""}
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1, 2, 3""",
+    )
+
+
+def scaled(s, d):
+    """Both scalings by type and back; the values of one type are constant."""
+    e = obs(s, d).withColumn("value", F.when(F.col("event_type") == "error", 7.5).otherwise(F.col("value")))
+    both = e.join(bars.fit_scaler(e, "value", ["event_type"]), "event_type")
+    x, mean, std, low, high = (F.col(c) for c in ("value", "mean", "std", "low", "high"))
+    z, m = bars.standard(x, mean, std), bars.minmax(x, low, high)
+    return both.select("event_id", r6(z).alias("z"), r6(m).alias("m"), F.round(bars.from_standard(z, mean, std), 6).alias("from_z"), F.round(bars.from_minmax(m, low, high), 6).alias("from_m"))
+
+
+q("scaler_round_trip", scaled, f"""WITH e AS (SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 7.5::DOUBLE ELSE value END AS value FROM {OBS})
+SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 8) + 0 END AS z, CASE WHEN event_type = 'error' THEN 0 ELSE round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 8) + 0 END AS m,
+round(value, 6) AS from_z, round(value, 6) AS from_m FROM e WINDOW w AS (PARTITION BY event_type)""")
+
+q(
+    "sliding_window_stream",
+    lambda s, d: st.drain(st.sliding(st.events_stream(s, f"{d}/events.parquet"), "2 hours", "1 hour", "4 hours", ["event_type"]), "sliding").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", r6("total").alias("total")),
+    """SELECT date_trunc('hour', ts) - to_hours(k::INT) AS bucket, event_type, count(*) AS n, round(sum(value), 8) + 0 AS total FROM events, (SELECT unnest([0, 1]) AS k)
+    WHERE date_trunc('hour', ts) - to_hours(k::INT) + INTERVAL 2 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 4 HOURS GROUP BY 1, 2""",
+)
+
+
+# ---- profiles of nested payloads
+def nested(s, d):
+    n = F.col("event_id")
+    body = F.struct(
+        F.when(n % 4 > 0, n).alias("a"),
+        F.struct(F.when(n % 3 > 0, F.col("value")).otherwise(F.lit(None)).alias("x"), F.struct(F.lit("t").alias("z")).alias("y")).alias("o"),
+        F.when(n % 2 == 0, F.array(F.struct(n.alias("q")), F.struct(F.lit(None).cast("long").alias("q")))).alias("l"),
+    )
+    text = F.when(n % 10 == 0, F.lit("[1]")).when(n % 10 == 5, F.lit('{"a":"text","only":true}')).otherwise(F.to_json(body, {"ignoreNullFields": "false"}))
+    return events(s, d).select(text.alias("payload"))
+
+
+PROFILE = """SELECT path, count(*) AS n, count(*) FILTER (WHERE t = 'null') AS n_null, array_to_string(list_sort(list(DISTINCT t)), ',') AS types FROM (
+SELECT unnest(CASE WHEN event_id % 10 = 5 THEN ['a', 'only'] ELSE ['a', 'o', 'o.x', 'o.y', 'o.y.z', 'l'] || CASE WHEN event_id % 2 = 0 THEN ['l[]', 'l[]', 'l[].q', 'l[].q'] ELSE [] END END) AS path,
+unnest(CASE WHEN event_id % 10 = 5 THEN ['string', 'boolean'] ELSE [CASE WHEN event_id % 4 > 0 THEN 'integer' ELSE 'null' END, 'object', CASE WHEN event_id % 3 = 0 OR value IS NULL THEN 'null' ELSE 'number' END, 'object', 'string',
+CASE WHEN event_id % 2 = 0 THEN 'array' ELSE 'null' END] || CASE WHEN event_id % 2 = 0 THEN ['object', 'object', 'integer', 'null'] ELSE [] END END) AS t FROM events WHERE event_id % 10 > 0) GROUP BY 1"""
+q(
+    "payload_profile_nested",
+    lambda s, d: profiles.payload_profile(nested(s, d), "payload").select("path", "n", "n_null", r6("null_share").alias("null_share"), F.array_join("types", ",").alias("types")),
+    f"SELECT path, n, n_null, round(n_null / n, 8) + 0 AS null_share, types FROM ({PROFILE})",
+)
+q(
+    "gap_status",
+    lambda s, d: profiles.gap_report(profiles.payload_profile(nested(s, d), "payload"), ["a", "o.x", "o.y.z", "l[0].q", "gone.deep"]),
+    f"""SELECT coalesce(p.field, m.field) AS field, CASE WHEN m.field IS NULL THEN 'extra' WHEN p.field IS NULL THEN 'missing' ELSE 'matching' END AS status, 'partial' AS overall
+    FROM (SELECT DISTINCT regexp_extract(path, '^[^.\\[]+') AS field FROM ({PROFILE})) p FULL JOIN (SELECT unnest(['a', 'o', 'l', 'gone']) AS field) m ON p.field = m.field""",
+)
+q("latest_timestamp_newest", lambda s, d: tb.latest_timestamp(s, bronze(s, d)), "SELECT max(ts) AS ts FROM events")
+
+
+def dimension_file(s, d):
+    """A file in which some rows have too few or too many fields."""
+    path, n = new_path(s, "dimension"), F.col("c_custkey")
+    short, long = F.concat_ws(";", n, F.lit("x")), F.concat_ws(";", n, F.lit("x"), F.lit("yes"), F.lit("more"))
+    fit = F.concat_ws(";", n, "c_mktsegment", F.when(n % 2 == 0, "Yes").otherwise("f"))
+    line = F.when(n % 5 == 0, short).when(n % 7 == 0, long).otherwise(fit)
+    # each file of a folder begins with the header
+    lines = table(s, d, "customer").select(line.alias("line"), n.alias("n"), F.spark_partition_id().alias("p"))
+    heads = lines.select("p").distinct().select(F.lit("key;segment;even").alias("line"), F.lit(-1).cast("long").alias("n"), "p")
+    lines.unionByName(heads).repartition(F.col("p")).sortWithinPartitions("p", "n").select("line", "p").write.partitionBy("p").text(path)
+    return f"{path}/*"
+
+
+q(
+    "dimension_widths",
+    lambda s, d: tb.read_dimension(s, dimension_file(s, d), {"key": "bigint", "segment": "string", "even": "boolean"}, ";", "skip"),
+    "SELECT c_custkey AS key, c_mktsegment AS segment, c_custkey % 2 = 0 AS even FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 7 > 0",
+)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.rollup import bucket_collapse, corrected_stats, metric, rollup
+from ..operators.rollup import aggregate, bucket_collapse, corrected_stats, metric, rollup
 from .base import HOURLY, OBS, events, hourly, obs, q, r6
 from .catalog import table
 
@@ -84,10 +84,11 @@ def cascade(s, d):
 
 
 q("ohlcv_cascade", cascade, f"SELECT bucket, symbol, open, high, low, close, round(volume, 3) AS volume FROM ({BARS.format(unit='month')})")
-q("api_aggregate", lambda s, d: events(s, d).where("user_id <= 50 AND ts >= '2024-01-05' AND ts < '2024-01-12'").groupBy(F.window("ts", "5 minutes").start.alias("bucket"), "user_id").agg(
-    *[r6(metric(m, "value", "ts", "event_id")).alias(m) for m in ("mean", "min", "max", "p50", "p95")]),
+q("api_aggregate", lambda s, d: aggregate(events(s, d), "user_id", None, "2024-01-05", "2024-01-12", "5 minutes", {m: ("value", m) for m in ("mean", "min", "max", "p50", "p95")}).select("bucket", "user_id", *[r6(m).alias(m) for m in ("mean", "min", "max", "p50", "p95")]),
   "SELECT time_bucket(INTERVAL 5 minutes, ts) AS bucket, user_id, round(avg(value), 8) + 0 AS mean, round(min(value), 8) + 0 AS min, round(max(value), 8) + 0 AS max, round(quantile_cont(value, 0.5), 8) + 0 AS p50, "
-  "round(quantile_cont(value, 0.95), 8) + 0 AS p95 FROM events WHERE user_id <= 50 AND ts >= '2024-01-05' AND ts < '2024-01-12' GROUP BY 1, 2")
+  "round(quantile_cont(value, 0.95), 8) + 0 AS p95 FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-12' GROUP BY 1, 2")
+q("api_aggregate_entities", lambda s, d: aggregate(obs(s, d), "event_type", ["view", "click"], None, None, "1 day", {"n": ("value", "count"), "newest": ("value", "last")}).select("bucket", "event_type", "n", r6("newest").alias("newest")),
+  f"SELECT date_trunc('day', ts) AS bucket, event_type, count(value) AS n, round(arg_max_null(value, (ts, event_id)), 8) + 0 AS newest FROM {OBS} WHERE event_type IN ('view', 'click') GROUP BY 1, 2")
 q("position_summary", lambda s, d: table(s, d, "lineitem").groupBy("l_partkey").agg(r6(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")))).alias("returned"), r6(F.avg("l_extendedprice")).alias("mean_price")),
   "SELECT l_partkey, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END)::DOUBLE, 8) + 0 AS returned, round(avg(l_extendedprice), 8) + 0 AS mean_price FROM lineitem GROUP BY 1")
 AS_OF = "(SELECT max(ts) FROM events)"

@@ -23,15 +23,30 @@ def scan_range(spark: SparkSession, path: str, start: str, end: str, time: str =
     return spark.read.parquet(path).where(number.between(low, high) & F.col(time).between(start, end))
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a partitioned store with the values of their partitions and their ``length``, from the listing alone: without
+    its content, no file is opened."""
+    return spark.read.format("binaryFile").load(path).drop("content", "modificationTime")
+
+
 def latest_partition(spark: SparkSession, path: str) -> DataFrame:
-    """The newest date, from partition values alone."""
-    return spark.read.parquet(path).agg(F.max(F.struct("year", "month", "day")).alias("p")).select("p.*")
+    """The newest date, from the names of the partitions alone."""
+    return listing(spark, path).agg(F.max(F.struct("year", "month", "day")).alias("p")).select("p.*")
+
+
+def latest_timestamp(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
+    """The newest time; only the newest partition's times are read."""
+    newest = latest_partition(spark, path).first()
+    rows = spark.read.parquet(path).where(f"year = {newest['year']} AND month = {newest['month']} AND day = {newest['day']}")
+    return rows.agg(F.max(time).alias(time))
 
 
 def storage_stats(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.parquet(path).select("*", "_metadata.file_path", "_metadata.file_size")
-    each = files.groupBy("year", "month", "day", "file_path").agg(F.count("*").alias("rows"), F.first("file_size").alias("bytes"))
-    return each.groupBy("year", "month", "day").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    """Rows, files and bytes of each date: sizes from the listing, row counts from the files' footers (no column is read)."""
+    dates = ["year", "month", "day"]
+    sizes = listing(spark, path).groupBy(*dates).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    rows = spark.read.parquet(path).groupBy(*dates).agg(F.count("*").alias("rows"))
+    return rows.join(sizes, dates).select(*dates, "rows", "files", "bytes")
 
 
 def sample_newest(spark: SparkSession, path: str, n: int = 10, time: str = "ts", tie: str = "event_id", most: int = 100) -> DataFrame:
@@ -46,9 +61,9 @@ def retained(df: DataFrame, as_of: str, days: int, time: str = "ts") -> DataFram
 
 
 def drop_expired(spark: SparkSession, path: str, as_of: str, days: int) -> list[str]:
-    """Delete the date partitions that end before ``as_of`` less so many days; their names. No row is read."""
+    """Delete the date partitions that end before ``as_of`` less so many days; their names. No file is opened."""
     oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    parts = spark.read.parquet(path).select("year", "month", "day").distinct()
+    parts = listing(spark, path).select("year", "month", "day").distinct()
     past = parts.where(F.make_date("year", "month", "day") < F.to_date(oldest)).collect()  # a row per expired day
     jvm = spark.sparkContext._jvm
     dropped = []
@@ -73,16 +88,22 @@ def extract_keys(df: DataFrame, path: str, key: str, keys: list[str], order: str
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> dict[str, int]:
     """Replace a whole table: the new rows are written beside it and swapped in by renames, so a failed load leaves the
-    old table. Returns how many rows went and came."""
+    old table, also when a rename fails. Returns how many rows went and came."""
     fresh, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(fresh)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = {name: jvm.org.apache.hadoop.fs.Path(name) for name in (path, fresh, old)}
     files = where[path].getFileSystem(conf)
     counts = {"deleted": spark.read.parquet(path).count() if files.exists(where[path]) else 0, "loaded": spark.read.parquet(fresh).count()}
-    if files.exists(where[path]):
-        files.rename(where[path], where[old])
-    files.rename(where[fresh], where[path])
+    there = files.exists(where[path])
+    if there:
+        files.delete(where[old], True)  # of a load that broke off
+        if not files.rename(where[path], where[old]):
+            raise OSError(f"{path} could not be moved")
+    if not files.rename(where[fresh], where[path]):
+        if there:
+            files.rename(where[old], where[path])
+        raise OSError(f"{fresh} could not take the place of {path}")
     files.delete(where[old], True)
     return counts
 
@@ -117,13 +138,24 @@ def quarantined(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def read_dimension(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",") -> DataFrame:
+def read_dimension(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",", width: str = "fail") -> DataFrame:
     """Declared columns by name, as their types. A declared column that the file lacks is an error, other columns are
-    ignored, and rows with a value that its type can't hold are left out. ``boolean`` takes true, 1, yes, t, y."""
-    text = spark.read.option("sep", sep).option("header", True).csv(path)
-    missing = [c for c in columns if c not in text.columns]
+    ignored, and rows with a value that its type can't hold are left out. A row with more or fewer fields than the header is an
+    error, or left out with ``width="skip"``. ``boolean`` takes true, 1, yes, t, y."""
+    reader = spark.read.option("sep", sep).option("header", True)
+    names = reader.csv(path).columns
+    missing = [c for c in columns if c not in names]
     if missing:
         raise ValueError(f"columns {missing} are not in {path}")
+    shape = ", ".join(f"`{c}` string" for c in [*names, CORRUPT])
+    # fields are counted only where no column is pruned
+    text = reader.schema(shape).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+    wrong = F.col(CORRUPT).isNotNull()
+    if width == "skip":
+        text = text.where(~wrong)
+    else:
+        told = F.concat(F.lit("a row has another number of fields than the header: "), F.col(CORRUPT))
+        text = text.where(F.when(wrong, F.raise_error(told).cast("boolean")).otherwise(True))
 
     def typed(c: str, kind: str) -> Column:
         if kind == "boolean":

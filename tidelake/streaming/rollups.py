@@ -56,6 +56,13 @@ def tumbling(stream: DataFrame, granularity: str, late: str, keys: list[str]) ->
     return grouped.select(F.col("window.start").alias("bucket"), *keys, "n", "total")
 
 
+def sliding(stream: DataFrame, granularity: str, slide: str, late: str, keys: list[str]) -> DataFrame:
+    """Closed windows that overlap; a row counts in each window that holds it."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    grouped = timed.groupBy(F.window("ts", granularity, slide), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return grouped.select(F.col("window.start").alias("bucket"), *keys, "n", "total")
+
+
 def drain_by_day(stream: DataFrame, label: str, time: str = "ts", interval: str | None = None) -> DataFrame:
     """Append a stream to daily folders; ``interval`` is the time between micro-batches (None: until the input ends)."""
     spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
