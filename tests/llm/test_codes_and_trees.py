@@ -234,7 +234,7 @@ def lake(spark, tmp_path, rows):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 64, 65, 300, 4200])
+@pytest.mark.parametrize("size", [1, 2, 65, 4200])
 def test_manifest_of_trees_of_all_shapes(spark, tmp_path, size):
     rand = random.Random(size)
     rows = [(k, rand.choice(["web", None, "ü"]), None if k % 11 == 5 else "en", rand.choice([None, k]), rand.choice([None, "", "text " * (k % 9), "é中"])) for k in range(size)]
@@ -244,7 +244,7 @@ def test_manifest_of_trees_of_all_shapes(spark, tmp_path, size):
     assert sorted(found, key=key) == sorted(brute_manifest(rows), key=key)
 
 
-@pytest.mark.parametrize("fan_in", [2, 3, 5])
+@pytest.mark.parametrize("fan_in", [2, 5])
 def test_other_fan_ins_and_shuffled_ranges(spark, monkeypatch, fan_in):
     monkeypatch.setattr(trees, "FEW_RANGES", 0)  # sizes of ranges are joined, not broadcast
     monkeypatch.setattr(trees, "WIDTH", 2)
