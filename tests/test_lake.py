@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelake.operators import align, features, mapping, ordering, parsers, registry, runs
+from tidelake.operators import align, ann_index, bars, features, mapping, ordering, parsers, profiles, registry, runs
 from tidelake.sources import lake, tables
 from tidelake.streaming import rollups as st
 
@@ -162,3 +163,69 @@ def test_parsers_by_name_and_odd_payloads(spark):
     for name, call in (("first", registry.register_parser), ("none", registry.parse)):
         with pytest.raises(ValueError, match=name):
             call(name, None) if call is registry.register_parser else call(df, name, "p", ["id"])
+
+
+def test_index_prunes_clustered_data_and_takes_odd_rows(spark, tmp_path):
+    rand = np.random.default_rng(3)
+    centres = rand.normal(size=(40, 16)) * 8
+    x = centres[rand.integers(0, 40, 3000)] + rand.normal(size=(3000, 16))
+    data = [(k, v.tolist()) for k, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] * 16)]
+    df, path = spark.createDataFrame(data, "vec_id long, embedding array<double>"), str(tmp_path / "index")
+    ann_index.build_index(df, path)
+    index, sizes = ann_index.open_index(spark, path)
+    assert sum(sizes.values()) == 3000 and index.probes <= 0.1 * len(index.centres) and index.share <= 0.1
+    queries = df.where("vec_id % 30 = 0 OR vec_id > 9000")
+    found = {(r["query_id"], r["vec_id"]) for r in ann_index.search_index(queries, path, 10, block=20).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit[::30] @ unit.T
+    scores[np.arange(100), np.arange(0, 3000, 30)] = -2
+    wanted = {(30 * q, int(v)) for q, row in enumerate(np.argsort(-scores, axis=1)[:, :10]) for v in row}
+    assert len(found & wanted) >= 0.9 * len(wanted) and len(found) == 1000
+    assert ann_index.search_index(queries.where("false"), path, 10).count() == 0
+    small = str(tmp_path / "small")
+    ann_index.build_index(df.limit(3), small)
+    ranked = ann_index.search_index(df.where("vec_id < 2"), small, 10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"]) for r in ranked] == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert {r["vec_id"] for r in ranked if r["query_id"] == 0} == {1, 2}
+    with pytest.raises(ValueError, match="needs a vector"):
+        ann_index.build_index(df.where("vec_id > 9000"), str(tmp_path / "none"))
+
+
+def test_profiles_and_gaps_of_odd_payloads(spark):
+    texts = ['{"a":{"b":[1,[2.5,null],{"c":"x"}]},"d":null}', '{"d":9,"a":[]}', "[1]", "5", "bad", "", None, "{}"]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    found = {r["path"]: (r["n"], r["n_null"], r["types"]) for r in profiles.payload_profile(df, "p").collect()}
+    assert found == {
+        "a": (2, 0, ["array", "object"]), "a.b": (1, 0, ["array"]), "d": (2, 1, ["integer", "null"]), "a.b[]": (3, 0, ["array", "integer", "object"]),
+        "a.b[][]": (2, 1, ["null", "number"]), "a.b[].c": (1, 0, ["string"]),
+    }
+    profile = profiles.payload_profile(df, "p")
+    assert {r["overall"] for r in profiles.gap_report(profile, ["a.b", "d"]).collect()} == {"match"}
+    assert {(r["field"], r["status"], r["overall"]) for r in profiles.gap_report(profile, ["x", "y[0]"]).collect()} == {(f, s, "mismatch") for f, s in (("a", "extra"), ("d", "extra"), ("x", "missing"), ("y", "missing"))}
+    assert profiles.payload_profile(df.where("false"), "p").count() == 0
+
+
+def test_dimension_rows_of_another_width(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("a,b,c\n1,x,yes\n2,y\n3,z,no,more\n4,,n\n")
+    columns = {"a": "bigint", "c": "boolean"}
+    found = tables.read_dimension(spark, str(tmp_path / "d.csv"), columns, width="skip")
+    assert rows(found) == [(1, True), (4, False)]
+    with pytest.raises(Exception, match="another number of fields"):
+        tables.read_dimension(spark, str(tmp_path / "d.csv"), columns).collect()
+
+
+def test_statistics_open_no_file(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_bronze(spark.createDataFrame([(k, T0 + dt.timedelta(days=k % 3)) for k in range(9)], "k long, ts timestamp"), path)
+    for f in (tmp_path / "t").rglob("*.parquet"):
+        f.write_bytes(b"no parquet file")
+    assert tuple(tables.latest_partition(spark, path).first()) == (2024, 1, 3)
+    assert tables.drop_expired(spark, path, "2024-01-05 00:00:00", 2) == ["year=2024/month=1/day=1", "year=2024/month=1/day=2"]
+
+
+def test_scalers_of_constant_and_missing_values(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", None), ("c", 1.0), ("c", 3.0)], "k string, v double")
+    both = df.join(bars.fit_scaler(df, "v", ["k"]), "k").orderBy("k", "v")
+    x, mean, std, low, high = (F.col(c) for c in ("v", "mean", "std", "low", "high"))
+    z = both.select(bars.standard(x, mean, std).alias("z"), bars.minmax(x, low, high).alias("m"), bars.from_standard(bars.standard(x, mean, std), mean, std).alias("back")).collect()
+    assert [(r["z"], r["m"], r["back"]) for r in z] == [(0.0, 0.0, 2.0)] * 2 + [(None,) * 3, (-1.0, 0.0, 1.0), (1.0, 1.0, 3.0)]

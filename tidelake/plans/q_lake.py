@@ -5,14 +5,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import bars, profiles, runs
+from ..operators import ann_index, bars, profiles, runs
 from ..session import new_path
 from ..sources import lake, tables as tb
 from ..streaming import rollups as st
 from .base import OBS, events, obs, q, r6
 from .catalog import table
 from .q_alerts import LATE
-from .q_sources import bronze
+from .q_sources import Q20, bronze, knn
 
 
 # ---- sketches: hours made by a stream whose rows come shuffled over all time, merged into days
@@ -197,3 +197,25 @@ q(
     lambda s, d: tb.read_dimension(s, dimension_file(s, d), {"key": "bigint", "segment": "string", "even": "boolean"}, ";", "skip"),
     "SELECT c_custkey AS key, c_mktsegment AS segment, c_custkey % 2 = 0 AS even FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 7 > 0",
 )
+
+
+# ---- a stored index of all vectors; each twentieth one is a query
+def indexed(s, d):
+    path = new_path(s, "index")
+    ann_index.build_index(table(s, d, "embeddings"), path)
+    return path
+
+
+q("knn_ann_index", lambda s, d: ann_index.search_index(Q20(s, d), indexed(s, d), 10))
+
+
+def index_recall(s, d):
+    """Whether nine of ten exact neighbours are found, and at most a tenth of the vectors are read whole for a query."""
+    path = indexed(s, d)
+    share = ann_index.open_index(s, path)[0].share
+    exact, near = knn(s, d), ann_index.search_index(Q20(s, d), path, 10).select("query_id", "vec_id")
+    both = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return both.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough")).withColumn("few", F.lit(share <= 0.1))
+
+
+q("knn_ann_index_recall", index_recall, "SELECT true AS enough, true AS few")
