@@ -24,11 +24,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LOG)
 
 
-def logged_run(rows: DataFrame, log: str, stream: str, time: str, write: Callable[[DataFrame], None], dropped: Column | None = None, run_mode: str = "incremental") -> str:
+def logged_run(rows: DataFrame, log: str, stream: str, time: str | None, write: Callable[[DataFrame], None], dropped: Column | None = None, run_mode: str = "incremental") -> str:
     """Write ``rows`` (but those for which ``dropped`` holds) by ``write`` and log it; returns the run's id.
 
     A ``started`` row comes before the write, a ``completed`` one after it with the counts that the write itself observed, or a ``failed`` one with
-    the error, which is raised again. A run's ``watermark_before`` is the newest one that a completed run of the stream reached; a failed run moves none.
+    the error, which is raised again. Rows without a ``time`` (None), as those of dimensions, have no watermark. A run's ``watermark_before`` is the newest one that a completed run of the stream reached; a failed run moves none.
     """
     spark, run = rows.sparkSession, uuid.uuid4().hex
     before = read_log(spark, log).where((F.col("stream") == stream) & (F.col("status") == "completed")).agg(F.max("watermark_after")).first()[0]
@@ -45,7 +45,7 @@ def logged_run(rows: DataFrame, log: str, stream: str, time: str, write: Callabl
     seen, out = Observation(), F.coalesce(dropped, F.lit(False)) if dropped is not None else F.lit(False)
     marked = rows.withColumn("__dropped", out)
     counted = marked.observe(
-        seen, F.count("*").alias("read"), F.count_if(~F.col("__dropped")).alias("written"), F.count_if("__dropped").alias("dropped"), F.max(F.col(time).cast("timestamp")).alias("newest")
+        seen, F.count("*").alias("read"), F.count_if(~F.col("__dropped")).alias("written"), F.count_if("__dropped").alias("dropped"), (F.max(F.col(time).cast("timestamp")) if time else F.max(F.lit(None).cast("timestamp"))).alias("newest")
     )
     try:
         write(counted.where(~F.col("__dropped")).drop("__dropped"))

@@ -3,6 +3,7 @@
 import contextlib
 import datetime as dt
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ann_index, bars, profiles, runs
@@ -219,3 +220,36 @@ def index_recall(s, d):
 
 
 q("knn_ann_index_recall", index_recall, "SELECT true AS enough, true AS few")
+
+
+# ---- one date laid out anew, and logged loads of a dimension
+def laid_out(s, d):
+    path = bronze(s, d)
+    tb.rewrite_date(s, path, (2024, 1, 5), "user_id")
+    rows = s.read.parquet(path).select("day", "user_id", "ts", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("n"))
+    w = W.partitionBy("file").orderBy("n")
+    before, same = F.lag("user_id").over(w), F.lag("user_id").over(w) == F.col("user_id")
+    told = rows.withColumn("sorted", before.isNull() | (before < F.col("user_id")) | (same & (F.lag("ts").over(w) >= F.col("ts"))))
+    files = told.groupBy("user_id", "day").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n"), F.bool_and("sorted").alias("sorted"))
+    of_day = F.col("day") == 5
+    return files.groupBy("day").agg(F.sum("n").alias("n"), F.bool_and(F.col("sorted") | ~of_day).alias("sorted"), F.max(F.when(of_day, F.col("files")).otherwise(1)).alias("files"))
+
+
+q("sort_layout_date", laid_out, "SELECT day(ts)::INT AS day, count(*)::BIGINT AS n, true AS sorted, 1::BIGINT AS files FROM events GROUP BY 1")
+
+
+def dimension_runs(s, d):
+    """A dimension loaded twice; the second load breaks, and readers still find the first."""
+    path, log, c = new_path(s, "nations"), new_path(s, "sync"), table(s, d, "customer")
+    runs.logged_run(c.where("c_custkey % 2 = 0"), log, "customer", None, lambda df: tb.replace_table(s, df, path))
+    bad = c.withColumn("c_name", F.when(F.col("c_custkey") == 1, F.raise_error(F.lit("bad row"))).otherwise(F.col("c_name")))
+    with contextlib.suppress(Exception):
+        runs.logged_run(bad, log, "customer", None, lambda df: tb.replace_table(s, df, path), run_mode="full")
+    told = runs.read_log(s, log)
+    rows = told.select("status", "run_mode", "rows_written", F.lit(False).alias("latest")).unionByName(runs.latest_runs(told).select("status", "run_mode", "rows_written", F.lit(True).alias("latest")))
+    return rows.withColumn("stored", F.lit(s.read.parquet(path).count()))
+
+
+q("dim_sync_runs", dimension_runs, """WITH n AS (SELECT count(*) AS stored FROM customer WHERE c_custkey % 2 = 0)
+SELECT status, run_mode, CASE WHEN status = 'completed' THEN stored END AS rows_written, latest, stored FROM n, (VALUES ('started', 'incremental', false), ('completed', 'incremental', false),
+('started', 'full', false), ('failed', 'full', false), ('failed', 'full', true)) v(status, run_mode, latest)""")

@@ -80,6 +80,16 @@ def sort_layout(df: DataFrame, entity: str, time: str = "ts") -> DataFrame:
     return df.repartition(entity).sortWithinPartitions(entity, F.desc(time))
 
 
+def rewrite_date(spark: SparkSession, path: str, date: tuple[int, int, int], entity: str, time: str = "ts") -> None:
+    """Lay out one date of a store anew, rows of an entity together and newest first; other dates aren't touched. The rows
+    are written elsewhere before they take the place of the old ones."""
+    y, m, d = date
+    rows = stash(spark.read.parquet(path).where(f"year = {y} AND month = {m} AND day = {d}"), "layout")
+    # the writer sorts by the partitions unless the rows are in that order already, and would lose the order within
+    laid = sort_layout(rows, entity, time).sortWithinPartitions("year", "month", "day", entity, F.desc(time))
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(path)
+
+
 def extract_keys(df: DataFrame, path: str, key: str, keys: list[str], order: str) -> None:
     """One folder per key, its rows sorted."""
     own = df.where(F.col(key).isin(*keys))
