@@ -6,7 +6,7 @@ from ..operators import dq, events as ev, registry
 from .base import OBS, events, obs, q, r6
 from .catalog import table
 from .q_rules import payloads
-from .q_windows import ALIGNED, CROSS, OBJ_SCHEMA, OBJECTIVES, ORDER, TRANS, aligned, crossings, long_metrics, packed, states
+from .q_windows import ALIGNED, CROSS, OBJ_SCHEMA, OBJECTIVES, ORDER, TRANS, aligned, long_metrics, packed, states
 
 
 

@@ -1,9 +1,8 @@
 """Scans, sinks, streams, vectors and predictions."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import alerts, features as ft, vectors as vx
+from ..operators import features as ft, vectors as vx
 from ..session import new_path
 from ..sources import tables as tb
 from ..streaming import rollups as st
