@@ -78,7 +78,9 @@ def flat_json(df: DataFrame, payload: str, keep: list[str], location_field: str,
     read = df.select(*keep, F.from_json(payload, "map<string,variant>").alias("__read"))
     placed = read.withColumn("location_id", location(F.col("__read"), location_field, default))
     some = F.explode_outer(F.when(F.col("location_id").isNotNull(), F.col("__read"))).alias("metric", "__value")
-    each = placed.select(*keep, "location_id", some).where(_kind(F.col("__value")).rlike(NUMERIC))
+    # the type of an object is costly to tell, so values that are no number anyway go first
+    number = F.col("__value").try_cast("double").isNotNull()
+    each = placed.select(*keep, "location_id", some).where(number & _kind(F.col("__value")).rlike(NUMERIC))
     each = each.where(~F.col("metric").isin(*skip)) if skip else each
     return each.select(*keep, "location_id", "metric", F.lit(None).cast("string").alias("unit"), F.col("__value").try_cast("double").alias("value"))
 
