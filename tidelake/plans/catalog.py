@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 
 
 #: Modules that register queries.
-MODULES = ("q_rollups", "q_scalars", "q_rules", "q_windows", "q_sources", "q_stores", "q_events", "q_alerts", "q_lake")
+MODULES = ("q_rollups", "q_scalars", "q_rules", "q_windows", "q_sources", "q_stores", "q_events", "q_alerts", "q_lake", "q_health")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
