@@ -5,7 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.operators import access as ac, health as he
+from tidelake.operators import access as ac, bars, events as ev, health as he, merge
+from tidelake.session import new_path
+from tidelake.sources import tables
 
 T = dt.datetime(2024, 1, 10)
 def as_of():
@@ -156,3 +158,68 @@ def test_positions_without_open_ones(spark):
     rows = [("s", "CLOSED", 5.0, 10.0, 2.0, 1.0), ("t", "OPEN", 3.0, 7.0, None, 4.0), ("t", None, 9.0, 9.0, None, 9.0)]
     df = spark.createDataFrame(rows, "symbol string, status string, quantity double, entry_price double, realized_pnl double, unrealized_pnl double")
     assert rows_of(ac.position_summary(df), "symbol") == [("s", 0.0, None, 2.0, 0.0), ("t", 3.0, 7.0, None, 4.0)]
+
+
+def write_lines(spark, lines):
+    path = new_path(spark, "lines")
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(path)
+    return path
+
+
+def test_types_of_csv_values(spark):
+    kinds = {"5": "int", "+5": "int", " 5": "string", "1d": "string", "1f": "string", "0x1p3": "string", "1e5": "float", ".5": "float", "1.": "float", ".": "string",
+             "9223372036854775808": "float", "nan": "float", "-Infinity": "float", "TRUE": "bool", "": "null", None: "null", "null": "string", 'a"b': "string"}
+    df = spark.createDataFrame([(x,) for x in kinds], "v string")
+    told = df.select("v", tables.inferred("v").alias("kind"), tables.inferred_json("v").alias("text")).collect()
+    assert {r["v"]: r["kind"] for r in told} == kinds
+    texts = {r["v"]: r["text"] for r in told}
+    assert [texts[x] for x in ("+5", "nan", "-Infinity", "TRUE", "", None, 'a"b', "1d")] == ["5", "0", "0", "true", "null", "null", '"a\\"b"', '"1d"']
+
+
+def test_times_of_csv_values(spark):
+    df = spark.createDataFrame([(x,) for x in ("2024-01-10T00:00:00", "2024-01-10t00:00:00.5z", "2024-01-10 01:00:00+01:00", "2024-01-10 00:00:00", "2024-01-10", "", None)], "v string")
+    assert [r["t"] for r in df.select(tables.csv_timestamp("v", "iso8601").alias("t")).collect()] == [T, T + dt.timedelta(milliseconds=500), T, None, None, None, None]
+    seconds = spark.createDataFrame([("10",), (" 10",), ("1e1",)], "v string")
+    assert [r["t"] is not None for r in seconds.select(tables.csv_timestamp("v", "epoch_seconds").alias("t")).collect()] == [True, False, False]
+
+
+def test_csv_points_and_their_policies(spark):
+    path = write_lines(spark, ["at,name", "2024-01-10T00:00:00Z,1", "later,2", "2024-01-10T00:00:00Z,3,more", '2024-01-10T00:00:00Z,"x,]"'])
+    bodies = lambda **how: [r["payload"].split('"name":')[1] for r in tables.csv_points(spark, path, "at", **how).collect()]
+    assert bodies() == ["1}", '"x,]"}']
+    assert bodies(limit=2) == ["1}"]
+    told = tables.csv_points(spark, path, "at", on_error="log").collect()
+    assert [(r["error"] or "").split(":")[0] for r in told] == ["", "no time", "another number of fields", ""]
+    with pytest.raises(Exception, match="no time"):
+        bodies(on_error="fail")
+    with pytest.raises(ValueError):
+        tables.csv_points(spark, path, "gone")
+    bare = write_lines(spark, ["10;a", "20;"])
+    assert [r["payload"] for r in tables.csv_points(spark, bare, "col_0", "epoch_seconds", ";", False).collect()] == ['{"col_0":10,"col_1":"a"}', '{"col_0":20,"col_1":null}']
+
+
+def test_an_empty_target_has_no_mark(spark):
+    df = spark.createDataFrame([(1, T), (2, before(hours=2)), (3, None)], "id long, ts timestamp_ntz")
+    ids = lambda target: sorted(r["id"] for r in merge.since_watermark(df, target, "ts", "1 HOUR").collect())
+    assert ids(df.where("false")) == [1, 2, 3] and ids(df) == [1] and ids(df.where("id = 3")) == [1, 2, 3]
+
+
+def test_coarser_bars_weigh_spreads_by_trades(spark):
+    rows = [(T, "s", 1.0, 5.0, 1.0, 2.0, 10, 1, 0.1), (T + dt.timedelta(minutes=1), "s", 2.0, 9.0, 0.5, 3.0, 20, 3, 0.5), (T + dt.timedelta(minutes=61), "s", 4.0, 4.0, 4.0, 4.0, 5, 0, None)]
+    fine = spark.createDataFrame(rows, "bucket timestamp, k string, open double, high double, low double, close double, volume long, trades_count long, avg_spread_pct double")
+    told = bars.coarser(fine, "1 hour", ["k"]).select("open", "high", "low", "close", "volume", "trades_count", F.round("avg_spread_pct", 6), "bucket")
+    assert rows_of(told, "bucket") == [(1.0, 9.0, 0.5, 3.0, 30, 4, 0.4, T), (4.0, 4.0, 4.0, 4.0, 5, 0, None, T + dt.timedelta(hours=1))]
+
+
+def test_a_short_look_back_sees_the_state_before(spark):
+    states = spark.createDataFrame([(1, "a", before(days=3), "on"), (2, "a", before(hours=20), "off"), (3, "a", T, "on"), (4, "b", before(days=3), "on"), (5, "b", T, "off"), (6, "a", T + dt.timedelta(days=9), "off")], "id long, e string, ts timestamp_ntz, s string")
+    long = states.select("id", "e", "ts", F.lit("m").alias("metric"), F.lit(1.0).alias("value"))
+    goals = spark.createDataFrame([("o", "m", ">", 5.0, None)], "objective_id string, metric string, condition string, threshold double, threshold_upper double")
+    who = lambda **more: sorted(r["e"] for r in ev.detect(states, long, goals, "e", "ts", "s", "id", "2024-01-10 00:00:00", "2024-01-11 00:00:00", **more).collect())
+    assert who() == ["a", "b"] and who(lookback="1 DAY") == ["a"]
+
+
+def test_latest_texts_and_unpivoted_readings(spark):
+    df = spark.createDataFrame([(1, T, "x", None), (2, before(hours=1), "y", "old"), (3, None, "z", "none")], "id long, ts timestamp_ntz, a string, b string")
+    assert rows_of(ac.latest_text([("s", df, "ts", ["a", "b"])]).select("field_name", "value"), "field_name") == [("a", "x"), ("b", "old")]
+    assert rows_of(ac.unpivot_reading(df.withColumn("v", F.lit("2.5")).withColumn("w", F.when(F.col("id") == 1, 7)), ["id"], {"m": "v", "n": "w"}), "id", "metric") == [(1, "m", 2.5), (1, "n", 7.0), (2, "m", 2.5), (3, "m", 2.5)]

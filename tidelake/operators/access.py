@@ -88,6 +88,27 @@ def latest_readings(views: list[tuple[str, DataFrame, str, str, str | None, dict
     return told
 
 
+def latest_text(fields: list[tuple[str, DataFrame, str, list[str]]]) -> DataFrame:
+    """``time, source_stream, field_name, value``: the newest text of each text column of several tables (stream, rows, time column, text columns).
+    Each table is read once for all its columns; the largest text decides among equal times."""
+    told = None
+    for stream, df, time, columns in fields:
+        long = df.select(F.col(time).alias("time"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["time"], columns, "field_name", "value").where("value IS NOT NULL")
+        order = F.struct(F.col("time").isNotNull(), "time", "value")
+        last = long.groupBy("field_name").agg(F.max_by(F.struct("time", "value"), order).alias("r"))
+        one = last.select("r.time", F.lit(stream).alias("source_stream"), "field_name", "r.value")
+        told = one if told is None else told.unionByName(one)
+    if told is None:
+        raise ValueError("no tables")
+    return told
+
+
+def unpivot_reading(df: DataFrame, keep: list[str], metrics: dict[str, str], metric: str = "metric", value: str = "value") -> DataFrame:
+    """A row for each metric (name: column) that a wide reading has, with the columns to keep."""
+    wide = df.select(*keep, *[F.col(c).cast("double").alias(n) for n, c in metrics.items()])
+    return wide.unpivot(keep, list(metrics), metric, value).where(F.col(value).isNotNull())
+
+
 def recent_signals(signals: DataFrame, models: DataFrame, as_of: Column, time: str = "signal_time", key: str = "model_id") -> DataFrame:
     """Signals of the last day with what is known of their models; a signal of an unknown model stays."""
     return signals.where(F.col(time) > as_of - F.expr("INTERVAL 24 HOURS")).join(models, key, "left")

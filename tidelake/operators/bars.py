@@ -18,6 +18,19 @@ def ohlcv(df: DataFrame, grain: str, keys: list[str], time: str, tie: str, volat
     return found.withColumn("bucket", F.col("__w.start")).drop("__w")
 
 
+def coarser(bars: DataFrame, grain: str, keys: list[str]) -> DataFrame:
+    """Bars of a coarser grain from ``ohlcv`` bars whose grain divides it: the same prices and sums as from the rows. Spreads are averages of the
+    bars' averages weighted by their trades, and missing where no bar has trades."""
+    weight = F.when(F.col("avg_spread_pct").isNotNull(), F.col("trades_count"))
+    told = [
+        F.min_by("open", "bucket").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bucket").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("trades_count").alias("trades_count"),
+        (F.sum(F.col("avg_spread_pct") * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("avg_spread_pct"),
+    ]
+    found = bars.groupBy(F.window("bucket", grain).alias("__w"), *keys).agg(*told)
+    return found.withColumn("bucket", F.col("__w.start")).drop("__w")
+
+
 def fit_scaler(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
     """``mean, std`` (of the population), ``low`` and ``high`` of a field by keys; NaN mean and 0 deviation where there is no value."""
     x = F.col(field)

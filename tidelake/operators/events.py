@@ -157,12 +157,19 @@ def crossings_since(long: DataFrame, objectives: DataFrame, entity: str, time: s
 def detect(
     states: DataFrame, long: DataFrame, objectives: DataFrame, entity: str, time: str, state: str, tie: str,
     start: str | None = None, end: str | None = None, aligned: DataFrame | None = None, context: list[str] | None = None, log: DataFrame | None = None,
+    lookback: str | None = None,
 ) -> DataFrame:
     """The event log of a time range: actual transitions and threshold crossings, each with its key; with ``aligned``
     also what held in its hour, with ``log`` only what isn't there yet.
 
-    What stood before the range counts as the state before it, so a range gives the same events as a full run.
+    What stood before the range counts as the state before it, so a range gives the same events as a full run. With ``lookback`` only
+    that much history before ``start`` is read, so older files are pruned; an entity silent for longer then begins anew.
     """
+    if end:
+        states, long = states.where(F.col(time) <= end), long.where(F.col(time) <= end)
+    if start and lookback:
+        oldest = F.lit(start).cast(states.schema[time].dataType) - F.expr(f"INTERVAL {lookback}")
+        states, long = states.where(F.col(time) >= oldest), long.where(F.col(time) >= oldest)
     moves = state_transitions(states, entity, time, state, tie).where("from_state IS NOT NULL AND is_actual_transition")
     change = F.concat("from_state", F.lit(">"), F.coalesce("to_state", F.lit("null")))
     one = moves.select(entity, time, F.lit("state_transition").alias("event_type"), change.alias("detail"), F.lit(None).cast("double").alias("metric_value"))
@@ -172,8 +179,6 @@ def detect(
     both = one.unionByName(two)
     if start:
         both = both.where(F.col(time) >= start)
-    if end:
-        both = both.where(F.col(time) <= end)
     stamp = F.unix_micros(F.col(time).cast("timestamp")).cast("string")
     keyed = both.withColumn("event_key", event_key(stamp, F.col(entity).cast("string"), "event_type", "detail"))
     if aligned is not None:

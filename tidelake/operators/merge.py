@@ -34,6 +34,7 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def since_watermark(df: DataFrame, target: DataFrame, time: str, lag: str) -> DataFrame:
-    """The rows after the target's newest time less the lag; all of them for an empty target."""
-    newest = target.agg((F.max(time) - F.expr(f"INTERVAL {lag}")).alias("mark")).first()["mark"]
-    return df if newest is None else df.where(F.col(time) > F.lit(newest))
+    """The rows after the target's newest time less the lag; all of them for an empty target. The mark is a scalar of the plan, so no
+    job runs before the rows are asked for."""
+    mark = target.agg(F.max(time) - F.expr(f"INTERVAL {lag}")).scalar()
+    return df.where(F.coalesce(F.col(time) > mark, mark.isNull()))

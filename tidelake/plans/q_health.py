@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import access as ac, health as he
+from ..operators import access as ac, bars, events as ev, health as he
+from ..session import new_path
+from ..sources import tables as tb
 from .base import OBS, events, obs, q, r6
 from .catalog import table
+from .q_lake import ticks
+from .q_windows import CROSS, OBJ_SCHEMA, OBJECTIVES, TRANS, long_metrics, states
 
 AS_OF = "(SELECT max(ts) FROM events)"
 AGE = f"((epoch_us({AS_OF}) - epoch_us({{0}})) / 1e6::DOUBLE)"
@@ -299,3 +303,78 @@ q(
     lambda s, d: he.table_stats(obs(s, d).where("value IS NOT NULL"), "ts"),
     f"SELECT count(*) AS row_count, min(ts) AS oldest, max(ts) AS newest FROM {OBS} WHERE value IS NOT NULL",
 )
+
+
+# ---- CSV rows as points: a file without header, cut by semicolons, with values of all types and bad rows
+def csv_file(s, d):
+    path, n = new_path(s, "points"), F.col("event_id")
+    odd = F.when(n % 11 == 0, F.concat(n, F.lit("f"))).when(n % 11 == 1, F.lit("TRUE")).when(n % 11 == 2, F.lit("")).when(n % 11 == 3, F.lit("inf")).when(n % 11 == 4, F.lit('"a;b"')).otherwise(F.concat(n, F.lit(".5")))
+    time = F.when(n % 13 == 0, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")).otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    line = F.concat_ws(";", time, n.cast("string"), odd, *[F.when(n % 17 == 0, F.lit("more"))])
+    events(s, d).select(line).write.text(path)
+    return path
+
+
+def points(s, d):
+    told = tb.csv_points(s, csv_file(s, d), "col_0", sep=";", header=False, on_error="log", fields=3)
+    good = told.where("error IS NULL").select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.get_json_object("payload", "$.col_1").cast("long").alias("event_id"), F.get_json_object("payload", "$.col_2").alias("x"), F.schema_of_variant(F.variant_get(F.parse_json("payload"), "$.col_2", "variant")).alias("kind"), F.lit(True).alias("good"))
+    bad = told.where("error IS NOT NULL").select(F.lit(None).cast("timestamp_ntz").alias("ts"), F.regexp_extract("error", "^([a-z ]+):", 1).alias("x"))
+    return good.withColumn("kind", F.regexp_extract("kind", "^[A-Z]+", 0)).unionByName(bad, allowMissingColumns=True).withColumn("good", F.coalesce("good", F.lit(False)))
+
+
+q(
+    "csv_points",
+    points,
+    """SELECT date_trunc('second', ts) AS ts, event_id, CASE event_id % 11 WHEN 0 THEN event_id || 'f' WHEN 1 THEN 'true' WHEN 2 THEN NULL WHEN 3 THEN '0' WHEN 4 THEN 'a;b' ELSE event_id || '.5' END AS x,
+    CASE event_id % 11 WHEN 0 THEN 'STRING' WHEN 1 THEN 'BOOLEAN' WHEN 2 THEN 'VOID' WHEN 3 THEN 'BIGINT' WHEN 4 THEN 'STRING' ELSE 'DECIMAL' END AS kind, true AS good FROM events WHERE event_id % 13 > 0 AND event_id % 17 > 0
+    UNION ALL SELECT NULL, NULL, CASE WHEN event_id % 17 = 0 THEN 'another number of fields' ELSE 'no time' END, NULL, false FROM events WHERE event_id % 13 = 0 OR event_id % 17 = 0""",
+)
+
+
+def cascaded(s, d):
+    """Bars of six hours from bars of an hour from bars of a minute."""
+    keys = ["symbol", "exchange"]
+    six = bars.coarser(bars.coarser(bars.ohlcv(ticks(s, d), "1 minute", keys, "time", "event_id"), "1 hour", keys), "6 hours", keys)
+    return six.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), *keys, "open", "high", "low", "close", "volume", "trades_count")
+
+
+q(
+    "ohlcv_coarser",
+    cascaded,
+    """SELECT time_bucket(INTERVAL 6 HOURS, ts) AS bucket, event_type AS symbol, user_id % 3 AS exchange, arg_min(value, (ts, event_id)) AS open, max(value + k) AS high, min(value - 1) AS low,
+    arg_max(k, (ts, event_id)) AS close, sum(event_id)::BIGINT AS volume, sum(event_id % 7)::BIGINT AS trades_count FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1, 2, 3""",
+)
+
+
+def looked_back(s, d):
+    """State changes of two days, from states at most a day older."""
+    goals = F.broadcast(s.createDataFrame(OBJECTIVES, OBJ_SCHEMA))
+    found = ev.detect(states(s, d), long_metrics(s, d), goals, "user_id", "ts", "event_type", "event_id", "2024-01-10 00:00:00", "2024-01-12 00:00:00", lookback="1 DAY")
+    return found.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+
+
+RECENT = "FROM (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-12')"
+q(
+    "detect_events_lookback",
+    looked_back,
+    f"""SELECT event_type, user_id, count(*) AS n, min(ts) AS low, max(ts) AS high FROM (SELECT 'state_transition' AS event_type, user_id, ts FROM ({TRANS.replace("FROM events", RECENT)})
+    WHERE is_actual_transition AND from_state IS NOT NULL UNION ALL SELECT 'threshold_crossing', user_id, ts FROM ({CROSS.replace("FROM events", RECENT)})) WHERE ts >= '2024-01-10' GROUP BY 1, 2""",
+)
+
+
+def texts(s, d):
+    return ac.latest_text([("events", events(s, d), "ts", ["event_type", "props"]), ("orders", table(s, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp_ntz")), "t", ["o_orderstatus", "o_orderpriority"])])
+
+
+q(
+    "latest_text_fields",
+    texts,
+    """SELECT DISTINCT ON (source_stream, field_name) time, source_stream, field_name, value FROM (
+    SELECT ts AS time, 'events' AS source_stream, unnest(['event_type', 'props']) AS field_name, unnest([event_type, props]) AS value FROM events UNION ALL
+    SELECT o_orderdate::TIMESTAMP, 'orders', unnest(['o_orderstatus', 'o_orderpriority']), unnest([o_orderstatus, o_orderpriority]) FROM orders) WHERE value IS NOT NULL ORDER BY source_stream, field_name, time DESC, value DESC""",
+)
+q(
+    "unpivot_metrics",
+    lambda s, d: ac.unpivot_reading(obs(s, d).withColumn("k", F.get_json_object("props", "$.k")), ["event_id", "ts"], {"pm25": "value", "co2": "k"}),
+    f"""SELECT event_id, ts, 'pm25' AS metric, value FROM {OBS} WHERE value IS NOT NULL UNION ALL SELECT event_id, ts, 'co2', CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM {OBS} WHERE json_extract_string(props, '$.k') IS NOT NULL""",
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,19 +181,74 @@ def read_dimension(spark: SparkSession, path: str, columns: dict[str, str], sep:
     return checked.select(*columns)
 
 
-def inferred(c: str):
-    """A CSV value as integer, else float, else boolean, else text, told as (type, text)."""
+#: What counts as a whole number and as a number in a CSV value: nothing around it, no type suffix, no hexadecimal digits.
+INTEGER = r"^[+-]?[0-9]+\z"
+NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\z"
+
+
+def inferred(c: str) -> Column:
+    """The type of a CSV value: int (64 bits), else float, else bool, else null (empty), else string."""
     v = F.col(c)
     return (
-        F.when(v.isNull() | (v == ""), "null").when(v.try_cast("long").isNotNull() & ~v.contains("."), "int").when(v.try_cast("double").isNotNull(), "float")
+        F.when(v.isNull() | (v == ""), "null").when(v.rlike(INTEGER) & v.try_cast("long").isNotNull(), "int").when(v.rlike(NUMBER), "float")
         .when(F.lower(v).isin("true", "false"), "bool").otherwise("string")
     )
 
 
-def csv_timestamp(c: str, kind: str, pattern: str | None = None):
+def inferred_json(c: str) -> Column:
+    """A CSV value as JSON of its inferred type; numbers that JSON lacks (infinite, NaN) are 0."""
+    v, kind = F.col(c), inferred(c)
+    number = v.try_cast("double")
+    odd = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+    quoted = F.to_json(F.array(v))
+    return (
+        F.when(kind == "null", "null").when(kind == "int", v.try_cast("long").cast("string")).when(kind == "float", F.when(odd, "0").otherwise(number.cast("string")))
+        .when(kind == "bool", F.lower(v)).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    )
+
+
+#: ISO 8601: a time with zone, or one without zone (UTC) with the letter T.
+ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})|T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?)\z"
+
+
+def csv_timestamp(c: str, kind: str, pattern: str | None = None) -> Column:
+    """A CSV value as time, null if it isn't one: ``epoch_seconds``, ``epoch_millis``, ``custom`` by a pattern, else ISO 8601 (a date
+    alone is none)."""
     v = F.col(c)
     if kind == "epoch_seconds":
-        return F.timestamp_seconds(v.try_cast("long"))
+        return F.when(v.rlike(INTEGER), F.timestamp_seconds(v.try_cast("long")))
     if kind == "epoch_millis":
-        return F.timestamp_millis(v.try_cast("long"))
-    return F.try_to_timestamp(v, F.lit(pattern)) if pattern else F.try_to_timestamp(v)
+        return F.when(v.rlike(INTEGER), F.timestamp_millis(v.try_cast("long")))
+    return F.try_to_timestamp(v, F.lit(pattern)) if pattern else F.when(v.rlike(ISO), F.upper(v).try_cast("timestamp"))
+
+
+def csv_points(
+    spark: SparkSession, path: str, time_field: str, time_format: str = "iso8601", sep: str = ",", header: bool = True, on_error: str = "skip",
+    limit: int | None = None, pattern: str | None = None, fields: int | None = None,
+) -> DataFrame:
+    """Raw points of a CSV file: ``timestamp``, and ``payload``, the row as a JSON object of inferred types.
+
+    Columns without header are col_0, col_1, and so on, as many as ``fields`` says, or as the first row has; a time field that the
+    file lacks is an error. A row is bad if it has
+    another number of fields, or no time in the format: it ends the read (``fail``), is left out (``skip``), or
+    is kept with what is wrong in ``error`` (``log``). A limit counts bad rows too.
+    """
+    reader = spark.read.option("sep", sep).option("header", header)
+    if header:
+        names = reader.csv(path).columns
+    else:
+        names = [f"col_{i}" for i in range(fields or len(reader.csv(path).columns))]
+    if time_field not in names:
+        raise ValueError(f"there is no column {time_field!r} in {path}")
+    shape = ", ".join(f"`{c}` string" for c in [*names, CORRUPT])
+    rows = reader.schema(shape).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+    rows = rows if limit is None else rows.limit(limit)
+    time = csv_timestamp(time_field, time_format, pattern)
+    error = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("another number of fields: "), F.col(CORRUPT))).when(time.isNull(), F.concat(F.lit("no time: "), F.coalesce(time_field, F.lit(""))))
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f"{json.dumps(c)}:"), inferred_json(c)) for c in names]), F.lit("}"))
+    told = rows.select(time.alias("timestamp"), body.alias("payload"), error.alias("error"))
+    if on_error == "log":
+        return told
+    if on_error == "skip":
+        return told.where("error IS NULL").drop("error")
+    return told.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(True)).drop("error")
