@@ -39,3 +39,5 @@ def test_query(spark, duck, name):
         order = [names.index(c) for c in columns]
         assert sorted(names) == columns
         assert told(rows) == told([tuple(r[k] for k in order) for r in wanted.fetchall()])
+    else:
+        assert rows and all(any(v is not None for v in r) for r in rows)  # SQL can't tell these; other tests compare their values

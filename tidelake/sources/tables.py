@@ -186,25 +186,26 @@ INTEGER = r"^[+-]?[0-9]+\z"
 NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\z"
 
 
-def inferred(c: str) -> Column:
-    """The type of a CSV value: int (64 bits), else float, else bool, else null (empty), else string."""
-    v = F.col(c)
+def _by_type(v: Column, null: str, whole: Column | str, number: Column | str, truth: Column | str, text: Column | str) -> Column:
+    """One of five by the type of a CSV value, each type tested once."""
     return (
-        F.when(v.isNull() | (v == ""), "null").when(v.rlike(INTEGER) & v.try_cast("long").isNotNull(), "int").when(v.rlike(NUMBER), "float")
-        .when(F.lower(v).isin("true", "false"), "bool").otherwise("string")
+        F.when(v.isNull() | (v == ""), null).when(v.rlike(INTEGER) & v.try_cast("long").isNotNull(), whole).when(v.rlike(NUMBER), number)
+        .when(F.lower(v).isin("true", "false"), truth).otherwise(text)
     )
 
 
+def inferred(c: str) -> Column:
+    """The type of a CSV value: int (64 bits), else float, else bool, else null (empty), else string."""
+    return _by_type(F.col(c), "null", "int", "float", "bool", "string")
+
+
 def inferred_json(c: str) -> Column:
     """A CSV value as JSON of its inferred type; numbers that JSON lacks (infinite, NaN) are 0."""
-    v, kind = F.col(c), inferred(c)
+    v = F.col(c)
     number = v.try_cast("double")
     odd = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
-    quoted = F.to_json(F.array(v))
-    return (
-        F.when(kind == "null", "null").when(kind == "int", v.try_cast("long").cast("string")).when(kind == "float", F.when(odd, "0").otherwise(number.cast("string")))
-        .when(kind == "bool", F.lower(v)).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
-    )
+    quoted = F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]\z", "")
+    return _by_type(v, "null", v.try_cast("long").cast("string"), F.when(odd, "0").otherwise(number.cast("string")), F.lower(v), quoted)
 
 
 #: ISO 8601: a time with zone, or one without zone (UTC) with the letter T.
