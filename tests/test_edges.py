@@ -137,6 +137,9 @@ def test_scalars(spark):
         sc.ts_plus_duration(F.lit(T0), F.lit("P1DT2H")).alias("d"),
     ).first()
     assert tuple(row) == (None, 500, 1.0, at(26 * 60))
+    odd = spark.createDataFrame([(567.0,), (-1999.0,), (-1985.0,)], "x double")  # both orders of the operations come near a half
+    found = odd.select(sc.linear_interpolate(F.col("x"), 0.0, 100.0, 10.0, 60.0, share_first=True)).collect()
+    assert [r[0] for r in found] == [round(x / 100 * 50 + 10) for x in (567.0, -1999.0, -1985.0)] == [294, -989, -983]
 
 
 def values(spark, *columns):
