@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as sc
-from tidelake.operators import align, alerts, dq, events, features, merge, parsers, routing
+from tidelake.operators import align, alerts, dq, events, features, mapping, merge, parsers, routing
 from tidelake.operators.vectors import cosine_similarity, knn_exact, predict_breach
 from tidelake.session import shared_dir
 from tidelake.sources import tables
@@ -142,6 +142,16 @@ def test_scalars(spark):
     assert [r[0] for r in found] == [round(x / 100 * 50 + 10) for x in (567.0, -1999.0, -1985.0)] == [294, -989, -983]
 
 
+def test_numbers_as_text_keep_their_point(spark):
+    schema = [{"name": "n", "type": "int", "range": [10, 90]}]
+    rows = spark.createDataFrame([("n", 29.0), ("n", 29.5), ("n", None)], "metric string, value double")
+    assert [r["error"] for r in mapping.validate_points(rows, schema).collect()] == [None, "type_mismatch", "type_mismatch"]
+    text = rows.withColumn("value", F.col("value").cast("string"))
+    assert [r["error"] for r in mapping.validate_points(text, schema).collect()] == ["type_mismatch"] * 3
+    whole = spark.createDataFrame([("n", "29"), ("n", "95")], "metric string, value string")
+    assert [r["error"] for r in mapping.validate_points(whole, schema).collect()] == [None, "out_of_range"]
+
+
 def values(spark, *columns):
     return list(spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first())
 

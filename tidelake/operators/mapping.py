@@ -235,11 +235,13 @@ def validate_points(df: DataFrame, schema: list[dict], metric: str = "metric", v
     """``error`` of each point, or null: ``type_mismatch``, ``out_of_range`` or (strict) ``unknown_field``.
 
     schema: ``name``, ``type`` (float, int, string, bool, json) and an optional ``range`` of two bounds. A number is told without
-    a point if it is whole, so whole doubles pass as integers.
+    a point if it is whole, so whole doubles pass as integers; a value that comes as text is taken as it stands, so "29.0" does not.
     """
-    found, number = F.lit(None).cast("string"), F.col(value).try_cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 2.0**63)
-    text = F.when(whole, number.try_cast("bigint").cast("string")).otherwise(F.col(value).cast("string"))
+    found, text = F.lit(None).cast("string"), F.col(value).cast("string")
+    if df.schema[value].dataType.typeName() != "string":
+        number = F.col(value).try_cast("double")
+        whole = (number == F.floor(number)) & (F.abs(number) < 2.0**63)
+        text = F.when(whole, number.try_cast("bigint").cast("string")).otherwise(text)
     for f in schema:
         found = F.when(F.col(metric) == f["name"], value_error(text, f)).otherwise(found)
     known = F.col(metric).isin(*[f["name"] for f in schema])
