@@ -85,6 +85,31 @@ def test_sources_of_composite_keys_with_ties_and_nulls(spark):
     assert told(found, "id") == sorted(wanted, key=str)
 
 
+def test_whole_numbers_with_nulls_as_keys_stay_exact(spark):
+    big = 2**60
+    df = points(spark).select((F.col("id") + big).alias("id"), (F.col("id") % 3 + big).alias("u"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("m"), "ts", "primary", "v")
+    found = st.drain_turns(st.turns(df, 2, "id", "ts"), lambda x: stateful.dedup_sources(x, ["u", "m"], "ts", "id", "primary", 1200, F.col("v") > 95, "10 days"), "t")
+    rows, wanted = df.collect(), []
+    for r in rows:
+        near = [p for p in rows if p["primary"] and (p["u"], p["m"]) == (r["u"], r["m"]) and 0 <= (r["ts"] - p["ts"]).total_seconds() < 1200]
+        if r["primary"] or r["v"] > 95 or not near:
+            wanted.append((r["id"], r["u"], r["m"]))
+    assert 0 < len(wanted) < len(rows)
+    assert told(found.where("id IS NOT NULL"), "id", "u", "m") == sorted(wanted, key=str)
+
+
+def test_state_is_called_for_buckets_not_for_keys(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def step(rows, starts, states):
+        calls.add(1)
+        return rows[["id"]], [0.0] * len(starts)
+
+    df = points(spark).withColumn("u", F.col("id"))  # as many keys as rows
+    found = st.drain_turns(st.turns(df, 1, "id", "ts"), lambda x: stateful.in_order(x, ["u"], ["ts", "id"], "10 days", step, "id long", buckets=4), "t")
+    assert told(found.where("id IS NOT NULL"), "id") == told(df, "id") and calls.value <= 8
+
+
 def test_cooldown_in_shuffled_turns(spark):
     rules = [Rule("v", 90.0, None, 60.0, None, 1800)]
     df = points(spark).select("id", "k", "ts", F.when(F.col("id") % 40 == 0, float("nan")).when(F.col("id") % 41 == 0, float("inf")).otherwise(F.col("v")).alias("v"))
