@@ -110,6 +110,15 @@ def test_ewma_is_the_recurrence_whatever_the_chunk(spark):
         assert all(abs(g["ewma_mean"] - m) < 1e-9 and abs(g["ewma_var"] - s) < 1e-9 for g, (m, s) in zip(got, wanted, strict=True))
 
 
+def test_ewma_of_many_entities_and_of_rows_without_one(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3000 > 0, F.col("id") % 3000).alias("e"), F.when(F.col("id") % 7 > 0, F.col("id") * 1.0).alias("v"))
+    got = features.ewma(rows, "e", ["id"], "v", 0.5, 1)
+    means = {r["id"]: r["ewma_mean"] for r in got.collect()}
+    assert len(means) == 6000  # also those of the null entity
+    assert means[3001] == 3001.0 - 1500.0 and math.isnan(means[0]) and means[3000] == 3000.0 and math.isnan(means[7])
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no call a group
+
+
 def test_cooldown_tries_the_next_rule(spark):
     rules = [alerts.Rule("a", critical=90.0, min_critical=0.0, warning=70.0, cooldown_seconds=300), alerts.Rule("b", warning=1.0, cooldown_seconds=60)]
     rows = [(0, 0, 95.0, 0.0), (1, 1, 95.0, 2.0), (2, 1.5, 95.0, 2.0), (3, 2, 75.0, 0.0), (4, 3, -1.0, 0.0), (5, 5, -1.0, 2.0), (6, 6, None, None)]
