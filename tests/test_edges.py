@@ -220,3 +220,11 @@ def test_replacing_a_table_leaves_one_table(spark, tmp_path):
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_a_mapping_computes_its_columns_once(spark):
+    from tidelake.plans import q_rules
+
+    mapped = mapping.field_mapping(q_rules.micros(spark, "/root/testdata/sf0.001"), q_rules.FULL, F.lit(T0))
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("timestamp_micros") == 1 and plan.count("inline(") == 3

@@ -95,6 +95,12 @@ def _in_order(fields: list[dict]) -> list[dict]:
     return done
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` whose columns are computed once a row: an expression over them, or a filter pushed below them, would otherwise repeat
+    theirs wherever it names them, and theirs repeat others in turn."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def field_mapping(df: DataFrame, config: dict, ingested: Column | None = None) -> DataFrame:
     """The table that a mapping describes: the time, the identity fields, each mapped field as its type, and the flags.
 
@@ -118,7 +124,7 @@ def field_mapping(df: DataFrame, config: dict, ingested: Column | None = None) -
         else:
             transform = None if kind == "json_extract" else f.get("transform")
             read.append(_typed(transformed(_source_of(df, f), transform), TYPES[f["type"]]).alias(name))
-    found = df.select(*read, *([ingested.alias("ingestion_time")] if ingested is not None else []))
+    found = _once(df.select(*read, *([ingested.alias("ingestion_time")] if ingested is not None else [])))
     for f in fields:
         if f["target_column"] in later:
             name = later[f["target_column"]]  # in place of the word, but not of text in quotes
@@ -129,12 +135,14 @@ def field_mapping(df: DataFrame, config: dict, ingested: Column | None = None) -
     for f in fields:
         if not f.get("nullable", True):
             found = found.where(F.col(f["target_column"]).isNotNull())
+    found = _once(found)
     rules = [{"field": f["target_column"]} | r for f in fields for r in f.get("dq_rules", [])] + config.get("dq_rules", [])
     output = config.get("dq_output", {})
     flags = output.get("target_column", "dq_flags")
     order = [c["target"] for c in config.get("identity_fields", [])], time["target_field"]
     told = [rule_column(r, *order) for r in rules]
     found = found.withColumn(flags, dq.flags(*told) if told else F.array().cast("array<string>"))
+    found = _once(found)
     for r in rules:
         if r.get("action") == "drop":
             prefix = f"cross_field_check:{r['name']}" if r["rule"] == "cross_field_check" else f"{r['rule']}:{r['field']}:"
