@@ -402,6 +402,29 @@ def test_line_dedup_of_a_large_group_of_variants(spark):
     assert all(find(a) == find(b) for a, b in found.items())
 
 
+def test_line_dedup_loses_no_link_of_a_band(spark):
+    """Of lines that agree in a band, in groups far larger than those compared pair by pair, each link stays within a component, and
+    no other line comes in."""
+    rand, base = random.Random(9), prose(78, 40)
+    lines = {" ".join(base)}
+    while len(lines) < 300:
+        words = list(base) if rand.random() < 0.5 else rand.choice(sorted(lines)[:40]).split(" ")
+        for _ in range(rand.randint(1, 8)):
+            words[rand.randrange(len(words))] = rand.choice(WORDS)
+        lines.add(" ".join(words))
+    lines = sorted(lines)
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    frame = spark.createDataFrame(list(enumerate(lines)), "key long, line string").withColumn("place", F.col("key"))
+    signed = _signed(frame).cache()
+    bands = {r["key"]: set(r["bands"]) for r in signed.collect()}
+    links = [(a, b) for a in range(300) for b in range(a) if bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r["node"]: r["component"] for r in _united(frame, signed, 0.8).collect()}
+    lost = [(a, b) for a, b in links if a not in found or found[a] != found.get(b)]
+    assert len(links) > 400 and not lost, (len(links), len(lost))
+    known = classes(300, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert all(known[a] == known[b] for a, b in found.items())
+
+
 def test_line_dedup_edges(spark):
     frame = edge_frame(spark)
     found = dedup_lines(frame, count=True)

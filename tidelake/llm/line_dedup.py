@@ -4,14 +4,17 @@
    give the MinHash values, pre-aggregated on the map side. Copies of a line share its hash and count once from here on.
 2. Lines that agree in a band meet. Each is verified against the centre of its band, the line that shares its bands
    with most others, by the exact Jaccard similarity of their shingle sets: as many pairs as lines, not all pairs.
-3. Two lines that are similar to each other but not both to the centre have to share some of what sets them apart
-   from it. So a second MinHash is taken of each line's difference from its centre, and lines of a band meet again
-   where they agree in it: pair by pair in groups of at most ``SMALL`` lines, else each with the line nearest to the
-   centre. Small bands need no second MinHash; their lines meet pair by pair at once.
+3. Lines of a band that are not in one component yet meet again, pair by pair where at most ``SMALL`` lines have the
+   centre, else in cells: a cell is a shingle that sets its lines apart from the centre, and a line enters the cells of
+   as many of these differences as a similar line must have one of. In large cells two lines are compared with all
+   others first, and then whatever pairs are still in different components, in tiles.
 4. Of each component and of each set of copies one line stays: the one in the smallest document, first place.
 
-Why step 3 holds: let lines x and y differ from the centre c by dx = |x ^ c| and dy = |y ^ c| shingles. If they shared
-none of these differences, |x ^ y| would be dx + dy, so y could be no more similar to x than to c itself.
+Why step 3 loses no pair of a band: let lines x and y, similar by at least t, differ from the centre c by the shingles
+Dx = x ^ c and Dy = y ^ c. If Dx and Dy were disjoint, x & y would be c without what either lacks, and x | y would hold
+c and what either adds, so both were as similar to c as to each other, and in its component. Else let o be the first
+shingle, by any order all lines of the star share, in both. What precedes it in Dx is not in Dy, hence in x ^ y, which
+has at most (1 - t) / t * |x| shingles: o is among so many of Dx and one more, and likewise of Dy. Both are in its cell.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .names import unused
 SHINGLE = 8  # characters
 BANDS, ROWS = 8, 3  # a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**3)**8 = 0.997
 SMALL = 8  # lines that meet pair by pair
-AGAIN = 8  # MinHash values of a line's difference from its centre
+TILE = 256  # lines of a part of a large cell; two parts meet in a tile
 CELLS = 1 << 20  # bound of the broadcast table that sorts out lines without partner before the shuffle
 
 
@@ -120,47 +123,85 @@ def _shingles(side: str) -> Column:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with ``na, nb``, the sizes of their shingle sets, ``more`` and ``less``, what b has and lacks
-    compared to a, and ``j``, the exact Jaccard similarity."""
+    """The pairs (a, b) with ``x, y``, their shingle sets, ``na, nb``, the sizes of these, ``d``, in how many shingles
+    they differ, and ``j``, the exact Jaccard similarity."""
     both = pairs
     for side in "ab":
         both = both.join(texts.select(F.col("key").alias(side), *[F.col(c).alias(c + side) for c in ("units", "wide", "last")]), side)
     sets = both.select(*pairs.columns, _shingles("a").alias("x"), _shingles("b").alias("y"))
-    apart = sets.select(*pairs.columns, F.size("x").alias("na"), F.size("y").alias("nb"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
-    return apart.withColumn("j", (F.col("nb") - F.size("more")) / (F.col("na") + F.size("more")))
+    shared = sets.select("*", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    either = F.col("na") + F.col("nb") - F.col("shared")
+    return shared.withColumn("j", F.col("shared") / either).withColumn("d", either - F.col("shared"))
 
 
 def _pairwise(rows: DataFrame, group: str) -> DataFrame:
-    """``a, b``: pairs of lines (key) of a small group that are in different components (own)."""
+    """``a, b, owna, ownb, na, nb``: pairs of lines (key) of a small group that are in different components (own)."""
     one, two = (rows.select(group, F.col("key").alias(x), F.col("own").alias("own" + x), F.col("n").alias("n" + x)) for x in "ab")
-    return one.join(two, group).where("a < b AND owna <> ownb").select("a", "b", "na", "nb")
+    return one.join(two, group).where("a < b AND owna <> ownb").select("a", "b", "owna", "ownb", "na", "nb")
 
 
-def _cells() -> Column:
-    """A second MinHash of a line, of what it has (``more``) and lacks (``less``) compared to its centre ``a``."""
-    differences = F.concat("more", F.transform("less", F.bitwise_not))
-    lows = [F.xxhash64("a", F.lit(k), F.array_min(F.transform(differences, lambda e, k=k: F.xxhash64(F.lit(k), e)))) for k in range(AGAIN)]
-    return F.when((F.col("size") > SMALL) & (F.size(differences) > 0), F.array(*lows))
+def _differences(least: float) -> Column:
+    """Of the shingles that set a line (y) apart from its centre (x) those whose cells it enters: what it adds first,
+    as fewer lines share that than what they lack."""
+    apart = F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.transform(F.array_except("x", "y"), F.bitwise_not)))
+    return F.slice(apart, F.lit(1), F.floor(F.col("nb") / least - F.col("nb") + 1e-6).cast("int") + 1)
 
 
-def _second_meeting(scored: DataFrame, united: DataFrame) -> DataFrame:
-    """``a, b, na, nb``: pairs that may be similar though they are not both similar to their centre."""
+def _cells(rest: DataFrame) -> DataFrame:
+    """``cell, key, own, n, d, lines``: the cells in which lines of several components of a large star meet."""
+    each = rest.select(F.col("b").alias("key"), "own", F.explode("apart").alias("e"), "a", F.col("nb").alias("n"), "d")
+    each = each.select(F.xxhash64("a", "e").alias("cell"), "key", "own", "n", "d").repartition("cell")
+    return each.join(_mixed(each), "cell")
+
+
+def _mixed(cells: DataFrame, *more: Column) -> DataFrame:
+    """The cells that have lines of several components, with ``lines``, how many they have."""
+    return cells.groupBy("cell").agg(F.count("*").alias("lines"), F.min("own").alias("low"), F.max("own").alias("high"), *more).where("low <> high").drop("low", "high")
+
+
+def _met(met: DataFrame, least: float) -> DataFrame:
+    """``a, b, owna, ownb``: of pairs (x, y) of lines of a star those that may be similar by their sizes and distances from the centre."""
+    apart = F.lit((1 - least) / (1 + least)) * (F.col("x.n") + F.col("y.n")) + 1e-6  # what similar lines differ in, at most
+    sizes = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-6
+    near = met.where("x.own <> y.own").where(sizes & (F.abs(F.col("x.d") - F.col("y.d")) <= apart))
+    first = F.col("x.key") < F.col("y.key")
+    ends = [F.when(first, x).otherwise(y).alias(end) for end, x, y in zip("ab", (F.col("x"), F.col("y")), (F.col("y"), F.col("x")), strict=True)]
+    return near.select(*ends).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.own").alias("owna"), F.col("b.own").alias("ownb")).distinct()
+
+
+def _tiled(cells: DataFrame) -> DataFrame:
+    """``x, y``: all pairs of lines of each cell, once for a cell, in tiles of two parts of about ``TILE`` lines."""
+    parts = F.ceil(F.col("lines") / TILE).cast("int")
+    dealt = cells.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    line = F.struct("key", "own", "n", "d")
+    one = dealt.select("cell", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), line.alias("x"))
+    two = dealt.select("cell", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), line.alias("y"))
+    return one.join(two, ["cell", "i", "j"]).where("i < j OR x.key < y.key").select("x", "y")
+
+
+def _second_meeting(scored: DataFrame, united: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links between lines of a star that the links with its centre leave in different components; of all
+    such links as many as join what is to be joined."""
     labelled = scored.join(united.select(F.col("node").alias("b"), "component"), "b", "left")
     rows = labelled.withColumn("own", F.coalesce("component", "b"))
     groups = rows.groupBy("a").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("a")
-    held = rows.join(groups, "a")
-    few = _pairwise(held.where(F.col("size") <= SMALL).select(F.col("a").alias("centre"), F.col("b").alias("key"), "own", F.col("nb").alias("n")), "centre")
+    rest = rows.join(groups, "a")
+    few = _pairwise(rest.where(F.col("size") <= SMALL).select(F.col("a").alias("centre"), F.col("b").alias("key"), "own", F.col("nb").alias("n")), "centre")
+    fit = few.where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b", "owna", "ownb")
+
+    cells = stash(_cells(rest.where(F.col("size") > SMALL)), "cells")
+    line = F.struct("key", "own", "n", "d")
+    # the line nearest to the centre, and one by chance, which is another one in each cell
+    hubs = cells.where(F.col("lines") > SMALL).groupBy("cell").agg(F.min_by(line, F.struct("d", "key")).alias("near"), F.min_by(line, F.xxhash64("cell", "key")).alias("chance"))
+    stars = cells.join(hubs.select("cell", F.explode(F.array("near", "chance")).alias("y")), "cell").select(line.alias("x"), "y")
+    small = _tiled(cells.where(F.col("lines") <= SMALL))
+    pairs = stash(fit.unionByName(_met(stars.unionByName(small), least)).distinct(), "pairs")
+    first = stash(_compared(pairs, texts).where(F.col("j") >= least).select("a", "b", "owna", "ownb"), "links")
 
-    dealt = held.where(F.col("size") > SMALL).select(F.col("b").alias("key"), "own", F.col("nb").alias("n"), "d", F.explode("cells").alias("cell"))
-    nearest = F.min(F.struct("d", "key", "own", "n")).alias("nearest")
-    shared = dealt.groupBy("cell").agg(F.count("*").alias("size"), F.min("own").alias("low"), F.max("own").alias("high"), nearest).where("low <> high")
-    again = dealt.join(shared.select("cell", "size", "nearest"), "cell")
-    close = _pairwise(again.where(F.col("size") <= SMALL).select("cell", "key", "own", "n"), "cell")
-    many = again.where(F.col("size") > SMALL).where("own <> nearest.own")
-    star = many.select(F.least("key", "nearest.key").alias("a"), F.greatest("key", "nearest.key").alias("b"),
-                       F.when(F.col("key") < F.col("nearest.key"), F.col("n")).otherwise(F.col("nearest.n")).alias("na"),
-                       F.when(F.col("key") < F.col("nearest.key"), F.col("nearest.n")).otherwise(F.col("n")).alias("nb"))
-    return few.unionByName(close).unionByName(star).distinct()
+    joined = components(first, "owna", "ownb").select(F.col("node").alias("own"), F.col("component").alias("owner"))
+    now = cells.where(F.col("lines") > SMALL).drop("lines").join(joined, "own", "left").withColumn("own", F.coalesce("owner", "own")).drop("owner")
+    pairs = _met(_tiled(now.join(_mixed(now), "cell")), least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return first.select("a", "b").unionByName(_compared(pairs, texts).where(F.col("j") >= least).select("a", "b"))
 
 
 def _united(lines: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -175,12 +216,10 @@ def _united(lines: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     texts = stash(_coded(found.dropDuplicates(["key"]), "key"), "texts")
 
     compared = _compared(_stars(members, signed), texts)
-    scored = stash(compared.select("a", "b", "size", "nb", "j", (F.size("more") + F.size("less")).alias("d"), _cells().alias("cells")), "links")
+    scored = stash(compared.select("a", "b", "size", "nb", "j", "d", F.when(F.col("size") > SMALL, _differences(least)).alias("apart")), "links")
     linked = scored.where(F.col("j") >= least).select("a", "b")
     united = components(linked)
-    pairs = stash(_second_meeting(scored, united), "pairs")
-    fit = pairs.where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b")
-    more = stash(_compared(fit, texts).where(F.col("j") >= least).select("a", "b"), "links")
+    more = stash(_second_meeting(scored, united, texts, least), "links")
     return united if more.isEmpty() else components(linked.unionByName(more))
 
 
