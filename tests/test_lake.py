@@ -191,6 +191,24 @@ def test_index_prunes_clustered_data_and_takes_odd_rows(spark, tmp_path):
         ann_index.build_index(df.where("vec_id > 9000"), str(tmp_path / "none"))
 
 
+def test_index_scores_a_bounded_part_of_the_queries_at_once(spark, tmp_path, monkeypatch):
+    """The same rows by whatever parts, and no task sees all queries of a list."""
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    df, path = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), str(tmp_path / "index")
+    ann_index.build_index(df, path)
+    whole = ann_index.search_index(df, path, 5).collect()
+
+    def scores(self, x, lists, codes, of=ann_index.Index.scores):
+        if len(x) > 60:
+            raise MemoryError(len(x))
+        return of(self, x, lists, codes)
+
+    opened = ann_index.open_index(spark, path)
+    bounded = type("Bounded", (ann_index.Index,), {"scores": scores})
+    monkeypatch.setattr(ann_index, "open_index", lambda *_: (bounded(*vars(opened[0]).values()), opened[1]))
+    assert sorted(ann_index.search_index(df, path, 5, asking=20).collect()) == sorted(whole) and len(whole) == 2000
+
+
 def test_profiles_and_gaps_of_odd_payloads(spark):
     texts = ['{"a":{"b":[1,[2.5,null],{"c":"x"}]},"d":null}', '{"d":9,"a":[]}', "[1]", "5", "bad", "", None, "{}"]
     df = spark.createDataFrame([(t,) for t in texts], "p string")
