@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelake.llm import catalog, packing
+from tidelake.llm import catalog, line_dedup, packing
 from tidelake.llm.decontaminate import contaminated, without_contaminated
 from tidelake.llm.jaccard_join import jaccard_join, one_of_each, prefix_depth
 from tidelake.llm.licenses import KNOWN, license_scan
@@ -28,6 +28,7 @@ from tidelake.llm.personal import _keyed, base_spans, disclosing_terms, personal
 from tidelake.llm.quality import STATISTICS, FourierMap, isotonic, keep_good, normal_equations, quality_scores, summed
 from tidelake.llm.token_counts import PrefixTable, count_at, longest_within, token_counts, truncate
 from tidelake.llm.warc import ARC_FIELDS, arc_records, arc_to_warc, archive_pages, payload_digest, read_warc, warc_records, write_arc
+from tidelake.session import stash
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -425,6 +426,30 @@ def test_line_dedup_loses_no_link_of_a_band(spark):
     assert all(known[a] == known[b] for a, b in found.items())
 
 
+def test_line_dedup_makes_few_more_pairs_than_links(spark, monkeypatch):
+    """Of a large group of variants hardly a pair is made that isn't a link."""
+    rand, base = random.Random(11), prose(79, 40)
+    lines = {" ".join(base)}
+    while len(lines) < 300:
+        words = list(base) if rand.random() < 0.5 else rand.choice(sorted(lines)[:40]).split(" ")
+        for _ in range(rand.randint(1, 8)):
+            words[rand.randrange(len(words))] = rand.choice(WORDS)
+        lines.add(" ".join(words))
+    lines, made = sorted(lines), []
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    links = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in range(300) for b in range(a))
+
+    def kept(df, label, *more):
+        found = stash(df, label, *more)
+        if label in ("cells", "pairs"):
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "stash", kept)
+    dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOC)).count()
+    assert made and 0 < sum(made) <= links, (made, links)
+
+
 def test_line_dedup_edges(spark):
     frame = edge_frame(spark)
     found = dedup_lines(frame, count=True)

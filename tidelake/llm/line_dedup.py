@@ -1,24 +1,24 @@
 """Near-duplicate lines: MinHash over character shingles, banding, exact Jaccard, union-find. DataFrame functions only.
 
-1. Each line's shingles are hashed once; XOR with fixed masks and multiplication by fixed odd numbers (modulo 2^32)
-   give the MinHash values, pre-aggregated on the map side. Copies of a line share its hash and count once from here on.
+1. Each line's shingles are hashed once, to 64 bits. Three windows of the hash are three orders of the shingles; XOR with
+   masks whose leading bits differ starts each in eight places, which gives the MinHash values, pre-aggregated on the
+   map side. Copies of a line share its hash and count once from here on.
 2. Lines that agree in a band meet. Each is verified against the centre of its band, the line that shares its bands
    with most others, by the exact Jaccard similarity of their shingle sets: as many pairs as lines, not all pairs.
-3. Lines of a band that are not in one component yet meet again, pair by pair where at most ``SMALL`` lines have the
-   centre, else in cells: a cell is a shingle that sets its lines apart from the centre, and a line enters the cells of
-   as many of these differences as a similar line must have one of. In large cells two lines are compared with all
-   others first, and then whatever pairs are still in different components, in tiles.
+3. Lines of a star that are not in one component yet meet again in tiles. A pair is passed on, to be verified from its
+   texts, only if its sketches allow it, so hardly more pairs are made than there are links.
 4. Of each component and of each set of copies one line stays: the one in the smallest document, first place.
 
-Why step 3 loses no pair of a band: let lines x and y, similar by at least t, differ from the centre c by the shingles
-Dx = x ^ c and Dy = y ^ c. If Dx and Dy were disjoint, x & y would be c without what either lacks, and x | y would hold
-c and what either adds, so both were as similar to c as to each other, and in its component. Else let o be the first
-shingle, by any order all lines of the star share, in both. What precedes it in Dx is not in Dy, hence in x ^ y, which
-has at most (1 - t) / t * |x| shingles: o is among so many of Dx and one more, and likewise of Dy. Both are in its cell.
+Why step 3 loses no pair: lines of na and nb shingles are similar by at least t if and only if they differ in at most
+(1 - t) / (1 + t) * (na + nb) shingles. The sketch of a line holds, for each of some bits, the parity of how many of the
+shingles that set it apart from the centre have that bit. What two such differences share cancels out, so the XOR of two
+sketches is the sketch of what sets the lines apart from each other: it has at most as many bits as they differ in shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ from .names import unused
 
 SHINGLE = 8  # characters
 BANDS, ROWS = 8, 3  # a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**3)**8 = 0.997
-SMALL = 8  # lines that meet pair by pair
-TILE = 256  # lines of a part of a large cell; two parts meet in a tile
+WORDS = 16  # of 64 bits, in a sketch
+TILE = 512  # lines of a part of a large star; two parts meet in a tile
 CELLS = 1 << 20  # bound of the broadcast table that sorts out lines without partner before the shuffle
 
 
@@ -42,16 +42,13 @@ def _masks(n: int) -> list[int]:
     return found
 
 
-def _mixers(n: int) -> list[tuple[int, int]]:
-    """A mask and an odd number below 2^31 for each MinHash value."""
-    found = _masks(2 * n)
-    return [(m & 0xFFFFFFFF, x & 0x3FFFFFFF | 0x40000001) for m, x in zip(found[:n], found[n:], strict=True)]
-
-
-def _value(h: Column, mask: int, odd: int) -> Column:
-    """The order of the hashes anew: masks alone would let values that share leading bits pick the same shingle."""
-    low = F.lit(0xFFFFFFFF)
-    return (h.bitwiseXOR(F.lit(mask)) * F.lit(odd)).bitwiseAND(low)
+def _orders() -> list[tuple[int, int]]:
+    """How far the hash is shifted and the mask, for each MinHash value, band by band. The leading bits of a mask are the
+    number of its band, so the bands take their shingles from different parts of the hashes: masks alike in these bits
+    would let several bands pick the same shingle. The rows of a band are different windows of the hash."""
+    low = iter(_masks(2 * BANDS * ROWS))
+    masks = [(b - BANDS // 2 << 61) + ((next(low) & 0x1FFFFFFF) << 32) + (next(low) & 0xFFFFFFFF) for b in range(BANDS) for _ in range(ROWS)]
+    return [(64 // ROWS * (k % ROWS), mask) for k, mask in enumerate(masks)]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -92,8 +89,8 @@ def _signed(lines: DataFrame) -> DataFrame:
     # the encoding stands in a projection of its own, below the generator: once per line, not per shingle
     each = _coded(lines, "key", "place").select("key", "place", "units", "wide", F.explode(_starts()).alias("at"))
     shingle = F.when(F.col("wide"), _fours(F.col("units"), F.col("at"))).otherwise(_pairs(F.col("units"), F.col("at")))
-    hashed = each.select("key", "place", F.hash(shingle).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), (F.col("at") == 1).alias("first"))
-    lows = [F.min(_value(F.col("h"), *x)).alias(f"m{k}") for k, x in enumerate(_mixers(BANDS * ROWS))]
+    hashed = each.select("key", "place", F.xxhash64(shingle).alias("h"), (F.col("at") == 1).alias("first"))
+    lows = [F.min(F.shiftleft("h", by).bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, (by, mask) in enumerate(_orders())]
     signed = hashed.groupBy("key").agg(*lows, F.count_if("first").alias("n"), F.min("place").alias("place"))
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + k}") for k in range(ROWS)]) for b in range(BANDS)]
     return signed.select("key", "n", "place", F.array(*bands).alias("bands"))
@@ -118,8 +115,12 @@ def _stars(members: DataFrame, signed: DataFrame) -> DataFrame:
 def _shingles(side: str) -> Column:
     """The set of a line's shingles, each as a 64-bit hash."""
     units, at = F.col("units" + side), _starts(side)
-    wide = F.transform(at, lambda i: F.xxhash64(_fours(units, i)))
-    return F.array_distinct(F.when(F.col("wide" + side), wide).otherwise(F.transform(at, lambda i: F.xxhash64(_pairs(units, i)))))
+
+    def each(cut: Callable[[Column, Column], Column]) -> Column:
+        # the bytes are the variable of an outer function: from the row they would be copied for each shingle
+        return F.transform(F.array(units), lambda u: F.transform(at, lambda i: F.xxhash64(cut(u, i))))[0]
+
+    return F.array_distinct(F.when(F.col("wide" + side), each(_fours)).otherwise(each(_pairs)))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -134,74 +135,40 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return shared.withColumn("j", F.col("shared") / either).withColumn("d", either - F.col("shared"))
 
 
-def _pairwise(rows: DataFrame, group: str) -> DataFrame:
-    """``a, b, owna, ownb, na, nb``: pairs of lines (key) of a small group that are in different components (own)."""
-    one, two = (rows.select(group, F.col("key").alias(x), F.col("own").alias("own" + x), F.col("n").alias("n" + x)) for x in "ab")
-    return one.join(two, group).where("a < b AND owna <> ownb").select("a", "b", "owna", "ownb", "na", "nb")
-
-
-def _differences(least: float) -> Column:
-    """Of the shingles that set a line (y) apart from its centre (x) those whose cells it enters: what it adds first,
-    as fewer lines share that than what they lack."""
-    apart = F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.transform(F.array_except("x", "y"), F.bitwise_not)))
-    return F.slice(apart, F.lit(1), F.floor(F.col("nb") / least - F.col("nb") + 1e-6).cast("int") + 1)
-
+def _sketched(compared: DataFrame) -> DataFrame:
+    """``a, b, size, nb, d, j`` and the words ``s0, s1, ...`` of the sketch of what sets b apart from a; zeros where no other line has the centre."""
+    apart = F.when(F.col("size") > 1, F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
+    own = ("a", "b", "size", "nb", "d", "j")
+    each = compared.select(*own, F.explode_outer(apart).alias("e"))
+    word, bit = F.shiftright("e", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(e & 63 as int))")
+    return each.groupBy(*own).agg(*[F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0)).alias(f"s{k}") for k in range(WORDS)])
 
-def _cells(rest: DataFrame) -> DataFrame:
-    """``cell, key, own, n, d, lines``: the cells in which lines of several components of a large star meet."""
-    each = rest.select(F.col("b").alias("key"), "own", F.explode("apart").alias("e"), "a", F.col("nb").alias("n"), "d")
-    each = each.select(F.xxhash64("a", "e").alias("cell"), "key", "own", "n", "d").repartition("cell")
-    return each.join(_mixed(each), "cell")
 
-
-def _mixed(cells: DataFrame, *more: Column) -> DataFrame:
-    """The cells that have lines of several components, with ``lines``, how many they have."""
-    return cells.groupBy("cell").agg(F.count("*").alias("lines"), F.min("own").alias("low"), F.max("own").alias("high"), *more).where("low <> high").drop("low", "high")
-
-
-def _met(met: DataFrame, least: float) -> DataFrame:
-    """``a, b, owna, ownb``: of pairs (x, y) of lines of a star those that may be similar by their sizes and distances from the centre."""
-    apart = F.lit((1 - least) / (1 + least)) * (F.col("x.n") + F.col("y.n")) + 1e-6  # what similar lines differ in, at most
-    sizes = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-6
-    near = met.where("x.own <> y.own").where(sizes & (F.abs(F.col("x.d") - F.col("y.d")) <= apart))
-    first = F.col("x.key") < F.col("y.key")
-    ends = [F.when(first, x).otherwise(y).alias(end) for end, x, y in zip("ab", (F.col("x"), F.col("y")), (F.col("y"), F.col("x")), strict=True)]
-    return near.select(*ends).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.own").alias("owna"), F.col("b.own").alias("ownb")).distinct()
-
-
-def _tiled(cells: DataFrame) -> DataFrame:
-    """``x, y``: all pairs of lines of each cell, once for a cell, in tiles of two parts of about ``TILE`` lines."""
+def _tiled(rest: DataFrame, least: float) -> DataFrame:
+    """``a, b``: pairs of lines of a star (``centre, key, own, n, d, lines`` and a sketch) in different components (own) that
+    may be similar; in tiles of two parts of about ``TILE`` lines."""
     parts = F.ceil(F.col("lines") / TILE).cast("int")
-    dealt = cells.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    line = F.struct("key", "own", "n", "d")
-    one = dealt.select("cell", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), line.alias("x"))
-    two = dealt.select("cell", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), line.alias("y"))
-    return one.join(two, ["cell", "i", "j"]).where("i < j OR x.key < y.key").select("x", "y")
+    dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    line = ["key", "own", "n", "d", *[f"s{k}" for k in range(WORDS)]]
+    one = dealt.select("centre", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), *[F.col(c).alias("x_" + c) for c in line])
+    two = dealt.select("centre", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), *[F.col(c).alias("y_" + c) for c in line])
+    apart = F.lit((1 - least) / (1 + least)) * (F.col("x_n") + F.col("y_n")) + 1e-6  # what similar lines differ in, at most
+    sizes = F.least("x_n", "y_n") >= F.lit(least) * F.greatest("x_n", "y_n") - 1e-6
+    bits = [F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(WORDS)]
+    near = (F.abs(F.col("x_d") - F.col("y_d")) <= apart) & (sum(bits[1:], bits[0]) <= apart)
+    met = one.join(two, ["centre", "i", "j"]).where("(i < j OR x_key < y_key) AND x_own <> y_own").where(sizes & near)
+    return met.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def _second_meeting(scored: DataFrame, united: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``a, b``: links between lines of a star that the links with its centre leave in different components; of all
-    such links as many as join what is to be joined."""
-    labelled = scored.join(united.select(F.col("node").alias("b"), "component"), "b", "left")
+    """``a, b``: the links between lines of a star that the links with its centre leave in different components."""
+    labelled = scored.where("size > 1").join(united.select(F.col("node").alias("b"), "component"), "b", "left")
     rows = labelled.withColumn("own", F.coalesce("component", "b"))
     groups = rows.groupBy("a").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("a")
-    rest = rows.join(groups, "a")
-    few = _pairwise(rest.where(F.col("size") <= SMALL).select(F.col("a").alias("centre"), F.col("b").alias("key"), "own", F.col("nb").alias("n")), "centre")
-    fit = few.where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b", "owna", "ownb")
-
-    cells = stash(_cells(rest.where(F.col("size") > SMALL)), "cells")
-    line = F.struct("key", "own", "n", "d")
-    # the line nearest to the centre, and one by chance, which is another one in each cell
-    hubs = cells.where(F.col("lines") > SMALL).groupBy("cell").agg(F.min_by(line, F.struct("d", "key")).alias("near"), F.min_by(line, F.xxhash64("cell", "key")).alias("chance"))
-    stars = cells.join(hubs.select("cell", F.explode(F.array("near", "chance")).alias("y")), "cell").select(line.alias("x"), "y")
-    small = _tiled(cells.where(F.col("lines") <= SMALL))
-    pairs = stash(fit.unionByName(_met(stars.unionByName(small), least)).distinct(), "pairs")
-    first = stash(_compared(pairs, texts).where(F.col("j") >= least).select("a", "b", "owna", "ownb"), "links")
-
-    joined = components(first, "owna", "ownb").select(F.col("node").alias("own"), F.col("component").alias("owner"))
-    now = cells.where(F.col("lines") > SMALL).drop("lines").join(joined, "own", "left").withColumn("own", F.coalesce("owner", "own")).drop("owner")
-    pairs = _met(_tiled(now.join(_mixed(now), "cell")), least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return first.select("a", "b").unionByName(_compared(pairs, texts).where(F.col("j") >= least).select("a", "b"))
+    rest = rows.join(groups, "a").select(
+        F.col("a").alias("centre"), F.col("b").alias("key"), "own", F.col("nb").alias("n"), "d", F.col("size").alias("lines"), *[f"s{k}" for k in range(WORDS)]
+    )
+    return _compared(stash(_tiled(rest, least), "pairs"), texts).where(F.col("j") >= least).select("a", "b")
 
 
 def _united(lines: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -215,8 +182,7 @@ def _united(lines: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     found = near.join(wanted, ["key", "place"], "left_semi").select("key", "line")
     texts = stash(_coded(found.dropDuplicates(["key"]), "key"), "texts")
 
-    compared = _compared(_stars(members, signed), texts)
-    scored = stash(compared.select("a", "b", "size", "nb", "j", "d", F.when(F.col("size") > SMALL, _differences(least)).alias("apart")), "links")
+    scored = stash(_sketched(_compared(_stars(members, signed), texts)), "links")
     linked = scored.where(F.col("j") >= least).select("a", "b")
     united = components(linked)
     more = stash(_second_meeting(scored, united, texts, least), "links")
