@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelake.llm import catalog, line_dedup, packing
+from tidelake.llm import catalog, line_dedup, packing, quality
 from tidelake.llm.decontaminate import contaminated, without_contaminated
 from tidelake.llm.jaccard_join import jaccard_join, one_of_each, prefix_depth
 from tidelake.llm.licenses import KNOWN, license_scan
@@ -28,7 +28,7 @@ from tidelake.llm.personal import _keyed, base_spans, disclosing_terms, personal
 from tidelake.llm.quality import STATISTICS, FourierMap, isotonic, keep_good, normal_equations, quality_scores, summed
 from tidelake.llm.token_counts import PrefixTable, count_at, longest_within, token_counts, truncate
 from tidelake.llm.warc import ARC_FIELDS, arc_records, arc_to_warc, archive_pages, payload_digest, read_warc, warc_records, write_arc
-from tidelake.session import stash
+from tidelake.session import BATCH_ROWS, stash
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -599,3 +599,25 @@ def test_every_operator_is_registered():
     names = catalog.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(catalog.oracle_sql()) <= set(names)
+
+
+def test_python_gets_few_texts_at_once(spark, monkeypatch):
+    before, most = spark.conf.get(BATCH_ROWS), {}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    found = stash(spark.range(0, 1000, 1, 1).mapInPandas(sizes, "n long"), "sizes", 100).collect()
+    assert max(r["n"] for r in found) == 100 and sum(r["n"] for r in found) == 1000 and spark.conf.get(BATCH_ROWS) == before
+
+    def kept(df, label, rows=None):
+        most[label] = rows
+        return stash(df, label, rows)
+
+    monkeypatch.setattr(quality, "stash", kept)
+    monkeypatch.setattr(packing, "stash", kept)
+    docs = spark.createDataFrame([(k, " ".join(prose(k, 30))) for k in range(20)], DOC)
+    quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert most == {"statistics": 500, "pieces": 500}

@@ -27,6 +27,7 @@ from .quality import summed
 from .shingles import word_hashes
 
 ITEMS = 2000  # benchmark items searched together; more are searched in further blocks
+TEXTS = 1024  # rows that a Python worker holds at once
 HALF = 16  # words of half a passage; passages overlap by half
 RANK = 128
 COSINE = 0.25
@@ -360,7 +361,7 @@ def contaminated(
         items = Items([r["item"] for r in rows], [r["text"] for r in rows])
         if not items.words:
             continue
-        numbered = stash(_numbers(read, items), "words")
+        numbered = stash(_numbers(read, items), "words", TEXTS)
         frequency = _document_frequencies(numbered, len(items.vocabulary))
         total = max(1, numbered.count())
         # a word that no document holds still tells items apart, so it gets the largest weight

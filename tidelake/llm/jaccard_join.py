@@ -26,6 +26,7 @@ WORDS = 5
 TREES, DEEPEST = 16, 8
 RECALL = 0.9999
 BLOCK = 192  # texts of a bucket that meet in one tile with as many others
+TEXTS = 1024  # rows that a Python worker holds at once
 FILTER = 1 << 20  # rows at most of the broadcast table that sorts out texts without partner
 CELLS = 4 << 20  # cells of the incidence matrix held at once
 
@@ -168,7 +169,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text lead to. A node is the MD5 of a text."""
     docs = df.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     depth = prefix_depth(least)
-    signed = stash(_signatures(docs, depth), "signatures")
+    signed = stash(_signatures(docs, depth), "signatures", TEXTS)
     texts = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.count("*").alias("copies"))
     rows = texts.select("node", "copies", F.explode("keys").alias("bucket"))
     mark = F.xxhash64("node").cast("decimal(38,0)")
@@ -181,7 +182,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = docs.withColumn("cell", cell).join(F.broadcast(own.select(cell).distinct()), "cell", "left_semi").drop("cell")
     wanted = near.join(own.select("node"), "node", "left_semi")
     known = _shingle_sets(wanted).dropDuplicates(["node"])
-    known = stash(known.join(own, "node"), "shingles")
+    known = stash(known.join(own, "node"), "shingles", TEXTS)
 
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks))

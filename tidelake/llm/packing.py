@@ -31,6 +31,8 @@ from .chunks import ChunkCache
 ROUNDS = 192  # of multiplicative weights
 TAIL = 0.002  # share of the content that is left to best fit
 PULL = 0.3  # tokens at most that a sequence of longer and less covered pieces may be less full, about
+TEXTS = 500  # rows that a Python worker holds at once
+CHUNKS = 200_000  # chunks of which it keeps the ids during a task, some 100 MB
 ROWS_PER_SALT = 20_000  # pieces of one length that a task ranks together, about
 
 
@@ -49,7 +51,7 @@ class Encoder:
         self.json_path = json_path
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.library: Tokenizer | None = None
-        self.cache = ChunkCache(self.chunk)
+        self.cache = ChunkCache(self.chunk, CHUNKS)
 
     def chunk(self, chunk: str) -> bytes | None:
         """Ids of a space (or the newline it starts with) and what follows; None where the cut after it isn't safe."""
@@ -96,16 +98,19 @@ def token_pieces(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(json_path, ranks_path, pattern)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                ids = encoder.ids(text) + end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    own = ids[4 * a : 4 * b]
-                    rows.append((doc, k, a, b - a, zlib.crc32(own), own) if with_ids else (doc, k, a, b - a, zlib.crc32(own)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc, text in zip(batch["id"], batch["text"], strict=True):
+                    ids = encoder.ids(text) + end
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        own = ids[4 * a : 4 * b]
+                        rows.append((doc, k, a, b - a, zlib.crc32(own), own) if with_ids else (doc, k, a, b - a, zlib.crc32(own)))
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        finally:  # the worker goes on to other stages, where it would still hold them
+            encoder.cache.clear()
 
     read = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = read.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
@@ -279,7 +284,7 @@ def pack(
     ``capacity`` numbers.
     """
     spark = df.sparkSession
-    pieces = stash(token_pieces(df, json_path, ranks_path, pattern, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = stash(token_pieces(df, json_path, ranks_path, pattern, capacity, end_id, id_col, text_col, with_ids), "pieces", TEXTS)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = 1 + sum(histogram.values()) // ROWS_PER_SALT
     table = spark.createDataFrame(

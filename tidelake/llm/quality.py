@@ -104,6 +104,7 @@ class FourierMap:
         return np.hstack([waves, np.ones((len(x), 1))])
 
 
+TEXTS = 500  # rows that a Python worker holds at once
 FANIN = 64  # rows that a task adds up, about
 
 
@@ -167,7 +168,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table gives no rows. Only sums whose size is the number of features reach the driver.
     """
     spark = df.sparkSession
-    vectors = stash(document_statistics(df, id_col, text_col), "statistics")
+    vectors = stash(document_statistics(df, id_col, text_col), "statistics", TEXTS)
     d = len(STATISTICS)
     moments = vectors.agg(*[f(F.col("x")[k]).alias(f"{n}{k}") for k in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean = np.array([moments[f"m{k}"] or 0.0 for k in range(d)])
