@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelake.operators import align, ann_index, bars, features, mapping, ordering, parsers, profiles, registry, runs
+from tidelake.session import stash
 from tidelake.sources import lake, tables
 from tidelake.streaming import rollups as st
 
@@ -209,6 +210,49 @@ def test_index_scores_a_bounded_part_of_the_queries_at_once(spark, tmp_path, mon
     assert sorted(ann_index.search_index(df, path, 5, asking=20).collect()) == sorted(whole) and len(whole) == 2000
 
 
+def dealt(spark):
+    """How many records shuffles have written so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_index_search_writes_neither_probes_nor_shortlists(spark, tmp_path, monkeypatch):
+    """What is kept and dealt out grows with the vectors; it was a row a list that a query probes, and a row a place of its shortlists."""
+    x = np.random.default_rng(6).normal(size=(2000, 8))
+    df, path = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), str(tmp_path / "index")
+    ann_index.build_index(df, path)
+    kept, before = [], dealt(spark)
+    monkeypatch.setattr(ann_index, "stash", lambda df, label: kept.append(stash(df, label)) or kept[-1])
+    found = ann_index.search_index(df, path, 10, block=500).collect()
+    assert len(found) == 20000 and [k.count() for k in kept] == [2000]
+    # 2000 queries and their 10 finds for each of 4 or 5 cells, 2000 rows for each of 6 turns of queries
+    assert sum(n for stage, n in dealt(spark).items() if stage not in before) < 2000 * 11 * 6 + 2000 * 6
+
+
+def test_index_cells_hold_whole_lists_and_parts_of_long_ones():
+    centres = np.array([[0.0, 1], [9, 1], [0, 2], [9, 2], [5, 5]])
+    first, parts = ann_index._cells(centres, {0: 4, 1: 5, 2: 5, 3: 3, 4: 25}, 10)
+    assert parts == {0: 1, 2: 1, 1: 1, 3: 1, 4: 3} and first[0] == first[2] and first[1] == first[3] and first[0] != first[1]
+    assert len({first[0], first[1], *range(first[4], first[4] + 3)}) == 5
+    assert ann_index._grid(600_000, 30_000, 64, 4096, 256) == (2, 37_500) and ann_index._grid(2000, 100, 64, 4096, 256) == (1, 4096)
+    turns, most = ann_index._grid(10**9, 10**8, 64, 4096, 256)
+    assert most == 1 << 16 and 10**8 / turns <= 1 << 16  # bounded in memory, whatever the numbers
+
+
+def test_index_ties_go_to_smaller_ids_in_whatever_cells(spark, tmp_path):
+    """More equal vectors than a shortlist and than a cell: the smallest ids are found, but never the query's own."""
+    x = np.random.default_rng(8).normal(size=(20, 8))
+    data = [(k, x[0 if k < 300 else k % 20].tolist()) for k in range(600)]
+    df, path = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5), str(tmp_path / "index")
+    ann_index.build_index(df, path)
+    for block in (20, 4096):
+        found = ann_index.search_index(df.where("vec_id IN (3, 500)"), path, 5, block=block).orderBy("query_id", "rank").collect()
+        assert [r["vec_id"] for r in found if r["query_id"] == 3] == [0, 1, 2, 4, 5] and [r["rank"] for r in found] == [1, 2, 3, 4, 5] * 2
+        assert [r["vec_id"] for r in found if r["query_id"] == 500] == [0, 1, 2, 3, 4]
+
+
 def test_profiles_and_gaps_of_odd_payloads(spark):
     texts = ['{"a":{"b":[1,[2.5,null],{"c":"x"}]},"d":null}', '{"d":9,"a":[]}', "[1]", "5", "bad", "", None, "{}"]
     df = spark.createDataFrame([(t,) for t in texts], "p string")
