@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelake.operators import align, ann_index, bars, features, mapping, ordering, parsers, profiles, registry, runs
+from tidelake.operators import align, ann_index, bars, features, mapping, ordering, parsers, profiles, registry, runs, vectors
 from tidelake.session import stash
 from tidelake.sources import lake, tables
 from tidelake.streaming import rollups as st
@@ -253,6 +253,24 @@ def test_index_ties_go_to_smaller_ids_in_whatever_cells(spark, tmp_path):
         assert [r["vec_id"] for r in found if r["query_id"] == 500] == [0, 1, 2, 3, 4]
 
 
+def test_exact_neighbours_meet_in_groups_of_blocks(spark):
+    """Vectors were dealt out once for each block of the other side; ties and the rows are those of brute force."""
+    x = np.random.default_rng(9).normal(size=(2000, 8))
+    x[1000:1100] = x[0]
+    x[7] = 0
+    df, before = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), dealt(spark)
+    found = vectors.knn_exact(df, df, 5, block=50).collect()
+    assert sum(n for stage, n in dealt(spark).items() if stage not in before) < 2000 * 6 * (1 + 1 + 5) + 100
+    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == q] for q in (0, 1050, 7, 13)}
+    assert got[0] == [1000, 1001, 1002, 1003, 1004] and got[1050] == [0, 1000, 1001, 1002, 1003] and got[7] == []
+    unit = np.delete(x, 7, axis=0) / np.linalg.norm(np.delete(x, 7, axis=0), axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -2)
+    wanted = np.sort(scores, axis=1)[:, :-6:-1].ravel()
+    assert np.allclose([r["similarity"] for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))], wanted, atol=1e-12)
+    assert vectors._grid(100, 2000, 64, 2048) == (1, 1) and vectors._grid(30_769, 615_384, 64, 2048) == (2, 26)
+
+
 def test_profiles_and_gaps_of_odd_payloads(spark):
     texts = ['{"a":{"b":[1,[2.5,null],{"c":"x"}]},"d":null}', '{"d":9,"a":[]}', "[1]", "5", "bad", "", None, "{}"]
     df = spark.createDataFrame([(t,) for t in texts], "p string")
