@@ -251,6 +251,9 @@ def test_index_ties_go_to_smaller_ids_in_whatever_cells(spark, tmp_path):
         found = ann_index.search_index(df.where("vec_id IN (3, 500)"), path, 5, block=block).orderBy("query_id", "rank").collect()
         assert [r["vec_id"] for r in found if r["query_id"] == 3] == [0, 1, 2, 4, 5] and [r["rank"] for r in found] == [1, 2, 3, 4, 5] * 2
         assert [r["vec_id"] for r in found if r["query_id"] == 500] == [0, 1, 2, 3, 4]
+    twice = str(tmp_path / "twice")  # an id of two rows, neither of which is another row than the query's own
+    ann_index.build_index(df.where("vec_id < 3").union(df.where("vec_id = 2")), twice)
+    assert [r["vec_id"] for r in ann_index.search_index(df.where("vec_id = 2"), twice, 5).orderBy("rank").collect()] == [0, 1]
 
 
 def test_exact_neighbours_meet_in_groups_of_blocks(spark):
